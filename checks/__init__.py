@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("profiling",)
+MODULES = ("profiling", "relations")
 
 
 def load_all() -> None:

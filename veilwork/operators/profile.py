@@ -80,37 +80,35 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10)
     return counted.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
 
 
+def _clean_sql(field: T.StructField) -> str:
+    name = f"`{field.name}`"
+    return f"CASE WHEN NOT isnan({name}) THEN {name} + 0.0D END" if isinstance(field.dataType, FLOATS) else name
+
+
 def _moments(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     """Null counts and numeric moments: one pass, nothing shuffled but one row per task."""
-    aggregates = [F.count(F.lit(1)).alias("_n")]
+    aggregates = ["count(1) AS _n"]
+    rows = []
     for i, f in enumerate(fields):
-        value = clean(f)
-        aggregates.append(F.count(value).alias(f"_c{i}"))
-        number = value.cast("double") if is_numeric(f.dataType) else F.lit(None).cast("double")
-        aggregates += [
-            F.min(number).alias(f"_lo{i}"),
-            F.max(number).alias(f"_hi{i}"),
-            F.avg(number).alias(f"_mean{i}"),
-            F.stddev_samp(number).alias(f"_std{i}"),
-        ]
-    wide = df.agg(*aggregates)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("data_type"),
-                F.lit(i + 1).alias("ordinal"),
-                F.col("_n").alias("row_count"),
-                (F.col("_n") - F.col(f"_c{i}")).alias("null_count"),
-                F.col(f"_lo{i}").alias("min_value"),
-                F.col(f"_hi{i}").alias("max_value"),
-                F.col(f"_mean{i}").alias("mean_value"),
-                F.col(f"_std{i}").alias("std_value"),
+        value = _clean_sql(f)
+        aggregates.append(f"count({value}) AS _c{i}")
+        if is_numeric(f.dataType):
+            number = f"CAST({value} AS DOUBLE)"
+            aggregates.append(
+                f"named_struct('lo', min({number}), 'hi', max({number}), 'mean', avg({number}),"
+                f" 'std', stddev_samp({number})) AS _m{i}"
             )
-            for i, f in enumerate(fields)
-        ]
-    )
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
+            moments = ", ".join(f"'{out}', _m{i}.{part}" for out, part in MOMENTS)
+        else:
+            moments = ", ".join(f"'{out}', CAST(NULL AS DOUBLE)" for out, _ in MOMENTS)
+        rows.append(
+            f"named_struct('column_name', '{f.name}', 'data_type', '{f.dataType.simpleString()}',"
+            f" 'ordinal', {i + 1}, 'row_count', _n, 'null_count', _n - _c{i}, {moments})"
+        )
+    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
+
+
+MOMENTS = (("min_value", "lo"), ("max_value", "hi"), ("mean_value", "mean"), ("std_value", "std"))
 
 
 def profile(
