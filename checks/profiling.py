@@ -29,14 +29,10 @@ def table_row_counts(spark, root):
         FROM ({sql_column_stats(PROFILED)})""",
 )
 def profile_columns(spark, root):
-    return union_all(
-        P.profile(read(spark, root, t)).select(
-            F.lit(t.upper()).alias("table_name"), "column_name", "data_type", "row_count", "null_count",
-            "distinct_count", "min_value", "max_value", F.round("mean_value", 3).alias("mean_value"),
-            F.round("std_value", 3).alias("std_value"), F.round("unique_ratio", 6).alias("unique_ratio"),
-            "boolean_like",
-        )
-        for t in PROFILED
+    return P.profile_tables({t.upper(): read(spark, root, t) for t in PROFILED}).select(
+        "table_name", "column_name", "data_type", "row_count", "null_count", "distinct_count", "min_value",
+        "max_value", F.round("mean_value", 3).alias("mean_value"), F.round("std_value", 3).alias("std_value"),
+        F.round("unique_ratio", 6).alias("unique_ratio"), "boolean_like",
     )
 
 
@@ -112,13 +108,6 @@ ROLE_POLICIES = [
 ]
 
 
-def role_frames(spark, root, tables=ROLE_TABLES):
-    for t in tables:
-        own = [p for p in ROLE_POLICIES if p.table_name == t.upper()]
-        stats = P.profile(read(spark, root, t))
-        yield t.upper(), P.column_roles(stats, policies_frame(spark, own), KEY_COLUMNS[t])
-
-
 def _sql_policies() -> str:
     rows = ", ".join(
         f"('{p.table_name}', '{p.column_name}', '{p.masking_strategy}', '{p.dedup_mode}')" for p in ROLE_POLICIES
@@ -165,7 +154,9 @@ profiles AS (
 
 
 def profile_frame(spark, root, tables=ROLE_TABLES):
-    return union_all(P.generation_profile(roles, t) for t, roles in role_frames(spark, root, tables))
+    stats = P.profile_tables({t.upper(): read(spark, root, t) for t in tables})
+    keys = [(t.upper(), c) for t, columns in KEY_COLUMNS.items() for c in columns]
+    return P.generation_profile(P.column_roles(stats, policies_frame(spark, ROLE_POLICIES), keys))
 
 
 @check(

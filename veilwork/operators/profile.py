@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilwork.functions import names
+from veilwork.sources.tables import union_all
 
 FLOATS = (T.DoubleType, T.FloatType)
 STAMPS = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -152,13 +153,20 @@ def profile(
                 F.bool_and(F.upper("value").isin(booleans)).alias("boolean_like"),
             )
         )
-    present = F.col("row_count") - F.col("null_count")
-    return (
-        moments.join(counts, "column_name", "left")
-        .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)).cast("long"))
-        .withColumn("boolean_like", F.coalesce("boolean_like", F.lit(False)))
-        .withColumn("null_rate", F.coalesce(F.try_divide("null_count", "row_count"), F.lit(0.0)))
-        .withColumn("unique_ratio", F.coalesce(F.try_divide("distinct_count", present), F.lit(0.0)))
+    return moments.join(counts, "column_name", "left").selectExpr(
+        "column_name", "data_type", "ordinal", "row_count", "null_count",
+        "CAST(coalesce(distinct_count, 0) AS BIGINT) AS distinct_count",
+        "min_value", "max_value", "mean_value", "std_value",
+        "coalesce(boolean_like, false) AS boolean_like",
+        "coalesce(try_divide(null_count, row_count), 0D) AS null_rate",
+        "coalesce(try_divide(distinct_count, row_count - null_count), 0D) AS unique_ratio",
+    )
+
+
+def profile_tables(tables: dict[str, DataFrame], **options) -> DataFrame:
+    """Profiles of several tables, with their ``table_name``, in one frame."""
+    return union_all(
+        profile(df, **options).select(F.lit(name).alias("table_name"), "*") for name, df in tables.items()
     )
 
 
@@ -191,36 +199,36 @@ def identifier_like() -> Column:
     )
 
 
-def column_roles(stats: DataFrame, policies: DataFrame, key_columns: Sequence[str] = ()) -> DataFrame:
-    """Split a profile into structural and modeled columns, and mark sensitive ones.
+def column_roles(stats: DataFrame, policies: DataFrame, key_columns: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """Split profiles into structural and modeled columns, and mark sensitive ones.
 
-    ``policies`` needs column_name, masking_strategy, business_importance and
-    dedup_mode; ``key_columns`` are the table's columns on either end of an edge.
+    ``stats`` as from ``profile_tables``; ``policies`` needs table_name, column_name,
+    masking_strategy, business_importance and dedup_mode; ``key_columns`` are the
+    (table, column) ends of all edges.
     """
     name = F.col("column_name")
+    keys = [f"{t}.{c}" for t, c in key_columns]
     numeric = F.col("data_type").rlike(NUMERIC_TYPES)
     stamp = F.col("data_type").rlike("^(?:timestamp|date)") | names.any_token(name, names.DATE_TOKENS)
-    id_like = names.ends_with_any(name, ["_ID"]) | name.isin(list(key_columns))
+    id_like = names.ends_with_any(name, ["_ID"]) | F.concat_ws(".", "table_name", name).isin(keys)
     unique_id = (F.col("unique_ratio") >= 0.95) & names.any_token(name, names.UNIQUE_ID_TOKENS)
     low = F.col("distinct_count") <= F.greatest(F.lit(12), F.floor(F.col("row_count") * 0.02))
-    long_text = ~numeric & ~stamp & (F.col("unique_ratio") >= 0.35) & (F.col("distinct_count") >= 50)
-    metric = numeric | names.any_token(name, names.METRIC_TOKENS)
+    long_text = ~F.col("_num") & ~F.col("_date") & (F.col("unique_ratio") >= 0.35) & (F.col("distinct_count") >= 50)
+    metric = F.col("_num") | names.any_token(name, names.METRIC_TOKENS)
     masked = F.coalesce(F.col("masking_strategy"), F.lit("passthrough")) != "passthrough"
     entity = F.coalesce(F.col("dedup_mode") == "entity", F.lit(False))
     reference = F.coalesce(F.col("dedup_mode") == "reference", F.lit(False))
-    masked_id = masked & ~metric & (entity | stamp | id_like | unique_id | long_text)
+    ident = F.col("_date") | F.col("_id") | F.col("_unique")
+    masked_id = masked & ~metric & (entity | ident | long_text)
     structural = (
-        masked_id
-        | F.col("boolean_like")
-        | stamp
-        | reference
-        | names.any_token(name, names.STATUS_TOKENS)
-        | id_like
-        | unique_id
-        | low
+        masked_id | ident | low | reference | F.col("boolean_like") | names.any_token(name, names.STATUS_TOKENS)
+    )
+    chosen = policies.select("table_name", "column_name", "masking_strategy", "business_importance", "dedup_mode")
+    tested = stats.join(chosen, ["table_name", "column_name"], "left").select(
+        "*", numeric.alias("_num"), stamp.alias("_date"), id_like.alias("_id"), unique_id.alias("_unique")
     )
-    chosen = policies.select("column_name", "masking_strategy", "business_importance", "dedup_mode")
-    return stats.join(chosen, "column_name", "left").select(
+    return tested.select(
+        "table_name",
         "column_name",
         "ordinal",
         "data_type",
@@ -233,31 +241,26 @@ def column_roles(stats: DataFrame, policies: DataFrame, key_columns: Sequence[st
     )
 
 
-def generation_profile(roles: DataFrame, table: str) -> DataFrame:
+def generation_profile(roles: DataFrame) -> DataFrame:
     """One row per table: the three column lists and a fingerprint of the decision."""
 
-    def listed(condition: Column) -> Column:
-        hits = F.collect_list(F.when(condition, F.struct("ordinal", "column_name")))
-        return F.transform(F.sort_array(hits), lambda s: s["column_name"])
+    def listed(condition: str, name: str) -> Column:
+        return F.expr(
+            f"transform(array_sort(collect_list(CASE WHEN {condition} THEN struct(ordinal, column_name) END)),"
+            f" s -> s.column_name) AS {name}"
+        )
 
-    described = F.concat_ws(
-        ":",
-        "column_name",
-        "data_type",
-        "role",
-        F.coalesce("masking_strategy", F.lit("")),
-        F.coalesce("business_importance", F.lit("")),
-        F.coalesce("dedup_mode", F.lit("")),
+    described = (
+        "concat_ws(':', column_name, data_type, role, coalesce(masking_strategy, ''),"
+        " coalesce(business_importance, ''), coalesce(dedup_mode, ''))"
     )
-    return roles.agg(
-        listed(F.col("role") == "structural").alias("structural_columns"),
-        listed(F.col("role") == "modeled").alias("modeled_columns"),
-        listed(F.col("sensitive")).alias("sensitive_columns"),
+    return roles.groupBy("table_name").agg(
+        listed("role = 'structural'", "structural_columns"),
+        listed("role = 'modeled'", "modeled_columns"),
+        listed("sensitive", "sensitive_columns"),
         F.max("row_count").alias("row_count"),
-        F.sha2(F.concat_ws("|", F.lit(table), F.array_sort(F.collect_list(described))), 256).alias(
-            "fingerprint"
-        ),
-    ).select(F.lit(table).alias("table_name"), "*")
+        F.expr(f"sha2(concat_ws('|', table_name, array_sort(collect_list({described}))), 256) AS fingerprint"),
+    )
 
 
 def route_tier(
