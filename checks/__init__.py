@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("profiling", "relations")
+MODULES = ("profiling", "relations", "defect_checks", "privacy")
 
 
 def load_all() -> None:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def kolmogorov_tail(scaled: Column, terms: int = 100) -> Column:
@@ -57,7 +58,7 @@ def chi_square_tail_value(statistic: float, dof: float) -> float:
     return min(1.0, front * value)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_tail(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     """Called once per tested column, never per data row."""
     return pd.Series([chi_square_tail_value(x, k) for x, k in zip(statistic, dof)])
