@@ -54,20 +54,13 @@ def has_match(text: Column, entity: Entity) -> Column:
 
 def pii_findings(df: DataFrame, keys: Sequence[str], column: str, entities: Sequence[Entity] = ENTITIES) -> DataFrame:
     """(…keys, pii_type, match, score): one row per span found in the whole text."""
-    text = F.col(column)
-    found = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    matches(text, e),
-                    lambda m, e=e: F.struct(
-                        F.lit(e.name).alias("pii_type"), m.alias("match"), F.lit(e.score).alias("score")
-                    ),
-                )
-                for e in entities
-            ]
+    def findings(e: Entity) -> Column:
+        return F.transform(
+            matches(F.col(column), e),
+            lambda m: F.struct(F.lit(e.name).alias("pii_type"), m.alias("match"), F.lit(e.score).alias("score")),
         )
-    )
+
+    found = F.flatten(F.array(*[findings(e) for e in entities]))
     return df.select(*keys, F.explode(found).alias("f")).select(*keys, "f.*")
 
 
