@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("profiling", "relations", "defect_checks", "privacy")
+MODULES = ("profiling", "relations", "defect_checks", "privacy", "generation")
 
 
 def load_all() -> None:
