@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("profiling", "relations", "defect_checks", "privacy", "generation")
+MODULES = ("profiling", "relations", "defect_checks", "privacy", "generation", "validity")
 
 
 def load_all() -> None:
