@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("profiling", "relations", "defect_checks", "privacy", "generation", "validity")
+MODULES = ("profiling", "relations", "defect_checks", "privacy", "generation", "validity", "cases", "reporting")
 
 
 def load_all() -> None:
