@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("profiling", "relations", "defect_checks", "privacy", "generation", "validity", "cases", "reporting")
+MODULES = ("profiling", "relations", "defect_checks", "privacy", "generation", "validity", "cases", "reporting", "delivery")
 
 
 def load_all() -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from veilwork.functions import draws, names
 from veilwork.operators.policies import ColumnPolicy
-from veilwork.operators.profile import is_numeric
+from veilwork.operators.profile import STAMPS, is_numeric
 
 FIRST_NAMES = [
     "Ada", "Ben", "Clara", "David", "Elena", "Frank", "Grace", "Hugo", "Iris", "Jonas", "Karin", "Liam",
@@ -204,6 +204,16 @@ def mask(
     return df.select(*out)
 
 
+def training_frame(df: DataFrame, policies: Iterable[ColumnPolicy], key: str, domains: Mapping[str, str] | None = None) -> DataFrame:
+    """What generators may see: source numbers, dates and booleans, masked text.
+
+    Suppressed columns are gone.  Like ``mask`` this is a projection over the scan.
+    """
+    plain = {f.name for f in df.schema.fields if is_numeric(f.dataType) or isinstance(f.dataType, (*STAMPS, T.BooleanType))}
+    used = [p for p in policies if p.masking_strategy == "suppress" or p.column_name not in plain]
+    return mask(df, used, key, domains)
+
+
 def key_domains(edges, table: str) -> dict[str, str]:
     """Shared value domain of every column of ``table`` that is an end of an edge."""
     parent: dict[tuple[str, str], tuple[str, str]] = {}

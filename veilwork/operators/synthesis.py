@@ -231,16 +231,14 @@ def synthesize(
     n: int | None = None,
     seed: int | str = 42,
     columns: Sequence[str] | None = None,
-    masked: DataFrame | None = None,
 ) -> DataFrame:
     """``n`` rows (default: as many as the source) with the source's columns and types.
 
     ``key`` must be unique in the source.  Dates and other resampled structural
     columns of one output row come from one source row, so start and end dates
-    stay in order.  Text of ``masked``, where given, replaces the source's text.
+    stay in order.  ``key`` columns need not be among ``columns``.
     """
-    spark = df.sparkSession
-    source = df if masked is None else masked_training_frame(df, masked, key)
+    spark, source = df.sparkSession, df
     columns = list(columns or source.columns)
     chosen = {p.column_name: p for p in policies}
     stats = column_stats(source, columns)
@@ -284,24 +282,6 @@ def synthesize(
     )
 
 
-def masked_training_frame(df: DataFrame, masked: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Numbers, dates and booleans from the source; text from its masked copy.
-
-    Masked columns of the same row are joined by the unmasked ``key``, which the
-    masked frame must still carry under the same name.
-    """
-    text = [
-        f.name
-        for f in df.schema.fields
-        if f.name in masked.columns and f.name not in key
-        and not (is_numeric(f.dataType) or isinstance(f.dataType, (*STAMPS, T.BooleanType)))
-    ]
-    kept = [c for c in df.columns if c not in text]
-    if not text:
-        return df
-    return df.select(*kept).join(masked.select(*key, *text), list(key)).select(*df.columns)
-
-
 def boundary_keys(df: DataFrame, table: str, edges, domain: str, run_id: str) -> DataFrame:
     """Distinct values of key columns: targets of edges, and ``_ID`` columns that are unique."""
     targets = {e.target_column for e in edges if e.target_table.upper() == table.upper()}

@@ -25,7 +25,7 @@ def new_session(app: str = "veilwork", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session; a temporary one only in local mode."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
@@ -50,6 +50,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     a checkpointed RDD, lets later steps read single columns and tells the
     optimizer its size.
     """
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
