@@ -81,17 +81,25 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10)
     return counted.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
 
 
-def _clean_sql(field: T.StructField) -> str:
+def clean_sql(field: T.StructField) -> str:
     name = f"`{field.name}`"
     return f"CASE WHEN NOT isnan({name}) THEN {name} + 0.0D END" if isinstance(field.dataType, FLOATS) else name
 
 
+def sketched_distinct(field: T.StructField) -> str:
+    """SQL for an estimate of the distinct values, about 2 % off; one small buffer per task."""
+    value = clean_sql(field)
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        value = f"to_json({value})"
+    return f"coalesce(hll_sketch_estimate(hll_sketch_agg(CAST({value} AS STRING))), 0)"
+
+
 def _moments(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     """Null counts and numeric moments: one pass, nothing shuffled but one row per task."""
     aggregates = ["count(1) AS _n"]
     rows = []
     for i, f in enumerate(fields):
-        value = _clean_sql(f)
+        value = clean_sql(f)
         aggregates.append(f"count({value}) AS _c{i}")
         if is_numeric(f.dataType):
             number = f"CAST({value} AS DOUBLE)"
@@ -128,18 +136,13 @@ def profile(
     fields = fields_of(df, columns)
     moments = _moments(df, fields)
     if distinct == "approx":
-        wide = df.agg(*[F.approx_count_distinct(as_text(f)).alias(f"_d{i}") for i, f in enumerate(fields)])
-        pairs = F.array(
-            *[
-                F.struct(
-                    F.lit(f.name).alias("column_name"),
-                    F.col(f"_d{i}").alias("distinct_count"),
-                    F.lit(None).cast("boolean").alias("boolean_like"),
-                )
-                for i, f in enumerate(fields)
-            ]
+        rows = ", ".join(
+            f"named_struct('column_name', '{f.name}', 'distinct_count', _d{i}, 'boolean_like', CAST(NULL AS BOOLEAN))"
+            for i, f in enumerate(fields)
+        )
+        counts = df.selectExpr(*[f"{sketched_distinct(f)} AS _d{i}" for i, f in enumerate(fields)]).selectExpr(
+            f"inline(array({rows}))"
         )
-        counts = wide.select(F.explode(pairs).alias("r")).select("r.*")
     else:
         booleans = ["Y", "N", "TRUE", "FALSE", "0", "1"]  # fixed values
         counts = (

@@ -89,8 +89,12 @@ def has_duplicates(df: DataFrame, column: str) -> Column:
     return F.coalesce(counted.agg(F.max("_n")).scalar() > 1, F.lit(False))
 
 
-def enforce_unique(df: DataFrame, policies: Iterable[ColumnPolicy], edges: Iterable[Edge], order: str = RID) -> DataFrame:
-    """Renumber entity identifiers that hold a duplicate: 1..k, or ``COLUMN_000001`` for text."""
+def enforce_unique(df: DataFrame, policies: Iterable[ColumnPolicy], edges: Iterable[Edge], order: str = RID, counted: DataFrame | None = None) -> DataFrame:
+    """Renumber entity identifiers that hold a duplicate: 1..k, or ``COLUMN_000001`` for text.
+
+    ``counted`` is a frame with the same identifiers in which looking for
+    duplicates is cheaper, such as a written table ``df`` was made from.
+    """
     foreign = {e.source_column for e in edges}
     for p in policies:
         c = p.column_name
@@ -105,14 +109,14 @@ def enforce_unique(df: DataFrame, policies: Iterable[ColumnPolicy], edges: Itera
         kind, columns = df.schema[c].dataType, df.columns
         # NULLs keep their place: number the rows by (is null, order)
         flagged = df.withColumn("_null", F.col(c).isNull().cast("int"))
-        indexed = ordered_index(flagged, order, within=["_null"], name="_k", start=1)
+        indexed = ordered_index(flagged, order, within=["_null"], name="_k", start=1, chunk=ROWS_PER_CELL if order == RID else None)
         number = F.col("_k")
         if is_numeric(kind):
             fresh = number.cast(kind)
         else:
             text = number.cast("string")
             fresh = F.concat(F.lit(f"{c}_"), F.lpad(text, F.greatest(F.length(text), F.lit(6)), F.lit("0")))
-        value = F.when((F.col("_null") == 0) & has_duplicates(df, c), fresh).otherwise(F.col(c))
+        value = F.when((F.col("_null") == 0) & has_duplicates(df if counted is None else counted, c), fresh).otherwise(F.col(c))
         df = indexed.withColumn(c, value).select(*columns)
     return df
 
@@ -123,10 +127,17 @@ def restore_types(df: DataFrame, source: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
 
 
+ROWS_PER_CELL = 1 << 20
+
+
 def repair(table: str, df: DataFrame, edges: Iterable[Edge], generated: dict[str, DataFrame], policies: Iterable[ColumnPolicy], strategy: Strategy, seed: int | str = 42) -> DataFrame:
     """Foreign keys, then allowed values, then date order, then uniqueness."""
     edges, policies = list(edges), list(policies)
+    drawn = df
     df = stitch_foreign_keys(table, df, edges, generated, seed)
     df = enforce_allowed(df, policies, seed)
     df = enforce_date_order(df, strategy)
-    return enforce_unique(df, policies, [e for e in edges if e.source_table.upper() == table.upper()])
+    # identifiers are no foreign keys or dates, so only allowed lists can have changed them
+    changed = any(p.dedup_mode == "entity" and allowed_list(p.allowed_values) for p in policies)
+    own = [e for e in edges if e.source_table.upper() == table.upper()]
+    return enforce_unique(df, policies, own, counted=None if changed else drawn)

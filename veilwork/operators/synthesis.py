@@ -16,7 +16,14 @@ from pyspark.sql import types as T
 from veilwork.functions import draws, names
 from veilwork.functions.ordering import shuffled_index
 from veilwork.operators.policies import ColumnPolicy, allowed_list
-from veilwork.operators.profile import STAMPS, as_text, clean, fields_of, is_numeric, value_counts
+from veilwork.operators.profile import (
+    STAMPS,
+    clean_sql,
+    fields_of,
+    is_numeric,
+    sketched_distinct,
+    value_counts,
+)
 from veilwork.sources.tables import union_all
 
 RID = "_rid"
@@ -52,23 +59,26 @@ def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnStats
     fields = fields_of(df, columns)
     if not fields:
         return {}
-    aggregates = [F.count(F.lit(1)).alias("rows")]
+    aggregates = ["count(1) AS rows"]
     for i, f in enumerate(fields):
-        value = clean(f)
-        number = value.cast("double") if is_numeric(f.dataType) else value.cast("string").try_cast("double")
-        if isinstance(f.dataType, (*STAMPS, T.BooleanType, T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
-            number = F.lit(None).cast("double")
+        value = clean_sql(f)
+        if is_numeric(f.dataType):
+            number = f"CAST({value} AS DOUBLE)"
+        elif isinstance(f.dataType, T.StringType):
+            number = f"TRY_CAST({value} AS DOUBLE)"
+        else:
+            number = "CAST(NULL AS DOUBLE)"
         aggregates += [
-            F.count(value).alias(f"present{i}"),
-            F.approx_count_distinct(as_text(f), 0.02).alias(f"distinct{i}"),
-            F.count(number).alias(f"numbers{i}"),
-            F.count_if(number == F.floor(number)).alias(f"whole{i}"),
-            F.min(number).alias(f"low{i}"),
-            F.max(number).alias(f"high{i}"),
-            F.avg(number).alias(f"mean{i}"),
-            F.stddev_samp(number).alias(f"std{i}"),
+            f"count({value}) AS present{i}",
+            f"{sketched_distinct(f)} AS distinct{i}",
+            f"count({number}) AS numbers{i}",
+            f"count_if({number} = floor({number})) AS whole{i}",
+            f"min({number}) AS low{i}",
+            f"max({number}) AS high{i}",
+            f"avg({number}) AS mean{i}",
+            f"stddev_samp({number}) AS std{i}",
         ]
-    row = df.agg(*aggregates).first()
+    row = df.selectExpr(*aggregates).first()
     limits = {CATEGORY_LIMIT, max(12, int(row["rows"] * 0.02))}
     close = [
         f.name

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from veilwork.functions import names
 from veilwork.operators import fidelity
 from veilwork.operators.policies import ColumnPolicy, Strategy
-from veilwork.operators.profile import STAMPS, as_text, fields_of, is_numeric, long_form
+from veilwork.operators.profile import STAMPS, as_text, fields_of, is_numeric, long_form, sketched_distinct
 from veilwork.operators.relations import Edge
 from veilwork.operators.repair import as_moment
 from veilwork.session import cut_lineage
@@ -270,7 +270,7 @@ def validate_leakage(real: DataFrame, synth: DataFrame, table: str, policies: It
         )
     compared = reid_columns(real, synth, policies)
     if compared:
-        counts = real.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in compared]).first()
+        counts = real.selectExpr(*[f"{sketched_distinct(f)} AS `{f.name}`" for f in fields_of(real, compared)]).first()
         compared = [c for c in compared if counts[c] > 5]
     if compared:
         n, most = F.col("high_risk_count"), F.coalesce("max_similarity", F.lit(None).cast("double"))

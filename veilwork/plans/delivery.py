@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.operators import dedup as dd
 from veilwork.operators import defects as de
-from veilwork.operators import graph, masking, profile, repair, synthesis, validation
+from veilwork.operators import masking, profile, repair, synthesis, validation
 from veilwork.operators.edge_cases import inject_edge_cases
 from veilwork.operators.policies import ColumnPolicy, Strategy, policies_frame
 from veilwork.operators.relations import Edge
@@ -53,14 +53,19 @@ class Delivery:
     defects: DataFrame | None
 
 
-def table_order(spark: SparkSession, tables: Sequence[str], edges: Sequence[Edge]) -> list[str]:
-    """Tables with parents first."""
-    links = spark.createDataFrame(
-        [(e.source_table, e.target_table) for e in edges] or [("", "")], "source string, target string"
-    )
-    nodes = spark.createDataFrame([(t,) for t in tables], "node string")
-    levels = graph.dependency_levels(links, nodes).orderBy("level", "node").collect()  # one row per table
-    return [row["node"] for row in levels]
+def table_order(tables: Sequence[str], edges: Sequence[Edge]) -> list[str]:
+    """Tables with parents first; members of a cycle come last.
+
+    A schema has a handful of tables, so this is ordinary list work; use
+    ``graph.dependency_levels`` for graphs that are data.
+    """
+    waiting, ordered = sorted(tables), []
+    parents = {t: {e.target_table for e in edges if e.source_table == t} - {t} for t in waiting}
+    while waiting:
+        ready = [t for t in waiting if not parents[t] & set(waiting)] or waiting
+        ordered += ready
+        waiting = [t for t in waiting if t not in ready]
+    return ordered
 
 
 def dedup_mode(policies: Sequence[ColumnPolicy]) -> str:
@@ -85,7 +90,11 @@ def generate_table(table: str, source: DataFrame, structural: Sequence[str], run
     policies, strategy = run.policies_of(table), run.strategy_of(table)
     own_edges = [e for e in run.edges if e.source_table == table]
     made = synthesis.synthesize(source, structural, policies, list(run.keys[table]), seed=run.seed)
+    # repairs and edge cases measure the rows before they change them: do not draw twice
+    made = cut_lineage(made)
     made = repair.repair(table, made, own_edges, generated, policies, strategy, run.seed)
+    if strategy.edge_case_share > 0 and any(p.edge_case_flags for p in policies):
+        made = cut_lineage(made)
     made = inject_edge_cases(made, policies, strategy.edge_case_share, run.seed)
     made = dd.dedup(
         made, dedup_mode(policies), fk_columns=[e.source_column for e in own_edges], registry=run.registry,
@@ -100,7 +109,6 @@ def deliver(tables: Tables, run: Run) -> Delivery:
     Each generated table is written once: its children, its checks and its
     delivery all read that copy.
     """
-    spark = next(iter(tables.values())).sparkSession
     chosen = {t: df for t, df in tables.items() if run.only is None or t in {n.upper() for n in run.only}}
     edges = [e for e in run.edges if e.source_table in chosen and e.target_table in chosen]
     frames = {
@@ -109,7 +117,7 @@ def deliver(tables: Tables, run: Run) -> Delivery:
     }
     structural = structural_columns(frames, run)
     generated: Tables = {}
-    for table in table_order(spark, list(chosen), edges):
+    for table in table_order(list(chosen), edges):
         made = generate_table(table, frames[table], structural[table], run, generated)
         generated[table] = cut_lineage(made)
     public = {t: df.drop(synthesis.RID, "record_hash") for t, df in generated.items()}
