@@ -36,7 +36,7 @@ def point_lookup(df: DataFrame, column: str, wanted: DataFrame, limit: int | Non
     found = df.join(keys, column, "left_semi")
     if limit is None:
         return found
-    window = Window.partitionBy(column).orderBy(*[c for c in df.columns if c != column])
+    window = Window.partitionBy(column).orderBy(*df.columns)
     return found.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= limit).drop("_rn")
 
 
@@ -73,7 +73,7 @@ class Trace:
 def _limited(related: DataFrame, keys: Sequence[str], limit: int | None) -> DataFrame:
     if limit is None:
         return related
-    window = Window.partitionBy(*keys).orderBy(*[c for c in related.columns if c not in keys])
+    window = Window.partitionBy(*keys).orderBy(*related.columns)
     return related.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= limit).drop("_rn")
 
 
