@@ -19,9 +19,18 @@ def _fractions(cells: int) -> list[float]:
     return [i / cells for i in range(1, cells)]
 
 
-def cell_of(value: Column, bounds: Column) -> Column:
-    """Number of bounds below ``value``; equal values always share a cell."""
-    return F.coalesce(F.size(F.filter(bounds, lambda b: b < value)), F.lit(-1))
+def _with_cell(df: DataFrame, value: Column, cells: int, name: str) -> DataFrame:
+    """Number of ``_bounds`` below ``value`` by binary search; equal values share a cell.
+
+    Each halving is a column of its own, so every step is a plain array access.
+    """
+    step = 1 << (cells - 1).bit_length() - 1
+    found = df.withColumn("_v", value).withColumn(name, F.lit(0))
+    while step:
+        probe = F.get("_bounds", F.col(name) + (step - 1))
+        found = found.withColumn(name, F.col(name) + F.when(probe < F.col("_v"), step).otherwise(0))
+        step //= 2
+    return found.withColumn(name, F.when(F.col("_v").isNull(), -1).otherwise(F.col(name))).drop("_v", "_bounds")
 
 
 def split_into_cells(
@@ -41,14 +50,9 @@ def split_into_cells(
         joined = df.join(per_group, condition, "left")
         for c in within:
             joined = joined.drop(per_group[c])
-        return joined.withColumn(name, cell_of(value, F.col("_bounds"))).drop("_bounds")
+        return _with_cell(joined, value, cells, name)
     limits = df.agg(bounds.alias("_bounds")).scalar()
-    # the subquery goes through a column: higher-order functions take none directly
-    return (
-        df.withColumn("_bounds", limits)
-        .withColumn(name, cell_of(value, F.col("_bounds")))
-        .drop("_bounds")
-    )
+    return _with_cell(df.withColumn("_bounds", limits), value, cells, name)
 
 
 def cell_offsets(

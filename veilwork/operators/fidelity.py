@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from veilwork.functions.ordering import split_into_cells
 from veilwork.functions.tails import chi_square_tail, kolmogorov_tail
 from veilwork.operators.profile import clean, fields_of, is_numeric, long_form
+from veilwork.session import spread
 
 BINS = 50  # fixed value: number of histogram bins
 EPSILON = 1e-10  # fixed value: added to every normalised histogram entry
@@ -26,7 +27,7 @@ def numeric_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for f in fields_of(df, columns)
         ]
     )
-    return df.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null")
+    return spread(df).select(F.explode(pairs).alias("p")).select("p.*").where("value is not null")
 
 
 def _sides(real: DataFrame, synth: DataFrame) -> DataFrame:

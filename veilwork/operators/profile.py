@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilwork.functions import names
+from veilwork.session import spread
 from veilwork.sources.tables import union_all
 
 FLOATS = (T.DoubleType, T.FloatType)
@@ -41,6 +42,7 @@ def fields_of(df: DataFrame, columns: Sequence[str] | None = None) -> list[T.Str
 def long_form(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(…keep, column_name, value) with every column's value as text, one scan."""
     fields = fields_of(df, columns)
+    df = spread(df)
     pairs = F.array(
         *[F.struct(F.lit(f.name).alias("column_name"), as_text(f).alias("value")) for f in fields]
     )
