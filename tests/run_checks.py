@@ -1,5 +1,6 @@
 """Run registered queries against their SQL: python -m tests.run_checks [root] [name-part ...]"""
 
+import os
 import sys
 import time
 
@@ -11,9 +12,10 @@ from veilwork import new_session
 def main(argv):
     root = argv[0] if argv else "/root/testdata/sf0.01"
     parts = argv[1:]
+    plain = bool(os.environ.get("PLAIN_SESSION"))  # Spark's own defaults
     spark = new_session(
         master="local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"},
+        **({"spark.ui.showConsoleProgress": "false"} if plain else {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"}),
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(root)

@@ -34,6 +34,11 @@ def test_ordered_index_with_chunks_nulls_and_one_row(spark, rows):
     assert rows(ordering.ordered_index(one, "v", name="i"), "v", "i") == sorted([(None, 0), (5.0, 1)], key=repr)
 
 
+def test_null_groups_keep_their_rows(spark, rows):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 5)], "g string, v int")
+    assert rows(ordering.ordered_index(df, "v", within=["g"], name="i", cells=2), "g", "v", "i") == sorted([(None, 1, 0), (None, 2, 1), ("a", 5, 0)], key=repr)
+
+
 def test_hot_values_share_a_cell_and_keep_a_dense_index(spark):
     df = spark.createDataFrame([(0, i) for i in range(300)] + [(i, i) for i in range(1, 50)], "v int, k int")
     got = ordering.ordered_index(df, "v", tiebreak=["k"], name="i", cells=8)

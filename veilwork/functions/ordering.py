@@ -8,6 +8,8 @@ into offsets, and number the rows inside each cell only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,13 @@ def _with_cell(df: DataFrame, value: Column, cells: int, name: str) -> DataFrame
     return found.withColumn(name, F.when(F.col("_v").isNull(), -1).otherwise(F.col(name))).drop("_v", "_bounds")
 
 
+def null_safe_join(df: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the columns of ``facts`` (one row per group) to every row, NULL groups included."""
+    renamed = facts.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    condition = reduce(and_, [df[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys])
+    return df.join(renamed, condition, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def split_into_cells(
     df: DataFrame, by: Column, within: Sequence[str] = (), cells: int = 64, name: str = "_cell"
 ) -> DataFrame:
@@ -43,14 +52,7 @@ def split_into_cells(
     bounds = F.percentile_approx(value, _fractions(cells), F.lit(10_000))
     if within:
         per_group = df.groupBy(*within).agg(bounds.alias("_bounds"))
-        pairs = [df[c].eqNullSafe(per_group[c]) for c in within]
-        condition = pairs[0]
-        for extra in pairs[1:]:
-            condition = condition & extra
-        joined = df.join(per_group, condition, "left")
-        for c in within:
-            joined = joined.drop(per_group[c])
-        return _with_cell(joined, value, cells, name)
+        return _with_cell(null_safe_join(df, per_group, within), value, cells, name)
     limits = df.agg(bounds.alias("_bounds")).scalar()
     return _with_cell(df.withColumn("_bounds", limits), value, cells, name)
 
@@ -96,7 +98,7 @@ def ordered_index(
     inside = Window.partitionBy(*group, "_cell").orderBy(by, *tiebreak)
     numbered = celled.withColumn("_inside", F.row_number().over(inside))
     return (
-        numbered.join(offsets, [*group, "_cell"])
+        null_safe_join(numbered, offsets, [*group, "_cell"])
         .withColumn(name, F.col("_inside") + F.col("_offset") + F.lit(start - 1))
         .drop("_cell", "_inside", "_offset")
     )

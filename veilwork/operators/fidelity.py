@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from veilwork.functions.ordering import split_into_cells
 from veilwork.functions.tails import chi_square_tail, kolmogorov_tail
 from veilwork.operators.profile import clean, fields_of, is_numeric, long_form
-from veilwork.session import spread
+from veilwork.session import cut_lineage, spread
 
 BINS = 50  # fixed value: number of histogram bins
 EPSILON = 1e-10  # fixed value: added to every normalised histogram entry
@@ -58,13 +58,15 @@ def side_totals(counts: DataFrame) -> DataFrame:
     )
 
 
-def ks_two_sample(counts: DataFrame, cells: int = 64) -> DataFrame:
+def ks_two_sample(counts: DataFrame, cells: int = 64, written: bool = False) -> DataFrame:
     """(column_name, total_real, total_synth, ks_stat, p_value) from numeric counts.
 
     The distribution functions run over ranges of values: each range knows the
     totals of the ranges below it, so no task sees a whole column.  The statistic
-    is exact; the p-value is asymptotic.
+    is exact; the p-value is asymptotic.  The counts are read three times, so they
+    are written first unless they are a table already.
     """
+    counts = counts if written else cut_lineage(counts)
     celled = split_into_cells(counts, F.col("value"), ["column_name"], cells)
     sizes = celled.groupBy("column_name", "_cell").agg(F.sum("n_real").alias("_cr"), F.sum("n_synth").alias("_cs"))
     all_cells = Window.partitionBy("column_name")  # at most `cells` rows per column

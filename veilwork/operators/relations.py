@@ -110,49 +110,67 @@ def _resolve(aliases: Column, alias: Column) -> Column:
     return F.try_element_at(F.filter(aliases, lambda a: a["alias"] == alias), F.lit(1))["table"]
 
 
-def join_pairs(statements: DataFrame, column: str = "statement") -> DataFrame:
-    """One row per join equality: the two ends, alphabetically smaller table first.
+PARTS = ("a", "x", "b", "y")
+
 
-    An ON condition counts when it is one equality; in WHERE every equality
-    between columns of two different aliases counts.
+def statement_shapes(statements: DataFrame, column: str = "statement") -> DataFrame:
+    """(shape, times): statements with their constants blanked, counted.
+
+    Logs repeat few statements with many constants; whatever is read from a shape
+    is read once, and a statement that fills a third of the log is one row.
     """
     text = F.regexp_replace(F.col(column), "'[^']*'", "''")
-    clauses = F.regexp_extract_all(text, F.lit(FROM_CLAUSE), F.lit(1))
-    pieces = F.flatten(F.transform(clauses, lambda c: F.split(c, JOIN_WORD)))
-    tables = F.flatten(
-        F.transform(pieces, lambda p: F.split(F.regexp_replace(p, r"(?i)\s+on\s+.*$", ""), ","))
+    text = F.regexp_replace(text, r"\b[0-9]+(?:\.[0-9]+)?\b", "0")
+    return statements.groupBy(text.alias("shape")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def join_pairs(statements: DataFrame, column: str = "statement") -> DataFrame:
+    """The two ends of every join equality and how often it was written.
+
+    The alphabetically smaller table comes first.  An ON condition counts when it
+    is one equality; in WHERE every equality between columns of two different
+    aliases counts.
+    """
+    # one select per step: each later expression then refers to a computed column
+    split = (
+        statement_shapes(statements, column)
+        .select(
+            "times",
+            F.regexp_extract_all("shape", F.lit(FROM_CLAUSE), F.lit(1)).alias("clauses"),
+            F.regexp_extract("shape", WHERE_CLAUSE, 1).alias("where"),
+        )
+        .select("times", "where", F.flatten(F.transform("clauses", lambda c: F.split(c, JOIN_WORD))).alias("pieces"))
+        .select(
+            "times",
+            "where",
+            F.flatten(
+                F.transform("pieces", lambda p: F.split(F.regexp_replace(p, r"(?i)\s+on\s+.*$", ""), ","))
+            ).alias("tables"),
+            F.filter(
+                F.transform("pieces", lambda p: F.regexp_extract(p, r"(?i)\s+on\s+(.*)$", 1)),
+                lambda t: t.rlike(SINGLE_EQUALITY),
+            ).alias("on"),
+        )
     )
-    on_text = F.transform(pieces, lambda p: F.regexp_extract(p, r"(?i)\s+on\s+(.*)$", 1))
     on_pairs = F.transform(
-        F.filter(on_text, lambda t: t.rlike(SINGLE_EQUALITY)),
+        "on",
         lambda t: F.struct(
-            *[
-                F.upper(F.regexp_extract(t, SINGLE_EQUALITY, i + 1)).alias(n)
-                for i, n in enumerate(("a", "x", "b", "y"))
-            ],
+            *[F.upper(F.regexp_extract(t, SINGLE_EQUALITY, i + 1)).alias(n) for i, n in enumerate(PARTS)],
             F.lit(False).alias("where"),
         ),
     )
-    where = F.regexp_extract(text, WHERE_CLAUSE, 1)
     where_pairs = F.transform(
         F.arrays_zip(
-            *[
-                F.regexp_extract_all(where, F.lit(EACH_EQUALITY), F.lit(i + 1)).alias(n)
-                for i, n in enumerate(("a", "x", "b", "y"))
-            ]
-        ),
-        lambda s: F.struct(
-            *[F.upper(s[n]).alias(n) for n in ("a", "x", "b", "y")], F.lit(True).alias("where")
+            *[F.regexp_extract_all("where", F.lit(EACH_EQUALITY), F.lit(i + 1)).alias(n) for i, n in enumerate(PARTS)]
         ),
+        lambda s: F.struct(*[F.upper(s[n]).alias(n) for n in PARTS], F.lit(True).alias("where")),
     )
     found = (
-        statements.select(
-            F.transform(tables, _alias_entry).alias("aliases"),
-            F.concat(on_pairs, where_pairs).alias("pairs"),
-        )
-        .select("aliases", F.explode("pairs").alias("p"))
+        split.select("times", F.transform("tables", _alias_entry).alias("aliases"), F.concat(on_pairs, where_pairs).alias("pairs"))
+        .select("times", "aliases", F.explode("pairs").alias("p"))
         .where(~F.col("p.where") | (F.col("p.a") != F.col("p.b")))
         .select(
+            "times",
             _resolve(F.col("aliases"), F.col("p.a")).alias("t1"),
             F.col("p.x").alias("c1"),
             _resolve(F.col("aliases"), F.col("p.b")).alias("t2"),
@@ -170,6 +188,7 @@ def join_pairs(statements: DataFrame, column: str = "statement") -> DataFrame:
         end("c1", "c2").alias("source_column"),
         end("t2", "t1").alias("target_table"),
         end("c2", "c1").alias("target_column"),
+        "times",
     )
 
 
@@ -180,7 +199,7 @@ def mine_joins(statements: DataFrame, column: str = "statement") -> DataFrame:
     return (
         join_pairs(statements, column)
         .groupBy(*END_COLUMNS)
-        .agg(F.count(F.lit(1)).alias("join_count"))
+        .agg(F.sum("times").alias("join_count"))
         .select(
             *END_COLUMNS,
             F.lit("FK_INFERRED").alias("relationship_type"),

@@ -80,7 +80,7 @@ def validate_fidelity(real: DataFrame, synth: DataFrame, table: str, policies: I
     if numeric:
         counts = usable(fidelity.numeric_counts(real, synth, numeric))
         parts.append(
-            fidelity.ks_two_sample(counts).select(
+            fidelity.ks_two_sample(counts, written=True).select(
                 *_result(
                     F.concat(F.lit("KS Test: "), name), table, name, F.col("p_value") >= ks_alpha,
                     F.round("p_value", 6), ks_alpha,
