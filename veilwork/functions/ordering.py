@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from veilwork.functions import draws
 
 
-def _fractions(cells: int) -> list[float]:
-    return [i / cells for i in range(1, cells)]
+CELLS = 1024
+
+
+def _quantiles(column: str, cells: int) -> Column:
+    shares = ", ".join(f"{i / cells}D" for i in range(1, cells))
+    return F.expr(f"percentile_approx(CAST(`{column}` AS DOUBLE), array({shares}), 10000)")
 
 
 def _with_cell(df: DataFrame, value: Column, cells: int, name: str) -> DataFrame:
@@ -43,13 +47,13 @@ def null_safe_join(df: DataFrame, facts: DataFrame, keys: Sequence[str]) -> Data
 
 
 def split_into_cells(
-    df: DataFrame, by: Column, within: Sequence[str] = (), cells: int = 64, name: str = "_cell"
+    df: DataFrame, by: str, within: Sequence[str] = (), cells: int = CELLS, name: str = "_cell"
 ) -> DataFrame:
     """Add the range cell of ``by`` from approximate quantiles (per ``within`` group)."""
     if cells < 2:
         return df.withColumn(name, F.lit(0))
-    value = by.cast("double")
-    bounds = F.percentile_approx(value, _fractions(cells), F.lit(10_000))
+    value = F.col(by).cast("double")
+    bounds = _quantiles(by, cells)
     if within:
         per_group = df.groupBy(*within).agg(bounds.alias("_bounds"))
         return _with_cell(null_safe_join(df, per_group, within), value, cells, name)
@@ -78,7 +82,7 @@ def ordered_index(
     tiebreak: Sequence[str] = (),
     name: str = "_index",
     start: int = 0,
-    cells: int = 64,
+    cells: int = CELLS,
     chunk: int | None = None,
 ) -> DataFrame:
     """Dense position of each row in the order (lead, by, tiebreak), per ``within`` group.
@@ -90,7 +94,7 @@ def ordered_index(
     """
     group = [*within, *lead]
     if chunk is None:
-        celled = split_into_cells(df, F.col(by), group, cells)
+        celled = split_into_cells(df, by, group, cells)
     else:
         celled = df.withColumn("_cell", F.floor(F.col(by) / chunk))
     sizes = celled.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
@@ -105,7 +109,7 @@ def ordered_index(
 
 
 def shuffled_index(
-    df: DataFrame, key: Sequence[str], seed, name: str = "_index", cells_log2: int = 8
+    df: DataFrame, key: Sequence[str], seed, name: str = "_index", cells_log2: int = 16
 ) -> DataFrame:
     """Dense 0-based position in a reproducible random order of a unique ``key``.
 

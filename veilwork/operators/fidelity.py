@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.functions.ordering import split_into_cells
+from veilwork.functions.ordering import CELLS, split_into_cells
 from veilwork.functions.tails import chi_square_tail, kolmogorov_tail
 from veilwork.operators.profile import clean, fields_of, is_numeric, long_form
 from veilwork.session import cut_lineage, spread
@@ -58,7 +58,7 @@ def side_totals(counts: DataFrame) -> DataFrame:
     )
 
 
-def ks_two_sample(counts: DataFrame, cells: int = 64, written: bool = False) -> DataFrame:
+def ks_two_sample(counts: DataFrame, cells: int = CELLS, written: bool = False) -> DataFrame:
     """(column_name, total_real, total_synth, ks_stat, p_value) from numeric counts.
 
     The distribution functions run over ranges of values: each range knows the
@@ -67,7 +67,7 @@ def ks_two_sample(counts: DataFrame, cells: int = 64, written: bool = False) ->
     are written first unless they are a table already.
     """
     counts = counts if written else cut_lineage(counts)
-    celled = split_into_cells(counts, F.col("value"), ["column_name"], cells)
+    celled = split_into_cells(counts, "value", ["column_name"], cells)
     sizes = celled.groupBy("column_name", "_cell").agg(F.sum("n_real").alias("_cr"), F.sum("n_synth").alias("_cs"))
     all_cells = Window.partitionBy("column_name")  # at most `cells` rows per column
     before = all_cells.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

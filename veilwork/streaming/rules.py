@@ -9,10 +9,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from veilwork.operators.dedup import compared_columns, record_hash
-from veilwork.operators.defects import Rule, scan_table
+from veilwork.operators.defects import Rule, row_json, scan_table
 
 
 def scan_stream(stream: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
@@ -21,7 +20,7 @@ def scan_stream(stream: DataFrame, table: str, rules: Sequence[Rule]) -> DataFra
     hits = scan_table(stream, table, local, {})
     return hits.select(
         "table_name", "rule_key", "column_name", "defect_type", "pk_value", "bad_value", "reason", "severity",
-        F.to_json("_row").alias("example_row"),
+        row_json(hits).alias("example_row"),
     )
 
 
