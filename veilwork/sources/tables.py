@@ -8,6 +8,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwork.session import spread
+
 Tables = dict[str, DataFrame]
 
 
@@ -165,16 +167,24 @@ def statements(texts: DataFrame, column: str = "value") -> DataFrame:
     ``texts`` may hold one file or one statement per row.  Comments go first, so
     that a semicolon inside one does not split a statement.
     """
-    clean: Column = F.regexp_replace(F.col(column), r"--[^\n]*", " ")
-    clean = F.regexp_replace(clean, r"/\*[^*]*\*+([^/*][^*]*\*+)*/", " ")
-    parts = F.explode(F.split(clean, ";"))
+    text = F.col(column)
+    lines = F.when(F.contains(text, F.lit("--")), F.regexp_replace(text, r"--[^\n]*", " ")).otherwise(text)
+    kept = [c for c in texts.columns if c != column]
+    clean = spread(texts).select(*kept, lines.alias("_lines")).select(*kept, _without_blocks("_lines").alias("_text"))
     return (
-        texts.select(*[c for c in texts.columns if c != column], parts.alias("statement"))
+        clean.select(*kept, F.explode(F.split("_text", ";")).alias("statement"))
         .withColumn("statement", F.trim(F.regexp_replace("statement", r"\s+", " ")))
         .where(F.col("statement") != "")
     )
 
 
+def _without_blocks(column: str) -> Column:
+    """Text without block comments; most texts have none and skip the regex."""
+    block = r"/\*[^*]*\*+([^/*][^*]*\*+)*/"
+    text = F.col(column)
+    return F.when(F.contains(text, F.lit("/*")), F.regexp_replace(text, block, " ")).otherwise(text)
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Statements of every SQL file below ``path``."""
     return statements(spark.read.text(path, wholetext=True))
