@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import exact_dedup
+from veilwork.llm import exact_dedup, jaccard_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,3 +43,27 @@ LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 )
 def op4(spark: SparkSession, root: str) -> DataFrame:
     return exact_dedup.grace_dedup(read(spark, root, "documents"))
+
+
+@query(
+    "op8_ngram_jaccard_join",
+    f"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array({LOWERED}, '[ \t\n\x0b\f\r]+'), x -> x <> '') AS words FROM documents
+    ), s AS (
+      SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - 1), i -> array_to_string(words[i:i+2], ' ')) END) AS grams FROM w
+    ), g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+    pairs AS (
+      SELECT a.doc_id AS u, b.doc_id AS v FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+    ), reach AS (
+      SELECT doc_id AS u, doc_id AS v FROM documents
+      UNION SELECT reach.u, pairs.v FROM reach JOIN pairs ON reach.v = pairs.u
+    )
+    SELECT s.doc_id, len(grams) AS n_shingles, c.component_id
+    FROM s JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = s.doc_id
+    """,
+)
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, root, "documents"), size=3, threshold=Fraction(9, 10))
