@@ -8,7 +8,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import exact_dedup, jaccard_join
+from veilwork.llm import exact_dedup, jaccard_join, language_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,3 +67,8 @@ def op4(spark: SparkSession, root: str) -> DataFrame:
 )
 def op8(spark: SparkSession, root: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, root, "documents"), size=3, threshold=Fraction(9, 10))
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    return language_id.identify(read(spark, root, "documents"))
