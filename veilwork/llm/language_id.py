@@ -84,7 +84,7 @@ def _strings(texts: list[bytes]) -> list[str]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for rows, texts in portions(batch, "text"):
+        for rows, texts in portions(batch, "text", 3 << 20):
             features = Features(_strings(texts))
             per_text = np.array(rows.column(0).to_pylist(), object)
             per_word = np.repeat(np.arange(len(texts)), np.diff(features.at))
@@ -154,7 +154,7 @@ def _predict(model, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs, barred = (model.value[k] for k in ("langs", "logs", "barred"))
         for batch in batches:
-            for rows, texts in portions(batch, "text", 8 << 20):
+            for rows, texts in portions(batch, "text", 3 << 20):
                 found = Features(_strings(texts))
                 n_words = np.diff(found.at)
                 if langs and len(found.starts):
