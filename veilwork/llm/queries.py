@@ -8,7 +8,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import exact_dedup, jaccard_join, language_id
+from veilwork.llm import decontamination, exact_dedup, jaccard_join, language_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,3 +72,8 @@ def op8(spark: SparkSession, root: str) -> DataFrame:
 @query("op3_language_id")
 def op3(spark: SparkSession, root: str) -> DataFrame:
     return language_id.identify(read(spark, root, "documents"))
+
+
+@query("op9_benchmark_decontamination")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    return decontamination.flag(read(spark, root, "documents"), read(spark, root, "benchmark"))
