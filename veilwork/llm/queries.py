@@ -6,9 +6,10 @@ import os
 from collections.abc import Callable
 from fractions import Fraction
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import decontamination, exact_dedup, jaccard_join, language_id
+from veilwork.llm import decontamination, exact_dedup, jaccard_join, language_id, piece_sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,3 +78,11 @@ def op3(spark: SparkSession, root: str) -> DataFrame:
 @query("op9_benchmark_decontamination")
 def op9(spark: SparkSession, root: str) -> DataFrame:
     return decontamination.flag(read(spark, root, "documents"), read(spark, root, "benchmark"))
+
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op7_piece_sampling")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    return piece_sampling.round_trip(read(spark, root, "documents"), PIECES)
