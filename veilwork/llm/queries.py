@@ -9,7 +9,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import decontamination, exact_dedup, jaccard_join, language_id, piece_sampling
+from veilwork.llm import decontamination, exact_dedup, jaccard_join, language_id, lm_scoring, piece_sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +86,8 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 @query("op7_piece_sampling")
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return piece_sampling.round_trip(read(spark, root, "documents"), PIECES)
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    return lm_scoring.score_held_out(read(spark, root, "documents"))
