@@ -9,7 +9,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import decontamination, exact_dedup, jaccard_join, language_id, lm_scoring, piece_sampling
+from veilwork.llm import decontamination, exact_dedup, jaccard_join, language_id, lm_scoring, piece_sampling, secret_scan, token_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,3 +91,49 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
 @query("op10_lm_scoring")
 def op10(spark: SparkSession, root: str) -> DataFrame:
     return lm_scoring.score_held_out(read(spark, root, "documents"))
+
+
+def _spans_sql() -> str:
+    """Matches of each rule as rows: framed by control characters, split there, lengths summed."""
+    arms = []
+    for rank, (kind, pattern, group, least) in enumerate(secret_scan.RULES):
+        quoted = pattern.replace("'", "''")
+        counted = "m" if group == 0 else f"regexp_extract(m, '{quoted}', {group})"
+        arms.append(
+            f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, a, a + length(m) AS b FROM ("
+            " SELECT doc_id, list_sum(list_transform(parts[1:i-1], x -> length(x)))::BIGINT - (i - 2) AS a,"
+            " split_part(parts[i], chr(2), 1) AS m FROM ("
+            f" SELECT doc_id, parts, unnest(range(2, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split("
+            f"regexp_replace(t, '{quoted}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS parts FROM d)))"
+            f" WHERE length({counted}) >= {least}"
+        )
+    return " UNION ALL ".join(arms)
+
+
+@query(
+    "op5_secret_scan",
+    f"""
+    WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS t FROM documents),
+    s AS ({_spans_sql()}),
+    g AS (
+      SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < 3) AS base,
+        string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans
+      FROM s GROUP BY doc_id
+    )
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+      sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN g USING (doc_id)
+    """,
+)
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    return secret_scan.scan(read(spark, root, "documents")).drop("found")
+
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op6_token_records")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    return token_records.read_records(token_records.write_records(read(spark, root, "documents"), WORD_BPE))

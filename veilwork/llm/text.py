@@ -30,12 +30,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _piece_words(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word, eight bytes of all words at a time."""
+def word_places(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and size of every word as it stands, eight bytes of all words at a time."""
     word = ~_SPACE[np.frombuffer(buffer, np.uint8)]
     edges = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
     starts = np.flatnonzero(edges == 1)
-    left = np.flatnonzero(edges == -1) - starts
+    sizes = left = np.flatnonzero(edges == -1) - starts
     eights = np.ndarray(len(buffer) + 1, "<u8", buffer + bytes(8), strides=(1,))
     out, at, open_words = left.astype(np.uint64) * _BASE, starts.copy(), slice(None)
     while len(at):
@@ -44,7 +44,7 @@ def _piece_words(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
         more = np.flatnonzero(left > 8)
         open_words = more if isinstance(open_words, slice) else open_words[more]
         at, left = at[more] + 8, left[more] - 8
-    return out, starts
+    return out, starts, sizes
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +57,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         end = min(at + PIECE, len(buffer))
         while end < len(buffer) and not _SPACE[buffer[end - 1]]:  # a piece ends behind white space
             end += 1
-        h, s = _piece_words(buffer[at:end])
+        h, s, _ = word_places(buffer[at:end])
         hashes.append(h)
         starts.append(s + at)
         at = end
