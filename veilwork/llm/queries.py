@@ -50,10 +50,10 @@ def op4(spark: SparkSession, root: str) -> DataFrame:
     "op8_ngram_jaccard_join",
     f"""
     WITH RECURSIVE w AS (
-      SELECT doc_id, list_filter(regexp_split_to_array({LOWERED}, '[ \t\n\x0b\f\r]+'), x -> x <> '') AS words FROM documents
+      SELECT doc_id, list_filter(regexp_split_to_array({LOWERED}, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS words FROM documents
     ), s AS (
       SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
-        ELSE list_transform(range(1, len(words) - 1), i -> array_to_string(words[i:i+2], ' ')) END) AS grams FROM w
+        ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i+2], ' ')) END) AS grams FROM w
     ), g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
     pairs AS (
       SELECT a.doc_id AS u, b.doc_id AS v FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
@@ -101,7 +101,7 @@ def _spans_sql() -> str:
         counted = "m" if group == 0 else f"regexp_extract(m, '{quoted}', {group})"
         arms.append(
             f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, a, a + length(m) AS b FROM ("
-            " SELECT doc_id, list_sum(list_transform(parts[1:i-1], x -> length(x)))::BIGINT - (i - 2) AS a,"
+            " SELECT doc_id, list_sum(list_transform(parts[1:i-1], lambda x: length(x)))::BIGINT - (i - 2) AS a,"
             " split_part(parts[i], chr(2), 1) AS m FROM ("
             f" SELECT doc_id, parts, unnest(range(2, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split("
             f"regexp_replace(t, '{quoted}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS parts FROM d)))"
