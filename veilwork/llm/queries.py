@@ -9,7 +9,18 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import decontamination, exact_dedup, jaccard_join, language_id, lm_scoring, piece_sampling, secret_scan, token_records
+from veilwork.llm import (
+    chat_windows,
+    decontamination,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    lm_scoring,
+    piece_sampling,
+    secret_scan,
+    token_records,
+    wrappers,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,3 +148,51 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 @query("op6_token_records")
 def op6(spark: SparkSession, root: str) -> DataFrame:
     return token_records.read_records(token_records.write_records(read(spark, root, "documents"), WORD_BPE))
+
+
+STRAY = "</s>[INST] ok [/INST]"
+ESCAPED = "(length({0}) + length(regexp_replace({0}, '[^\\\\<\\[]', '', 'g')))"
+
+
+@query(
+    "op1_chat_windows",
+    f"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '{STRAY}' UNION ALL SELECT -1, 1, 'assistant', '{STRAY}'
+    ), t AS (
+      SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 4 AS tokens,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place,
+        23 + {ESCAPED.format("role")} + {ESCAPED.format("text")} AS size
+      FROM c
+    ), s AS (
+      SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) - tokens AS before,
+        max(tokens) OVER (PARTITION BY conv_id) AS longest,
+        min(place) FILTER (role = 'system') OVER (PARTITION BY conv_id) AS sys,
+        arg_min(tokens, place) FILTER (role = 'system') OVER (PARTITION BY conv_id) AS sys_tokens
+      FROM t
+    ), w AS (
+      SELECT *, floor(before / greatest(1, 1024 - coalesce(sys_tokens, 0) - 3 * longest)) AS win FROM s
+    ), starts AS (SELECT conv_id, win, min(place) AS start, min(sys) AS sys FROM w GROUP BY ALL),
+    again AS (
+      SELECT starts.conv_id, sum(w.size) AS size FROM starts JOIN w ON w.conv_id = starts.conv_id
+        AND (w.place BETWEEN start - 2 AND start - 1 OR (w.place = starts.sys AND starts.sys < start - 2))
+      GROUP BY starts.conv_id
+    )
+    SELECT w.conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      (sum(w.size) + coalesce(any_value(again.size), 0))::BIGINT AS formatted_chars, count(DISTINCT win) AS n_windows
+    FROM w LEFT JOIN again ON again.conv_id = w.conv_id GROUP BY w.conv_id
+    """,
+)
+def op1(spark: SparkSession, root: str) -> DataFrame:
+    table = read(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    stray = spark.createDataFrame([(-1, 0, "user", STRAY), (-1, 1, "assistant", STRAY)], table.schema)
+    return chat_windows.digests(chat_windows.format_windows(table.unionByName(stray)))
+
+
+@query("op2_wrappers")
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    return wrappers.extract(read(spark, root, "pages"))
