@@ -12,8 +12,8 @@ stays useful.  The index file has 24 bytes per record: offset in the file, numbe
 the file, so any record is read with one seek.  Files hold ranges of ids in ascending order.  A task writes under
 a name of its own attempt; the manifest, a table, names the files that count, so a lost attempt leaves nothing visible.
 
-Words (between ASCII white space) are encoded once per portion of text by the tokenizers library and put together
-again: its pre-tokenizer never joins text over white space.
+Words (between ASCII white space) are encoded once by the tokenizers library, kept by hash in a bounded cache, and
+put together again: its pre-tokenizer never joins text over white space.
 """
 
 from __future__ import annotations
@@ -47,18 +47,63 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class WordCache:
+    """Ids of the words seen so far, by the words' hashes; it starts anew when it holds ``most`` words."""
+
+    def __init__(self, path: str, most: int = 1 << 20):
+        self.tokenizer, self.most = _tokenizer(path), most
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.first, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        """A word of ASCII letters is one unit of the pre-tokenizer and goes to the library's model as it is."""
+        model = self.tokenizer.model
+        own = [[t.id for t in model.tokenize(w.lower())] if w.isascii() and w.isalpha() else None for w in texts]
+        rest = [i for i, ids in enumerate(own) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            own[i] = e.ids
+        return own
+
+    def entries(self, hashes: np.ndarray, text_of) -> np.ndarray:
+        """Entry numbers of sorted distinct hashes; ``text_of(places)`` gives the words at places of ``hashes``."""
+        if len(self.hashes) > self.most:
+            self.clear()
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            own = self._encode(text_of(new))
+            counts = np.fromiter(map(len, own), np.int64, len(own))
+            flat = np.fromiter((i for ids in own for i in ids), np.uint32, int(counts.sum()))
+            numbers = len(self.first) + np.arange(len(new))
+            self.first = np.append(self.first, len(self.flat) + np.cumsum(counts) - counts)
+            self.counts, self.flat = np.append(self.counts, counts), np.append(self.flat, flat)
+            self.at = np.insert(self.at, place[new], numbers)
+            self.hashes = np.insert(self.hashes, place[new], hashes[new])
+        return self.at[np.searchsorted(self.hashes, hashes)]
+
+
+@lru_cache(maxsize=2)
+def _cache(path: str) -> WordCache:
+    return WordCache(path)
+
+
 def encode_texts(path: str, texts: list[bytes], end: int) -> list[np.ndarray]:
     """Ids of every text with ``end`` behind them."""
     buffer = b" ".join(texts) + b" "
     hashes, starts, sizes = word_places(buffer)
     bounds = np.concatenate(([0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))))
     at = np.searchsorted(starts, bounds)
-    _, example, kind = np.unique(hashes, return_index=True, return_inverse=True)
-    distinct = [buffer[s : s + n].decode() for s, n in zip(starts[example].tolist(), sizes[example].tolist(), strict=True)]
-    own = [e.ids for e in _tokenizer(path).encode_batch_fast(distinct, add_special_tokens=False)]
-    counts = np.fromiter(map(len, own), np.int64, len(own))
-    flat = np.fromiter((i for ids in own for i in ids), np.uint32, int(counts.sum()))
-    first = np.cumsum(counts) - counts
+    distinct, example, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    spots = list(zip(starts[example].tolist(), sizes[example].tolist(), strict=True))
+    cache = _cache(path)
+    entry = cache.entries(distinct, lambda new: [buffer[x : x + n].decode() for x, n in map(spots.__getitem__, new.tolist())])
+    flat, first, counts = cache.flat, cache.first[entry], cache.counts[entry]
     per_word = counts[kind]
     before = np.cumsum(per_word) - per_word
     ids = flat[np.arange(int(per_word.sum())) - np.repeat(before - first[kind], per_word)]
