@@ -213,8 +213,19 @@ def _scores(shared):
     return run
 
 
-def _top(counts: DataFrame, n: int):
-    return counts.orderBy(F.desc("n"), "key").limit(n).toPandas()  # a fixed number of rows
+def _top(counts: DataFrame, most: int):
+    """The most frequent keys, ``most`` at most: all keys of the highest cells of a histogram of counts that fit.
+
+    No task sorts or sends more than the rows that are taken in the end; keys of one cell stay or go together.
+    """
+    cell = F.floor(F.log2("n") * 64)  # counts up to 64 have cells of their own
+    cells = sorted(counts.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("keys")).collect(), reverse=True)
+    least, taken = None, 0
+    for row in cells:
+        if taken + row["keys"] > most:
+            break
+        least, taken = row["cell"], taken + row["keys"]
+    return counts.where(F.lit(False) if least is None else cell >= least).toPandas()
 
 
 def score(
@@ -248,10 +259,10 @@ def score(
         top.loc[len(top)] = (end, documents)
     automaton = Automaton(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total, distinct, documents)
     shared = spark.sparkContext.broadcast(automaton)
-    pairs = _top(count(lambda texts: shared.value.pair_keys(texts)).where("n > 1"), arcs)
+    pairs = _top(space.save(count(lambda texts: shared.value.pair_keys(texts)).where("n > 1"), "pairs"), arcs)
     automaton.add_pairs(pairs["key"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64))
     with_pairs = spark.sparkContext.broadcast(automaton)
-    triples = _top(count(lambda texts: with_pairs.value.triple_keys(texts)).where("n > 1"), arcs)
+    triples = _top(space.save(count(lambda texts: with_pairs.value.triple_keys(texts)).where("n > 1"), "triples"), arcs)
     automaton.finish(triples["key"].to_numpy(np.int64), triples["n"].to_numpy(np.float64))
     whole = spark.sparkContext.broadcast(automaton)
 
