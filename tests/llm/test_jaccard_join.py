@@ -4,7 +4,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from veilwork.llm.jaccard_join import Classes, jaccard_components, join_sets, keep_one
+from veilwork.llm.jaccard_join import CELL_BITS, Classes, jaccard_components, join_sets, keep_one
 from veilwork.llm.text import LOWER, shingles, words
 
 
@@ -86,7 +86,8 @@ def test_pairs_at_the_threshold_share_a_signature(t):
                 if (n - drop) * t.denominator < t.numerator * (n + drop):
                     break
                 hard = b
-            assert np.intersect1d(classes.signatures(np.sort(a)), classes.signatures(np.sort(hard))).size
+            for common in (None, rng.random(1 << CELL_BITS) < 0.1, rng.random(1 << CELL_BITS) < 0.8):
+                assert np.intersect1d(classes.signatures(np.sort(a), common), classes.signatures(np.sort(hard), common)).size
 
 
 def test_trie_join_sides():

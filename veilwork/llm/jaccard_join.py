@@ -4,6 +4,8 @@ Sets are compared only inside families.  For a pair that reaches the threshold t
 most D elements (D follows from the sizes), so when elements are dealt by hash to more than D parts, one part is
 equal in both.  Every set gives a signature per part; sets with an equal signature belong to one family.
 
+* Shingles of passages that many texts share are left out of the parts where the others suffice; else a part of one
+  common shingle would make one family of all texts that have the passage.
 * Rows with equal signatures inside a map task are linked there, and only the least one goes on, so a signature
   of a third of all rows is a row per map task after that.  Signatures travel as packed arrays per bucket.
 * Copies (equal sets) are one node throughout.
@@ -29,6 +31,7 @@ from veilwork.llm.graph import components
 from veilwork.llm.store import Workspace
 from veilwork.llm.text import mix, portions, shingles, signed, words
 
+CELL_BITS = 18
 SET = "doc_id long, n long, node long, check long"
 
 
@@ -90,24 +93,62 @@ class Classes:
         most = int(2 * largest * (1 - self.t) / (1 + self.t))
         return most + 1 + (most + 9) // 10, most
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Non-empty parts only: a pair differs in at most D of them, so D + 1 of them suffice on either side.
+    def _parts(self, s: np.ndarray, c: int, m: int, most: int, tag: int) -> tuple[np.ndarray, bool]:
+        """Signatures of the non-empty parts of ``s``, and whether they are more than a pair can differ in."""
+        part = (mix(s + np.uint64(c)) % np.uint64(m)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        here, first = np.unique(part[order], return_index=True)
+        sums = np.zeros(m, np.uint64)
+        if len(here):
+            sums[here] = np.add.reduceat(mix(s[order] ^ np.uint64(0xA0761D6478BD642F)), first)
+        enough = len(here) > most
+        chosen = here if enough or not tag else np.arange(m)
+        label = chosen.astype(np.uint64) * np.uint64(65536) + np.uint64(c + (tag << 48))
+        return mix(sums[chosen] * np.uint64(0xE7037ED1A0B428DB) + label), enough
+
+    def signatures(self, s: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+        """Signatures over the elements that are not common, and over all elements where those do not suffice.
 
-        A set with fewer non-empty parts signs its empty ones, too.
+        A pair differs in at most D elements.  If either set has more than D non-empty parts of uncommon elements, one
+        of them is equal in the other set, which signs it, too.  If neither has, both sign their whole sets: non-empty
+        parts if more than D, else all parts.  ``common`` may hold any elements, the same for all sets.
         """
         out = []
+        rare = s if common is None else s[~common[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]]
         for c in self.for_size(len(s)):
             m, most = self.parts(c)
-            part = (mix(s + np.uint64(c)) % np.uint64(m)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            here, first = np.unique(part[order], return_index=True)
-            sums = np.zeros(m, np.uint64)
-            sums[here] = np.add.reduceat(mix(s[order] ^ np.uint64(0xA0761D6478BD642F)), first)
-            chosen = here if len(here) > most else np.arange(m)
-            out.append(mix(sums[chosen] * np.uint64(0xE7037ED1A0B428DB) + chosen.astype(np.uint64) * np.uint64(65536) + np.uint64(c)))
+            signed_parts, enough = self._parts(rare, c, m, most, 0)
+            out.append(signed_parts)
+            if not enough:
+                out.append(self._parts(s, c, m, most, 1)[0])
         return np.concatenate(out)
 
 
+def _cells(size: int):
+    """How many sets of a task have an element in each cell of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(1 << CELL_BITS, np.int64), set()
+        for _, s, (node, _) in _sets(batches, size):
+            if node not in seen:
+                seen.add(node)
+                counts += np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(counts))
+        used = np.flatnonzero(counts)
+        if len(used):
+            yield pa.record_batch([pa.array(used), pa.array(counts[used])], names=["cell", "n"])
+
+    return run
+
+
+def common_cells(narrow: DataFrame, size: int) -> np.ndarray:
+    """Cells far above the mean: they hold shingles of passages that many texts share."""
+    table = narrow.mapInArrow(_cells(size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << CELL_BITS)
+    counts[table["cell"].to_numpy(np.int64)] = table["n"]  # at most 2**CELL_BITS rows
+    typical = float(np.median(counts))
+    return counts > typical + 8 * np.sqrt(typical) + 16
+
+
 def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Least node of each signature, and (least, other) edges; equal rows count once."""
     order = np.lexsort((node, sig))
@@ -122,7 +163,7 @@ def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sig[lead], node[lead], edges[:, 0], edges[:, 1]
 
 
-def _sign(size: int, threshold: Fraction, buckets: int, most: int = 1_500_000):
+def _sign(size: int, threshold: Fraction, buckets: int, common, most: int = 1_500_000):
     """Packed (signature, node) pairs per bucket, combined per map task; an edge is a signature of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +189,7 @@ def _sign(size: int, threshold: Fraction, buckets: int, most: int = 1_500_000):
             if not len(s) or node in seen:
                 continue
             seen.add(node)
-            sig = classes.signatures(s)
+            sig = classes.signatures(s, common.value)
             sigs.append(sig)
             nodes.append(np.full(len(sig), node, np.int64))
             held += len(sig)
@@ -306,7 +347,8 @@ def jaccard_components(
 
     # Families: sets that share a signature, directly or through others.
     buckets = max(16, total // 4_000_000)
-    signed_sets = narrow.mapInArrow(_sign(size, threshold, buckets), "bucket int, pairs binary")
+    common = spark.sparkContext.broadcast(common_cells(narrow, size))  # one flag per cell
+    signed_sets = narrow.mapInArrow(_sign(size, threshold, buckets, common), "bucket int, pairs binary")
     dealt = signed_sets.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     edges = space.save(dealt.mapInArrow(_match, "u long, v long"), "edges")
     families = space.save(components(edges, space, "families"), "families")
