@@ -120,7 +120,7 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame, source: str = "source"
     return done.withColumn("cyclic", F.lit(False)).unionByName(rest)
 
 
-def components(edges: DataFrame, nodes: DataFrame, source: str = "source", target: str = "target", most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """(node, component): the smallest node each node is connected to.
 
     Alternates two steps on the edges, each a grouped minimum: join every larger
@@ -134,7 +134,7 @@ def components(edges: DataFrame, nodes: DataFrame, source: str = "source", targe
     current = cut_lineage(
         edges.select(F.col(source).alias("u"), F.col(target).alias("v")).where("u <> v").distinct()
     )
-    for _ in range(most_rounds):
+    while True:  # until a round changes nothing
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
             both.join(smallest_neighbor(both), "u")

@@ -312,7 +312,7 @@ def orphans(child: DataFrame, child_column: str, parent: DataFrame, parent_colum
     A left anti join on the key: NULL parents do not hide orphans, and nothing is
     broadcast unless Spark has measured it to be small.
     """
-    keys = parent.select(F.col(parent_column).alias("_pk")).where("_pk is not null").distinct()
+    keys = parent.select(F.col(parent_column).alias("_pk")).where("_pk is not null")
     return child.where(F.col(child_column).isNotNull()).join(
         keys, F.col(child_column) == F.col("_pk"), "left_anti"
     )

@@ -339,7 +339,7 @@ def validate_rules(df: DataFrame, table: str, rules: Sequence[str]) -> DataFrame
     """
     counted, constants = [], []
     for rule in rules:
-        text, check = rule.lower(), f"Business Rule: {rule[:60]}"
+        text, check = rule.lower(), f"Business Rule: {rule}"
         mentioned = [f for f in df.schema.fields if f.name.lower() in text]
         numeric = [f for f in mentioned if is_numeric(f.dataType)]
         if ("must be positive" in text or "must be non-negative" in text) and numeric:
