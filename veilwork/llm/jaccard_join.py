@@ -31,7 +31,7 @@ from veilwork.llm.graph import components
 from veilwork.llm.store import Workspace
 from veilwork.llm.text import mix, portions, shingles, signed, words
 
-CELL_BITS = 18
+CELL_BITS = 20
 SET = "doc_id long, n long, node long, check long"
 
 
@@ -81,17 +81,17 @@ class Classes:
 
     def of(self, n: int) -> int:
         while self.bounds[-1] <= n:
-            self.bounds.append(max(self.bounds[-1] + 1, self.bounds[-1] * 3 // 2))
+            self.bounds.append(max(self.bounds[-1] + 1, self.bounds[-1] * 5 // 4))
         return int(np.searchsorted(self.bounds, n, "right")) - 1
 
     def for_size(self, n: int) -> range:
         return range(self.of(n), self.of(int(n / self.t)) + 1)
 
-    def parts(self, c: int) -> tuple[int, int]:
-        """Parts of class ``c``, and how many of them a pair of the class may differ in."""
+    def parts(self, c: int, n: int) -> tuple[int, int]:
+        """Parts of class ``c``, and how many of them a set of ``n`` elements may differ in from one of the class."""
         largest = self.bounds[c + 1] - 1
         most = int(2 * largest * (1 - self.t) / (1 + self.t))
-        return most + 1 + (most + 9) // 10, most
+        return most + 1 + (most + 9) // 10, int((n + largest) * (1 - self.t) / (1 + self.t))
 
     def _parts(self, s: np.ndarray, c: int, m: int, most: int, tag: int) -> tuple[np.ndarray, bool]:
         """Signatures of the non-empty parts of ``s``, and whether they are more than a pair can differ in."""
@@ -109,14 +109,15 @@ class Classes:
     def signatures(self, s: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
         """Signatures over the elements that are not common, and over all elements where those do not suffice.
 
-        A pair differs in at most D elements.  If either set has more than D non-empty parts of uncommon elements, one
-        of them is equal in the other set, which signs it, too.  If neither has, both sign their whole sets: non-empty
-        parts if more than D, else all parts.  ``common`` may hold any elements, the same for all sets.
+        A pair differs in at most D elements; each set knows a bound of D from its own size and the class's largest.
+        If either set has more non-empty parts of uncommon elements than its bound, one of them is equal in the other
+        set, which signs it, too.  If neither has, both sign their whole sets: non-empty parts if more than the bound,
+        else all parts.  ``common`` may hold any elements, the same for all sets.
         """
         out = []
         rare = s if common is None else s[~common[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]]
         for c in self.for_size(len(s)):
-            m, most = self.parts(c)
+            m, most = self.parts(c, len(s))
             signed_parts, enough = self._parts(rare, c, m, most, 0)
             out.append(signed_parts)
             if not enough:
@@ -146,7 +147,7 @@ def common_cells(narrow: DataFrame, size: int) -> np.ndarray:
     counts = np.zeros(1 << CELL_BITS)
     counts[table["cell"].to_numpy(np.int64)] = table["n"]  # at most 2**CELL_BITS rows
     typical = float(np.median(counts))
-    return counts > typical + 8 * np.sqrt(typical) + 16
+    return counts > typical + 4 * np.sqrt(typical) + 4
 
 
 def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
