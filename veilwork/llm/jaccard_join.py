@@ -32,6 +32,7 @@ from veilwork.llm.store import Workspace
 from veilwork.llm.text import mix, portions, shingles, signed, words
 
 CELL_BITS = 20
+SLICES = 64  # of the cells
 SET = "doc_id long, n long, node long, check long"
 
 
@@ -126,28 +127,46 @@ class Classes:
 
 
 def _cells(size: int):
-    """How many sets of a task have an element in each cell of hashes."""
+    """How many sets of a task have an element in each cell of hashes, one packed row per slice of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(1 << CELL_BITS, np.int64), set()
+        counts, seen = np.zeros(1 << CELL_BITS, np.int32), set()
         for _, s, (node, _) in _sets(batches, size):
             if node not in seen:
                 seen.add(node)
-                counts += np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(counts))
-        used = np.flatnonzero(counts)
-        if len(used):
-            yield pa.record_batch([pa.array(used), pa.array(counts[used])], names=["cell", "n"])
+                np.add.at(counts, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+        if seen:
+            packed = [part.tobytes() for part in np.split(counts, SLICES)]
+            yield pa.record_batch([pa.array(np.arange(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "counts"])
 
     return run
 
 
+def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Flags of the cells of each slice that are far above the slice's median; the rows of a slice follow each other."""
+    now, counts = None, None
+
+    def row() -> pa.RecordBatch:
+        typical = float(np.median(counts))
+        flags = np.packbits(counts > typical + 4 * np.sqrt(typical) + 4)
+        return pa.record_batch([pa.array([now], pa.int32()), pa.array([flags.tobytes()], pa.binary())], names=["slice", "flags"])
+
+    for batch in batches:
+        for which, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if which != now:
+                if now is not None:
+                    yield row()
+                now, counts = which, np.zeros((1 << CELL_BITS) // SLICES, np.int64)
+            counts += np.frombuffer(packed, np.int32)
+    if now is not None:
+        yield row()
+
+
 def common_cells(narrow: DataFrame, size: int) -> np.ndarray:
-    """Cells far above the mean: they hold shingles of passages that many texts share."""
-    table = narrow.mapInArrow(_cells(size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << CELL_BITS)
-    counts[table["cell"].to_numpy(np.int64)] = table["n"]  # at most 2**CELL_BITS rows
-    typical = float(np.median(counts))
-    return counts > typical + 4 * np.sqrt(typical) + 4
+    """Cells far above the median: they hold shingles of passages that many texts share."""
+    slices = narrow.mapInArrow(_cells(size), "slice int, counts binary").repartition(SLICES, "slice").sortWithinPartitions("slice")
+    flags = sorted(slices.mapInArrow(_flags, "slice int, flags binary").collect())  # a bit per cell
+    return np.concatenate([np.unpackbits(np.frombuffer(row["flags"], np.uint8)) for row in flags]).astype(bool)
 
 
 def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
