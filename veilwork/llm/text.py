@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
@@ -84,16 +85,19 @@ def binaries(column: pa.Array) -> list[bytes]:
 
 
 def portions(batch: pa.RecordBatch, text: str, most: int = 16 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """A batch in slices of at most ``most`` bytes of text (or one row), each with its texts."""
-    texts = binaries(batch.column(batch.schema.get_field_index(text)))
-    begin = total = 0
-    for i, t in enumerate(texts):
-        if i > begin and total + len(t) > most:
-            yield batch.slice(begin, i - begin), texts[begin:i]
-            begin, total = i, 0
-        total += len(t)
-    if begin < len(texts):
-        yield batch.slice(begin), texts[begin:]
+    """A batch in slices of at most ``most`` bytes of text (or one row), each with its texts.
+
+    Only the texts of one slice are Python objects at a time.
+    """
+    column = batch.column(batch.schema.get_field_index(text))
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    begin = 0
+    while begin < len(sizes):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(begin, end - begin), binaries(column.slice(begin, end - begin))
+        begin = end
 
 
 def signed(x: np.ndarray) -> np.ndarray:
