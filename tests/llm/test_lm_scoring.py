@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from veilwork.llm.lm_scoring import DISCOUNT, score, score_held_out
+from veilwork.llm.lm_scoring import BLOCK, PAIR_WEIGHT, TRIPLE_WEIGHT, score, score_held_out
 from veilwork.llm.queries import QUERIES
 
 ROOT = "/root/testdata/sf0.01"
@@ -16,55 +16,53 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", lowered) + [None]
 
 
-def brute(docs, training, head, arcs):
-    """The same model with dictionaries, one token after the other.  Needs counts without ties at the cuts."""
+def brute(docs, training):
+    """The automaton with dictionaries, one token after the other, along arcs and failure arcs."""
     sequences = [tokens(t) for t in training]
     uni = Counter(w for s in sequences for w in s)
     total, distinct = sum(uni.values()), len(uni)
-    frequent = {w for w, _ in uni.most_common(head)} | {None}
-    pairs = Counter((a, b) for s in sequences for a, b in zip(["^", *s], s) if a in frequent | {"^"} and b in frequent)
-    pairs = {p: n for p, n in pairs.most_common(arcs) if n > 1}
-    triples = Counter(t for s in sequences for t in zip(["^", *s], s, s[1:]) if t[:2] in pairs and t[1:] in pairs)
-    triples = {t: n for t, n in triples.most_common(arcs) if n > 1}
-
-    def p1(w):
-        return (uni[w] + 1) / (total + distinct + 1)
-
-    def history(w):
-        return len(training) if w == "^" else uni[w]
-
-    def p2(a, b):
-        if (a, b) in pairs:
-            return (pairs[a, b] - DISCOUNT) / history(a)
-        if a not in frequent | {"^"}:
-            return p1(b)
-        mine = [y for x, y in pairs if x == a]
-        return p1(b) * (1 - sum(p2(a, y) for y in mine)) / (1 - sum(map(p1, mine)))
-
-    def p3(a, b, c):
-        if (a, b) not in pairs:
-            return p2(b, c)
-        if (a, b, c) in triples:
-            return (triples[a, b, c] - DISCOUNT) / pairs[a, b]
-        mine = [t for t in triples if t[:2] == (a, b)]
-        left = 1 - sum((triples[t] - DISCOUNT) / pairs[a, b] for t in mine)
-        return p2(b, c) * left / (1 - sum(p2(*t[1:]) for t in mine))
+    pairs = Counter(p for s in sequences for p in zip(["^", *s], s))
+    triples = Counter(t for s in sequences for t in zip(["^", *s], s, s[1:]))
+    history = {(): 0, ("^",): len(training), **{(w,): n for w, n in uni.items()}, **pairs}
+    learned = {**{(w,): n for w, n in uni.items()}, **pairs, **triples}
+    weight = {1: PAIR_WEIGHT, 2: TRIPLE_WEIGHT}
+
+    def p(w, state):
+        if not state:
+            return (uni[w] + 1) / (total + distinct + 1)
+        k = weight[len(state)]
+        return (learned.get((*state, w), 0) + k * p(w, state[1:])) / (history[state] + k)
+
+    def step(state, w):
+        log = 0.0
+        while state and (*state, w) not in learned:  # failure arcs
+            k = weight[len(state)]
+            log, state = log + math.log10(k / (history[state] + k)), state[1:]
+        log += math.log10(p(w, state))
+        state = (*state, w)[-2:]
+        while state and not history.get(state):
+            state = state[1:]
+        return log, state
 
     out = []
     for doc, text in docs:
-        s = tokens(text)
-        full = ["^", *s]
-        logs = [math.log10(p2("^", s[0]))] + [math.log10(p3(full[i - 1], full[i], full[i + 1])) for i in range(1, len(s))]
-        out.append((doc, len(s), sum(uni[w] > 0 for w in s), total, sum(math.log10(p1(w)) for w in s), sum(logs)))
+        s, score, state = tokens(text), 0.0, ("^",) if training else ()
+        for w in s:
+            log, state = step(state, w)
+            score += log
+        out.append((doc, len(s), sum(uni[w] > 0 for w in s), total, sum(math.log10(p(w, ())) for w in s), score))
+    for state in [x for x in history if x and x[-1] is not None and history[x]]:  # a state's probabilities sum to one
+        assert sum(p(w, state) for w in [*uni, "not learned"]) == pytest.approx(1)
     return out
 
 
-@pytest.mark.parametrize("head,arcs", [(1 << 16, 1 << 18), (3, 1 << 18)])
-def test_brute_force(spark, head, arcs):
+@pytest.mark.parametrize("block_bytes", [BLOCK, 24, 1])
+def test_brute_force(spark, block_bytes):
     train = ["a b c", "a b c d", "A b", "x a b c d", "c d c d c d a b", "", "q w e r t y", None, "a a a a a b", "b " * 300]
     docs = [(i, t) for i, t in enumerate(train)] + [(50, "never seen words a b c"), (51, None), (52, ""), (53, "b c d\tA"), (None, "a b"), (50, "a b")]
-    got = score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame([(t, 1) for t in train], "text string, n int"), head=head, arcs=arcs)
-    expected = sorted(brute(docs, train, head, arcs), key=repr)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = score(frame, spark.createDataFrame([(t, 1) for t in train], "text string, n int"), block_bytes=block_bytes)
+    expected = sorted(brute(docs, train), key=repr)
     for a, b in zip(sorted((tuple(r) for r in got.collect()), key=repr), expected, strict=True):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-6)
 

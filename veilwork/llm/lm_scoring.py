@@ -1,15 +1,17 @@
-"""Language-model scores from a weighted backoff automaton.
-
-All n-gram counts come from all training rows, summed in Spark.  States are the empty history, the most frequent
-words, and the most frequent pairs of them; arcs carry the discounted log-probability of a word and the state
-behind it, failure arcs the backoff weight and the next shorter history.  The automaton has at most ``HEAD``
-words and ``ARCS`` pairs and triples, by count (documented parameters: the order of the model, not of the corpus).
-Words are only counted in pairs where both are frequent, and triples where both pairs are: a pair is never more
-frequent than its words, so nothing that could be among the most frequent is missed.
-
-A text is read once from left to right; all texts of a portion advance together, each carrying its state.  A word
-without an arc from the empty history has an add-one probability from its exact count: these words, with how often
-a text has them, are written as a table and joined with the counts of all words, whatever their number.
+"""Language-model scores from a weighted backoff automaton over all words, pairs and triples of the training rows.
+
+States are the empty history, the beginning of a text, every word and every pair that was learned.  An arc carries
+the smoothed log-probability of a word and leads to the state of the longest learned history behind it; a failure
+arc carries the weight of the shorter history and leads there.  With c the count of an n-gram, h of its history and
+k a fixed weight, p(word | history) = (c + k * p(word | shorter history)) / (h + k): an n-gram that was not learned
+(c = 0) gets the failure arc's k / (h + k) times the shorter history's probability, and all probabilities of a state
+sum to one.  The empty history has add-one probabilities.  There is no cut: the model holds every n-gram.
+
+The whole automaton grows with the corpus, so no task holds it.  Texts are kept in blocks.  A block asks for the
+counts of its own distinct n-grams and brings its own counts of them; requests are dealt by the hash of the n-gram,
+added up there, and the totals go back to the blocks in the order of the requests.  A block then has the part of the
+automaton that its texts can reach, and all of it.  A frequent n-gram is one entry per block, whatever its share of
+the corpus.  Requests travel as steps between sorted hashes, a row per block and bucket.
 """
 
 from __future__ import annotations
@@ -24,16 +26,20 @@ from pyspark.sql import functions as F
 
 from veilwork.llm.language_id import remainder
 from veilwork.llm.store import Workspace
-from veilwork.llm.text import portions, signed, words
+from veilwork.llm.text import mix, portions, signed, words
 
-HEAD = 1 << 16
-ARCS = 1 << 18
-DISCOUNT = 0.75
+BLOCK = 8 << 20  # bytes of text in a block; a longer text is a block of its own
+BUCKET = 1 << 21  # requests added up together, about
+PAIR_WEIGHT, TRIPLE_WEIGHT = 32.0, 8.0  # k of the formula above for words and for pairs as histories
 END, BEGIN = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)  # hashes that stand for no word
-SHIFT = 20  # bits of a word's number
-SCORED = (
-    "row long, doc_id long, n_tokens long, n_head long, base double, score double, tail array<struct<h:long,n:int>>"
+PAIR, TRIPLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+BLOCKS = (
+    "block long, n_words long, n_tokens long, learned_tokens long, learned_texts long,"
+    " ids array<long>, learn array<boolean>, scored array<boolean>, sizes array<int>, words binary, tokens binary"
 )
+REQUESTS = "block long, bucket int, first long, steps binary, low binary, high binary"
+REPLIES = "block long, bucket int, learned long, low binary, high binary"
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,251 +48,248 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, at[1:], END), at + np.arange(len(at))
 
 
-def _counted(keys, most: int = 4_000_000):
-    """Rows (key, n) of the keys that ``keys(texts)`` gives; equal keys of a task are counted before they leave it."""
+def _blocks(most: int):
+    """Texts as numbers of words, frequent words first; the numbers' bytes stand apart, so they compress well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for rows, texts in portions(batch, "text", most):
+                hashes, at = _tokens(texts)
+                distinct, number, times = np.unique(hashes, return_inverse=True, return_counts=True)
+                order = np.argsort(-times, kind="stable")
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order))
+                planes = np.ascontiguousarray(rank[number].view(np.uint8).reshape(-1, 4).T)
+                sizes, learn = np.diff(at), rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                row = {
+                    "block": block,
+                    "n_words": len(distinct),
+                    "n_tokens": len(hashes),
+                    "learned_tokens": int(sizes[learn].sum()),
+                    "learned_texts": int(learn.sum()),
+                    "ids": rows.column(0).to_pylist(),
+                    "learn": learn.tolist(),
+                    "scored": rows.column(3).to_pylist(),
+                    "sizes": sizes.tolist(),
+                    "words": distinct[order].tobytes(),
+                    "tokens": planes.tobytes(),
+                }
+                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
+                kinds += [pa.binary()] * 2
+                yield pa.record_batch([pa.array([x], k) for x, k in zip(row.values(), kinds, strict=True)], names=list(row))
+                block += 1
+
+    return run
+
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            own, n = np.unique(np.concatenate(held), return_counts=True)
-            for k in range(0, len(own), 1 << 18):
-                yield pa.record_batch([pa.array(own[k : k + (1 << 18)]), pa.array(n[k : k + (1 << 18)])], names=["key", "n"])
+class Block:
+    """The tokens of a block, its sorted distinct n-grams, and which of them belong to each token."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        def column(name: str) -> pa.Scalar:
+            return batch.column(batch.schema.get_field_index(name))[i]
+
+        self.number = column("block").as_py()
+        self.ids, self.scored = column("ids").as_py(), np.array(column("scored").as_py(), bool)
+        self.sizes, self.learn = np.array(column("sizes").as_py(), np.int64), np.array(column("learn").as_py(), bool)
+        distinct = np.frombuffer(column("words").as_py(), np.uint64)
+        planes = np.frombuffer(column("tokens").as_py(), np.uint8).reshape(4, -1)
+        token = np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+        order = np.argsort(distinct)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.words, self.word_of = distinct[order], place[token]
+        self.start = np.cumsum(self.sizes) - self.sizes
+        pair, triple, self.inner = self._grams(distinct[token])
+        self.grams, self.gram_of = np.unique(np.concatenate([pair, triple[self.inner]]), return_inverse=True)
+
+    def _grams(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: hashes of the pair and triple that end there, and whether there is a triple."""
+        before = np.concatenate(([BEGIN], hashes[:-1]))
+        before[self.start] = BEGIN
+        pair = mix(before * PAIR + hashes)
+        triple = mix(np.concatenate((pair[:1], pair[:-1])) * TRIPLE + hashes)
+        inner = np.ones(len(hashes), bool)
+        inner[self.start] = False
+        return pair, triple, inner
+
+    def learned(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often the block's learning texts have each word and each longer n-gram."""
+        weight = np.repeat(self.learn, self.sizes).astype(np.float64)
+        longer = np.bincount(self.gram_of, np.concatenate([weight, weight[self.inner]]), len(self.grams))
+        return np.bincount(self.word_of, weight, len(self.words)).astype(np.int64), longer.astype(np.int64)
+
+    def score(self, totals: np.ndarray, total: int, distinct: int, documents: int) -> pa.RecordBatch:
+        """One pass over all tokens, left to right; the state behind a token is its longest learned history."""
+        counts, longer = totals[: len(self.words)][self.word_of], totals[len(self.words) :]
+        pairs, triples = longer[self.gram_of[: len(counts)]], np.zeros(len(counts), np.int64)
+        triples[self.inner] = longer[self.gram_of[len(counts) :]]
+
+        def behind(state: np.ndarray, first: int) -> np.ndarray:
+            carried = np.concatenate(([0], state[:-1]))
+            carried[self.start] = first
+            return carried
+
+        word_state, pair_state = behind(counts, documents), behind(pairs, 0)  # counts of the two states before a token
+        one = (counts + 1) / (total + distinct + 1)
+        two = (pairs + PAIR_WEIGHT * one) / (word_state + PAIR_WEIGHT)
+        three = (triples + TRIPLE_WEIGHT * two) / (pair_state + TRIPLE_WEIGHT)
+        arc3 = triples > 0
+        fail3 = ~arc3 & (pair_state > 0)  # from the pair to its last word
+        arc2 = ~arc3 & (pairs > 0)
+        fail2 = ~arc3 & ~arc2 & (word_state > 0)  # from the word to the empty history
+        log1 = np.log10(one)
+        log = np.where(arc3, np.log10(three), np.where(arc2, np.log10(two), log1))
+        log[fail3] += np.log10(TRIPLE_WEIGHT / (pair_state[fail3] + TRIPLE_WEIGHT))
+        log[fail2] += np.log10(PAIR_WEIGHT / (word_state[fail2] + PAIR_WEIGHT))
+        known = np.add.reduceat((counts > 0).astype(np.int64), self.start)
+        columns = [self.sizes, known, np.add.reduceat(log1, self.start), np.add.reduceat(log, self.start)]
+        ids = pa.array(self.ids, pa.int64()).filter(pa.array(self.scored))
+        return pa.record_batch([ids, *(pa.array(c[self.scored]) for c in columns)], names=[c.split()[0] for c in SCORED.split(", ")])
+
+
+def _slices(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary value between each two cuts."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _pack(counts: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
+    """A byte per count, and eight more for counts from 255."""
+    large = np.flatnonzero(counts >= 255)
+    low = np.minimum(counts, 255).astype(np.uint8)
+    return [_slices(low, cuts), _slices(counts[large].astype(np.int64), 8 * np.searchsorted(large, cuts))]
+
+
+def _unpack(low: bytes, high: bytes) -> np.ndarray:
+    counts = np.frombuffer(low, np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(high, np.int64)
+    return counts
+
+
+def _ask(word_buckets: int, gram_buckets: int):
+    def requests(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int, first_bucket: int) -> pa.RecordBatch:
+        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        cuts = np.append(begin, len(keys))
+        steps = np.diff(keys, prepend=keys[:1])
+        steps[begin] = 0
+        width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+        narrow = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).ravel()
+        return pa.record_batch(
+            [
+                pa.array(np.full(len(begin), block)),
+                pa.array((bucket[begin] + first_bucket).astype(np.int32)),
+                pa.array(signed(keys[begin])),
+                _slices(narrow, cuts * width),
+                *_pack(counts, cuts),
+            ],
+            names=["block", "bucket", "first", "steps", "low", "high"],
+        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in portions(batch, "text", 4 << 20):
-                held.append(keys(texts))
-                size += len(held[-1])
-                if size > most:
-                    yield from flush()
-                    held, size = [], 0
-        if size:
-            yield from flush()
+            for i in range(batch.num_rows):
+                block = Block(batch, i)
+                if block.grams.size:
+                    by_word, by_gram = block.learned()
+                    yield requests(block.number, block.words, by_word, word_buckets, 0)
+                    yield requests(block.number, block.grams, by_gram, gram_buckets, word_buckets)
 
     return run
 
 
-class Automaton:
-    """Numbered words; states 0 (empty), 1.. (words), then pairs; arcs by (state, word); failure arcs by state."""
-
-    def __init__(self, head: np.ndarray, counts: np.ndarray, total: int, distinct: int, documents: int):
-        order = np.argsort(head)
-        self.head, self.counts = head[order], counts[order].astype(np.float64)
-        self.size = len(head)
-        self.base = np.log10((self.counts + 1) / (total + distinct + 1))
-        self.begin = self.size  # the number of the beginning, a history but no word
-        self.history = np.append(self.counts, max(documents, 1))
-        self.pairs = np.zeros(0, np.int64)
-        self.arc_keys, self.arc_weights, self.arc_next = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        self.fail = np.zeros(self.size + 2, np.int64)
-        self.backoff = np.zeros(self.size + 2)
-
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of words, -1 for words that are not frequent."""
-        at = np.minimum(np.searchsorted(self.head, hashes), max(self.size - 1, 0))
-        return np.where(self.head[at] == hashes, at, -1) if self.size else np.full(len(hashes), -1)
-
-    def pair(self, key: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
-        return np.where(self.pairs[at] == key, at, -1) if len(self.pairs) else np.full(len(key), -1)
-
-    def _histories(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: its number, the number before it (or the beginning), and the one before that (or -1)."""
-        hashes, at = _tokens(texts)
-        x = self.number(hashes)
-        one = np.concatenate(([self.begin], x[:-1])) if len(x) else x
-        one[at[:-1]] = self.begin
-        two = np.concatenate(([-1], one[:-1])) if len(x) else x
-        two[at[:-1]] = -1
-        return x, one, two
-
-    def pair_keys(self, texts: list[bytes]) -> np.ndarray:
-        x, one, _ = self._histories(texts)
-        key = (one << SHIFT) | x
-        return key[(x >= 0) & (one >= 0)]
-
-    def triple_keys(self, texts: list[bytes]) -> np.ndarray:
-        x, one, two = self._histories(texts)
-        three = (x >= 0) & (one >= 0) & (two >= 0)
-        x, one, two = x[three], one[three], two[three]
-        first, second = self.pair((two << SHIFT) | one), self.pair((one << SHIFT) | x)
-        both = (first >= 0) & (second >= 0)
-        return (first[both] << SHIFT) | x[both]
-
-    def add_pairs(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.pairs, self.pair_counts = keys[order], counts[order].astype(np.float64)
-
-    def finish(self, triples: np.ndarray, counts: np.ndarray) -> None:
-        """Weights of all arcs, and backoff weights that make every state's probabilities sum to one."""
-        states = 1 + self.size + 1 + len(self.pairs)
-        self.fail, self.backoff = np.zeros(states, np.int64), np.zeros(states)
-        one, x = self.pairs >> SHIFT, self.pairs & ((1 << SHIFT) - 1)
-        p2 = np.maximum(self.pair_counts - DISCOUNT, 1e-3) / self.history[one]
-        used = np.bincount(one, p2, self.size + 1)
-        lower = np.bincount(one, 10 ** self.base[x], self.size + 1)
-        self.backoff[1 : self.size + 2] = np.log10(np.maximum(1 - used, 1e-9) / np.maximum(1 - lower, 1e-9))
-        pair_state = np.arange(len(self.pairs)) + self.size + 2
-        self.fail[pair_state] = 1 + x
-        first, z = triples >> SHIFT, triples & ((1 << SHIFT) - 1)
-        p3 = np.maximum(counts - DISCOUNT, 1e-3) / self.pair_counts[first] if len(triples) else np.zeros(0)
-        second = self.pair((x[first] << SHIFT) | z) if len(triples) else triples
-        used = np.bincount(first, p3, len(self.pairs)) if len(triples) else np.zeros(len(self.pairs))
-        lower = np.bincount(first, p2[second], len(self.pairs)) if len(triples) else np.zeros(len(self.pairs))
-        self.backoff[pair_state] = np.log10(np.maximum(1 - used, 1e-9) / np.maximum(1 - lower, 1e-9))
-        keys = np.concatenate([np.arange(self.size), ((1 + one) << SHIFT) | x, (pair_state[first] << SHIFT) | z if len(triples) else triples])
-        weights = np.concatenate([self.base, np.log10(p2), np.log10(p3)])
-        behind = np.concatenate([1 + np.arange(self.size), pair_state, pair_state[second] if len(triples) else triples])
-        order = np.argsort(keys)
-        self.arc_keys, self.arc_weights, self.arc_next = keys[order], weights[order], behind[order]
-
-    def arcs(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        key = (state << SHIFT) | word
-        at = np.minimum(np.searchsorted(self.arc_keys, key), max(len(self.arc_keys) - 1, 0))
-        return np.where((word >= 0) & (self.arc_keys[at] == key), at, -1) if len(self.arc_keys) else np.full(len(key), -1)
-
-    def walk(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log10 weights of each text; a word without an arc from the empty history adds only the way there."""
-        sizes = np.diff(at)
-        order = np.argsort(-sizes, kind="stable")
-        begin, sizes = at[:-1][order], sizes[order]
-        total, state = np.zeros(len(order)), np.full(len(order), 1 + self.begin)
-        active = np.searchsorted(-sizes, -np.arange(1, (int(sizes[0]) if len(sizes) else 0) + 1), "right")
-        for t, k in enumerate(active):
-            word = x[begin[:k] + t]
-            now, gain = state[:k], np.zeros(k)
-            hit = self.arcs(now, word)
-            open_ = np.flatnonzero((hit < 0) & (now > 0))
-            now = now.copy()
-            while len(open_):  # failure arcs, two at most
-                gain[open_] += self.backoff[now[open_]]
-                now[open_] = self.fail[now[open_]]
-                hit[open_] = self.arcs(now[open_], word[open_])
-                open_ = open_[(hit[open_] < 0) & (now[open_] > 0)]
-            found = hit >= 0
-            if found.any():
-                gain[found] += self.arc_weights[hit[found]]
-                state[:k] = np.where(found, self.arc_next[hit], 0)
-            else:
-                state[:k] = 0
-            total[:k] += gain
-        out = np.zeros(len(order))
-        out[order] = total
-        return out
-
-
-def _scores(shared):
+def _keys(first: int, steps: bytes, n: int) -> np.ndarray:
+    width = len(steps) // n
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(steps, np.uint8).reshape(n, width)
+    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64) + np.array([first], np.int64).view(np.uint64)
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals of each bucket's requests, in the order of the requests; the rows of a bucket follow each other."""
+    now, blocks, keys, counts = None, [], [], []
+
+    def replies() -> pa.RecordBatch:
+        cuts = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+        learned = [int((totals > 0).sum())] + [0] * (len(blocks) - 1)  # once per bucket
+        return pa.record_batch(
+            [pa.array(blocks, pa.int64()), pa.array([now] * len(blocks), pa.int32()), pa.array(learned, pa.int64()), *_pack(totals[at], cuts)],
+            names=["block", "bucket", "learned", "low", "high"],
+        )
+
+    for batch in batches:
+        for block, bucket, first, steps, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != now and blocks:
+                yield replies()
+                blocks, keys, counts = [], [], []
+            now = bucket
+            blocks.append(block)
+            keys.append(_keys(first, steps, len(low)))
+            counts.append(_unpack(low, high))
+    if blocks:
+        yield replies()
+
+
+def _scores(total: int, distinct: int, documents: int):
+    """A block's row comes before its replies, and those come in the order of its n-grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, row = shared.value, TaskContext.get().partitionId() << 40
+        block, totals = None, []
         for batch in batches:
-            for rows, texts in portions(batch, "text", 8 << 20):
-                hashes, at = _tokens(texts)
-                x, n = automaton.number(hashes), np.diff(at)
-                score = automaton.walk(x, at)
-                text_of, head = np.repeat(np.arange(len(texts)), n), x >= 0
-                base = np.bincount(text_of[head], automaton.base[x[head]], len(texts))
-                n_head = np.bincount(text_of[head], minlength=len(texts))
-                rare, rare_text = hashes[~head], text_of[~head]
-                order = np.lexsort((rare, rare_text))
-                rare, rare_text = rare[order], rare_text[order]
-                new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (rare_text[1:] != rare_text[:-1])
-                lead = np.flatnonzero(new)
-                tail = pa.StructArray.from_arrays(
-                    [pa.array(signed(rare[lead])), pa.array(np.diff(np.append(lead, len(rare))).astype(np.int32))], names=["h", "n"]
-                )
-                cuts = pa.array(np.searchsorted(rare_text[lead], np.arange(len(texts) + 1)).astype(np.int32))
-                yield pa.record_batch(
-                    [
-                        pa.array(row + np.arange(len(texts))),
-                        rows.column(0),
-                        pa.array(n.astype(np.int64)),
-                        pa.array(n_head.astype(np.int64)),
-                        pa.array(base.astype(np.float64)),
-                        pa.array(score),
-                        pa.ListArray.from_arrays(cuts, tail),
-                    ],
-                    names=["row", "doc_id", "n_tokens", "n_head", "base", "score", "tail"],
-                )
-                row += len(texts)
+            buckets, low, high = (batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "low", "high"))
+            for i, bucket in enumerate(buckets.to_pylist()):
+                if bucket >= 0:
+                    totals.append(_unpack(low[i].as_py(), high[i].as_py()))
+                    continue
+                if block:
+                    yield block.score(np.concatenate(totals), total, distinct, documents)
+                block, totals = Block(batch, i), []
+        if block:
+            yield block.score(np.concatenate(totals), total, distinct, documents)
 
     return run
 
 
-def _top(counts: DataFrame, most: int):
-    """The most frequent keys, ``most`` at most: all keys of the highest cells of a histogram of counts that fit.
+def _score(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """Scores of the ``scored`` rows of ``id, text, learn, scored``, learning from the ``learn`` rows."""
+    space = Workspace(rows.sparkSession, "lm")
+    blocks = space.save(rows.mapInArrow(_blocks(block_bytes), BLOCKS), "blocks")
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_tokens", "learned_tokens", "learned_texts")]
+    n_words, n_tokens, total, documents, n_blocks = blocks.agg(*sums, F.count(F.lit(1))).first()
+    word_buckets, gram_buckets = max(16, n_words // BUCKET), max(32, 2 * n_tokens // BUCKET)
+    asked = blocks.select("block", "ids", "learn", "scored", "sizes", "words", "tokens").mapInArrow(_ask(word_buckets, gram_buckets), REQUESTS)
+    dealt = asked.repartition(word_buckets + gram_buckets, "bucket").sortWithinPartitions("bucket")
+    replies = space.save(dealt.mapInArrow(_add_up, REPLIES), "replies")
+    distinct = replies.where(F.col("bucket") < word_buckets).agg(F.coalesce(F.sum("learned"), F.lit(0))).first()[0]
+
+    both = blocks.drop("n_words", "n_tokens", "learned_tokens", "learned_texts").withColumn("bucket", F.lit(-1))
+    both = both.unionByName(replies.drop("learned"), allowMissingColumns=True)
+    gathered = both.repartition(max(16, n_blocks // 2), "block").sortWithinPartitions("block", "bucket")
+    scored = gathered.mapInArrow(_scores(total, distinct, documents), SCORED)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _rows(docs: DataFrame, id_column: str, text_column: str, learn, scored: bool) -> DataFrame:
+    return docs.select(
+        F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), learn.alias("learn"), F.lit(scored).alias("scored")
+    )
 
-    No task sorts or sends more than the rows that are taken in the end; keys of one cell stay or go together.
-    """
-    cell = F.floor(F.log2("n") * 64)  # counts up to 64 have cells of their own
-    cells = sorted(counts.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("keys")).collect(), reverse=True)
-    least, taken = None, 0
-    for row in cells:
-        if taken + row["keys"] > most:
-            break
-        least, taken = row["cell"], taken + row["keys"]
-    return counts.where(F.lit(False) if least is None else cell >= least).toPandas()
-
-
-def score(
-    docs: DataFrame,
-    training: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    head: int = HEAD,
-    arcs: int = ARCS,
-) -> DataFrame:
+
+def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
     Null counts as empty (one token, the end).  Known words are those of the training rows, at any frequency.  Without
     training rows every token has probability one (its add-one estimate).  Rows with equal ids are scored one by one.
     """
-    if not 0 < head < 1 << SHIFT:
-        raise ValueError(f"head must be below {1 << SHIFT}")
-    spark = docs.sparkSession
-    space = Workspace(spark, "lm")
-    learn = training.select(F.lit(0).alias("id"), F.col(text_column).cast("string").alias("text"))
-
-    def count(keys) -> DataFrame:
-        return learn.mapInArrow(_counted(keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-    unigrams = space.save(count(lambda texts: signed(_tokens(texts)[0])), "unigrams")
-    total, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = _top(unigrams, head)
-    end = int(signed(np.array([END]))[0])
-    documents = int(unigrams.where(F.col("key") == end).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    if total and end not in set(top["key"]):
-        top.loc[len(top)] = (end, documents)
-    automaton = Automaton(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total, distinct, documents)
-    shared = spark.sparkContext.broadcast(automaton)
-    pairs = _top(space.save(count(lambda texts: shared.value.pair_keys(texts)).where("n > 1"), "pairs"), arcs)
-    automaton.add_pairs(pairs["key"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64))
-    with_pairs = spark.sparkContext.broadcast(automaton)
-    triples = _top(space.save(count(lambda texts: with_pairs.value.triple_keys(texts)).where("n > 1"), "triples"), arcs)
-    automaton.finish(triples["key"].to_numpy(np.int64), triples["n"].to_numpy(np.float64))
-    whole = spark.sparkContext.broadcast(automaton)
-
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    scored = space.save(rows.mapInArrow(_scores(whole), SCORED), "scored")
-    tail = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.h").alias("key"), F.col("t.n").alias("times"))
-    priced = tail.join(unigrams, "key", "left").select(
-        "row",
-        F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known"),
-        (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))).alias("log"),
-    )
-    rest = priced.groupBy("row").agg(F.sum("known").alias("known"), F.sum("log").alias("log"))
-    joined = scored.drop("tail").join(rest, "row", "left")
-    return joined.select(
-        "doc_id",
-        "n_tokens",
-        (F.when(F.lit(total > 0), F.col("n_head")).otherwise(0) + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("log", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("log", F.lit(0.0))).alias("score"),
-    )
+    learned = training.select(F.lit(None).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    learned = learned.select("id", "text", F.lit(True).alias("learn"), F.lit(False).alias("scored"))
+    return _score(_rows(docs, id_column, text_column, F.lit(False), True).unionByName(learned), block_bytes)
 
 
-def score_held_out(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
+def score_held_out(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """All rows, learning from those whose id's crc32 leaves another remainder than 2 when divided by 7."""
-    scored = score(docs, docs.where(remainder(id_column, 7) != 2), id_column, text_column, **how)
+    scored = _score(_rows(docs, id_column, text_column, remainder(id_column, 7) != 2, True), block_bytes)
     return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), *scored.columns[1:])
