@@ -11,7 +11,8 @@ The whole automaton grows with the corpus, so no task holds it.  Texts are kept
 counts of its own distinct n-grams and brings its own counts of them; requests are dealt by the hash of the n-gram,
 added up there, and the totals go back to the blocks in the order of the requests.  A block then has the part of the
 automaton that its texts can reach, and all of it.  A frequent n-gram is one entry per block, whatever its share of
-the corpus.  Requests travel as steps between sorted hashes, a row per block and bucket.
+the corpus.  Requests travel as steps between sorted hashes, a row per block and bucket.  Words are told apart by
+64 bits of hash, pairs and triples by 56: among 10**10 of them a given one shares its hash once in seven million.
 """
 
 from __future__ import annotations
@@ -28,17 +29,17 @@ from veilwork.llm.language_id import remainder
 from veilwork.llm.store import Workspace
 from veilwork.llm.text import mix, portions, signed, words
 
-BLOCK = 8 << 20  # bytes of text in a block; a longer text is a block of its own
-BUCKET = 1 << 21  # requests added up together, about
-PAIR_WEIGHT, TRIPLE_WEIGHT = 32.0, 8.0  # k of the formula above for words and for pairs as histories
+BLOCK = 4 << 20  # bytes of text in a block; a longer text is a block of its own
+BUCKET = 1 << 20  # requests added up together, about
+PAIR_WEIGHT, TRIPLE_WEIGHT = 128.0, 8.0  # k of the formula above for words and for pairs as histories
 END, BEGIN = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)  # hashes that stand for no word
 PAIR, TRIPLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BLOCKS = (
     "block long, n_words long, n_tokens long, learned_tokens long, learned_texts long,"
     " ids array<long>, learn array<boolean>, scored array<boolean>, sizes array<int>, words binary, tokens binary"
 )
-REQUESTS = "block long, bucket int, first long, steps binary, low binary, high binary"
-REPLIES = "block long, bucket int, learned long, low binary, high binary"
+REQUESTS = "block long, bucket int, first long, steps binary, n int, low binary, high binary"
+REPLIES = "block long, bucket int, learned long, n int, low binary, high binary"
 SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -73,7 +74,7 @@ def _blocks(most: int):
                     "scored": rows.column(3).to_pylist(),
                     "sizes": sizes.tolist(),
                     "words": distinct[order].tobytes(),
-                    "tokens": planes.tobytes(),
+                    "tokens": _squeeze(planes.tobytes()),
                 }
                 kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
                 kinds += [pa.binary()] * 2
@@ -94,7 +95,7 @@ class Block:
         self.ids, self.scored = column("ids").as_py(), np.array(column("scored").as_py(), bool)
         self.sizes, self.learn = np.array(column("sizes").as_py(), np.int64), np.array(column("learn").as_py(), bool)
         distinct = np.frombuffer(column("words").as_py(), np.uint64)
-        planes = np.frombuffer(column("tokens").as_py(), np.uint8).reshape(4, -1)
+        planes = np.frombuffer(_stretch(column("tokens").as_py(), 4 * int(self.sizes.sum())), np.uint8).reshape(4, -1)
         token = np.ascontiguousarray(planes.T).view(np.uint32).ravel()
         order = np.argsort(distinct)
         place = np.empty(len(order), np.int64)
@@ -102,7 +103,7 @@ class Block:
         self.words, self.word_of = distinct[order], place[token]
         self.start = np.cumsum(self.sizes) - self.sizes
         pair, triple, self.inner = self._grams(distinct[token])
-        self.grams, self.gram_of = np.unique(np.concatenate([pair, triple[self.inner]]), return_inverse=True)
+        self.grams, self.gram_of = np.unique(np.concatenate([pair, triple[self.inner]]) >> np.uint64(8), return_inverse=True)
 
     def _grams(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: hashes of the pair and triple that end there, and whether there is a triple."""
@@ -149,27 +150,39 @@ class Block:
         return pa.record_batch([ids, *(pa.array(c[self.scored]) for c in columns)], names=[c.split()[0] for c in SCORED.split(", ")])
 
 
+def _squeeze(data: bytes) -> bytes:
+    """Compressed, unless that is no shorter."""
+    squeezed = pa.compress(data, codec="zstd", asbytes=True)
+    return squeezed if len(squeezed) < len(data) else data
+
+
+def _stretch(data: bytes, size: int) -> bytes:
+    return data if len(data) == size else pa.decompress(data, size, codec="zstd", asbytes=True)
+
+
 def _slices(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """A binary value between each two cuts."""
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def _pack(counts: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
-    """A byte per count, and eight more for counts from 255."""
+    """How many counts, a byte per count, and eight more for counts from 255."""
     large = np.flatnonzero(counts >= 255)
-    low = np.minimum(counts, 255).astype(np.uint8)
-    return [_slices(low, cuts), _slices(counts[large].astype(np.int64), 8 * np.searchsorted(large, cuts))]
+    low = np.minimum(counts, 255).astype(np.uint8).tobytes()
+    squeezed = [_squeeze(low[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    high = _slices(counts[large].astype(np.int64), 8 * np.searchsorted(large, cuts))
+    return [pa.array(np.diff(cuts).astype(np.int32)), pa.array(squeezed, pa.binary()), high]
 
 
-def _unpack(low: bytes, high: bytes) -> np.ndarray:
-    counts = np.frombuffer(low, np.uint8).astype(np.int64)
+def _unpack(n: int, low: bytes, high: bytes) -> np.ndarray:
+    counts = np.frombuffer(_stretch(low, n), np.uint8).astype(np.int64)
     counts[counts == 255] = np.frombuffer(high, np.int64)
     return counts
 
 
 def _ask(word_buckets: int, gram_buckets: int):
-    def requests(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int, first_bucket: int) -> pa.RecordBatch:
-        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    def requests(block: int, keys: np.ndarray, bits: int, counts: np.ndarray, buckets: int, first_bucket: int) -> pa.RecordBatch:
+        bucket = ((keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         cuts = np.append(begin, len(keys))
         steps = np.diff(keys, prepend=keys[:1])
@@ -184,7 +197,7 @@ def _ask(word_buckets: int, gram_buckets: int):
                 _slices(narrow, cuts * width),
                 *_pack(counts, cuts),
             ],
-            names=["block", "bucket", "first", "steps", "low", "high"],
+            names=["block", "bucket", "first", "steps", "n", "low", "high"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +206,8 @@ def _ask(word_buckets: int, gram_buckets: int):
                 block = Block(batch, i)
                 if block.grams.size:
                     by_word, by_gram = block.learned()
-                    yield requests(block.number, block.words, by_word, word_buckets, 0)
-                    yield requests(block.number, block.grams, by_gram, gram_buckets, word_buckets)
+                    yield requests(block.number, block.words, 64, by_word, word_buckets, 0)
+                    yield requests(block.number, block.grams, 56, by_gram, gram_buckets, word_buckets)
 
     return run
 
@@ -217,18 +230,18 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = [int((totals > 0).sum())] + [0] * (len(blocks) - 1)  # once per bucket
         return pa.record_batch(
             [pa.array(blocks, pa.int64()), pa.array([now] * len(blocks), pa.int32()), pa.array(learned, pa.int64()), *_pack(totals[at], cuts)],
-            names=["block", "bucket", "learned", "low", "high"],
+            names=["block", "bucket", "learned", "n", "low", "high"],
         )
 
     for batch in batches:
-        for block, bucket, first, steps, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for block, bucket, first, steps, n, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket != now and blocks:
                 yield replies()
                 blocks, keys, counts = [], [], []
             now = bucket
             blocks.append(block)
-            keys.append(_keys(first, steps, len(low)))
-            counts.append(_unpack(low, high))
+            keys.append(_keys(first, steps, n))
+            counts.append(_unpack(n, low, high))
     if blocks:
         yield replies()
 
@@ -239,10 +252,10 @@ def _scores(total: int, distinct: int, documents: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, totals = None, []
         for batch in batches:
-            buckets, low, high = (batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "low", "high"))
+            buckets, n, low, high = (batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "n", "low", "high"))
             for i, bucket in enumerate(buckets.to_pylist()):
                 if bucket >= 0:
-                    totals.append(_unpack(low[i].as_py(), high[i].as_py()))
+                    totals.append(_unpack(n[i].as_py(), low[i].as_py(), high[i].as_py()))
                     continue
                 if block:
                     yield block.score(np.concatenate(totals), total, distinct, documents)
