@@ -121,6 +121,15 @@ def test_csv_delivery_and_copy(spark, tmp_path):
     assert S.load_tables(spark, str(tmp_path / "copy"), ["t", "_hidden"], "json", "")["T"].count() == 1
 
 
+def test_newest_run_goes_by_time(spark, tmp_path):
+    root = str(tmp_path)
+    for run, at, value in (("run-b", "2024-01-01", 1), ("run-a", "2024-02-01", 2)):
+        tables = {"T": spark.createDataFrame([(value,)], "id int")}
+        sinks.deliver(tables, root, run)
+        sinks.write_manifest(sinks.build_manifest(run, "s", at, tables), root, run)
+    assert S.read_generated(spark, root, "t").first().id == 2 and S.read_generated(spark, root, "T", "run-b").first().id == 1
+
+
 def test_sources(spark, rows):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, s string")
     assert rows(S.column_catalog(spark, {"T": df}), "table_name", "column_name", "ordinal") == [("T", "id", 1), ("T", "s", 2)]

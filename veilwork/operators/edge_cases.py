@@ -24,6 +24,7 @@ def most_frequent(df: DataFrame, column: str) -> Column:
 
 def _kind(flag: str, column: str) -> str:
     flag, dated = flag.lower(), "date" in column.lower()
+    # Words in a flag's name and the kind of value they ask for, first match wins.
     rules = [
         ("null", ("null", "missing"), True),
         ("zero", ("zero",), True),

@@ -125,7 +125,11 @@ def preview(df: DataFrame, n: int = 50) -> tuple[DataFrame, int]:
 def read_generated(
     spark: SparkSession, root: str, table: str, run_id: str | None = None
 ) -> DataFrame:
-    """A delivered table; without ``run_id`` the newest run that delivered it."""
+    """A delivered table; without ``run_id`` the newest run that delivered it, by its manifest's time.
+
+    Where no manifest names the table, the run with the largest id.
+    """
+    run_id = run_id or newest_run(spark, root, table)
     everything = spark.read.option("basePath", root)
     for fmt in ("parquet", "csv"):
         pattern = os.path.join(root, f"run_id={run_id or '*'}", f"format={fmt}", table.upper())
@@ -142,6 +146,18 @@ def read_generated(
     raise FileNotFoundError(f"{table} was not delivered under {root}")
 
 
+def newest_run(spark: SparkSession, root: str, table: str) -> str | None:
+    """The run with the latest manifest that lists the table."""
+    try:
+        known = manifests(spark, root)
+    except Exception as error:  # no manifest at all
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+    listed = known.where(F.upper("table_name") == table.upper())
+    return listed.agg(F.max_by("run_id", F.struct("created_at", "run_id"))).first()[0]
+
+
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """One row per (run, table) from every manifest, newest run first."""
     read = spark.read.json(os.path.join(root, "run_id=*", "manifest"), schema=MANIFEST_SCHEMA)
