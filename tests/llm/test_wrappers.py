@@ -60,3 +60,16 @@ def test_alignment():
     assert wr.expression(wr.align(once, [(k, False) for k in folded])) == "ul (li #)+ /ul"
     more = [(k, False) for k in "ul li # /ul p #".split()]
     assert wr.expression(wr.align(once, more)) == "ul li # /ul (p)? (#)?"
+
+
+def test_bare_text_behind_end_tags_that_may_be_left_out(spark):
+    bodies = [
+        ("<article><p>a</p>tail <b>bold</b><p>b</p>end</article>", "a\ntail bold\nb\nend"),
+        ("<article><ul><li>a</li>tail<li>b</li>end</ul></article>", "a\ntail\nb\nend"),
+        ("<article><table><tr><td>a</td>tail<td>b</td></tr>row</table></article>", "a\ntail\nb\nrow"),
+        ("<article><dl><dt>a</dt>x<dd>b</dd>y</dl></article>", "a\nx\nb\ny"),
+    ]
+    pages = [(k, *page(body, host=f"h{k}.org")) for k, (body, _) in enumerate(bodies)]
+    got = wr.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: text for k, (_, text) in enumerate(bodies)}
+    assert wr.blocks("<article><p>a</p>tail</article>")[0] == ["article", "p", "#article/p", "#article", "/article"]

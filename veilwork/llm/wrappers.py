@@ -72,7 +72,7 @@ def blocks(html: str) -> tuple[list[str], list[tuple[str, str]]]:
         plain = " ".join(unescape("".join(text)).split())
         if plain:
             path = "/".join(stack) or "."
-            if not (stream and stream[-1].startswith("#")):
+            if not stream or stream[-1] != f"#{path}":  # end tags that may be left out are not in the stream
                 stream.append(f"#{path}")
             found.append((path, plain))
         text.clear()
