@@ -73,3 +73,29 @@ def test_bare_text_behind_end_tags_that_may_be_left_out(spark):
     got = wr.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {k: text for k, (_, text) in enumerate(bodies)}
     assert wr.blocks("<article><p>a</p>tail</article>")[0] == ["article", "p", "#article/p", "#article", "/article"]
+
+
+def test_content_is_decided_per_page(spark):
+    def plain(own, host):
+        return f"https://{host}/p", f"<html><body><div class=body><p>{own}</p></div><div>Every page says this</div></body></html>"
+
+    pages = [
+        (1, *page("<article><p>in a region</p></article>", host="mixed.org")),
+        (2, *plain("own text one", "mixed.org")),
+        (3, *plain("own text two", "mixed.org")),
+        (4, None, "<article><p>no host</p></article>"),
+        (5, "no host", "<div><p>another without one</p></div>"),
+        (6, *plain("held twice", "copies.org")),
+        (7, *plain("held twice", "copies.org")),
+        (8, "https://names.org/", "<body class='page with-sidebar'><article class='post has-comments'><p>one</p></article></body>"),
+        (9, "https://names.org/", "<body id=search><main role='alert'><p>two</p></main><div class='side-bar sidebar'>no</div></body>"),
+        (10, "https://div.org/", "<body><div class='grid has-sidebar'><p>three</p><div class=left-sidebar>no</div></div></body>"),
+        (11, *plain("always", "constant.org")),
+        (12, *plain("always", "constant.org")[:1], plain("always", "constant.org")[1].replace("</body>", "<p>more</p></body>")),
+    ]
+    both = "\nEvery page says this"
+    got = wr.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == {
+        1: "in a region", 2: "own text one", 3: "own text two", 4: "no host", 5: "another without one",
+        6: "held twice" + both, 7: "held twice" + both, 8: "one", 9: "two", 10: "three", 11: "always" + both, 12: "more",
+    }

@@ -7,9 +7,11 @@ optional, a run against its own repetition becomes a repeated group, texts that
 of a host are counted before they are gathered; a host is folded in parts first, then the parts, so a host of a third
 of all pages is never in one task, and only distinct streams and slots are shuffled.
 
-A slot of the wrapper is content if it lies in an article or main element; on hosts without one, if its text differs
-between pages or the host has a single page.  Slots inside menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or comments are never content.  Extraction reads each whole page again with its host's wrapper.
+A page's slot is content if it lies in an article or main element.  On a page without text in one, a slot is content
+if its text differs between the host's distinct pages of that kind or only one of them has it; if no slot is left by
+that, all are content.  Slots inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
+comments are never content; class, id and role of html, body, main and article do not say that.  Extraction reads each
+whole page again with its host's wrapper.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ STRUCTURE = frozenset(
 END_OPTIONAL = frozenset("p li dt dd thead tbody tfoot tr td th".split())
 VOID = frozenset(["hr"])
 REGION = frozenset(["article", "main"])
+NAMED_FOR_PARTS = REGION | {"html", "body"}  # their class, id or role tells what they hold besides the content
+WITH = frozenset("with without has no".split())
 NO_CONTENT = frozenset("head title nav header footer aside form menu dialog button select".split())
 NO_CONTENT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo menu nav navbar navigation breadcrumb "
@@ -57,10 +61,12 @@ NO_CONTENT_NAMES = frozenset(
 def _key(tag: str, attributes: str) -> str:
     """Tag, marked ``!`` if its own name or its class, id or role says that it holds no content."""
     names = {tag} if tag in NO_CONTENT else set()
-    if attributes:
+    if attributes and tag not in NAMED_FOR_PARTS:
         for found in ATTRIBUTE.finditer(attributes):
-            value = (found[2] or found[3] or found[4] or "").lower()
-            names |= NO_CONTENT_NAMES & set(re.split(r"[\s_-]+", value))
+            for value in (found[2] or found[3] or found[4] or "").lower().split():
+                parts = set(re.split(r"[_-]+", value))
+                if not parts & WITH:  # with-sidebar names the page's layout
+                    names |= NO_CONTENT_NAMES & parts
     return f"{tag}!" if names else tag
 
 
@@ -175,25 +181,38 @@ def _fold(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": ["\n".join(f"{'?' if o else '.'}{k}" for k, o in whole)]})
 
 
+def _in_region(path: str) -> bool:
+    return not REGION.isdisjoint(path.split("/"))
+
+
+def _hash(text: str) -> int:
+    hashes, _ = words([text.encode()])
+    return int(mix(hashes + np.arange(len(hashes), dtype=np.uint64)).sum(dtype=np.uint64) >> np.uint64(1))
+
+
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct streams of each host (slot null), and least and largest text hash of each host's slots, per portion."""
+    """Distinct streams of each host (slot null), and per slot of its pages without text in a region the least and
+    largest hash of its text and of the pages that have it, per portion."""
     for batch in batches:
         for rows, texts in portions(batch, "html", 8 << 20):
             streams, slots = set(), {}
             for host, page in zip(rows.column(0).to_pylist(), texts, strict=True):
                 stream, found = blocks(page.decode("utf-8", "replace"))
                 streams.add((host, "\n".join(f".{k}" for k in fold_repeats(stream))))
+                found = [(path, text) for path, text in found if "!" not in path]
+                if any(_in_region(path) for path, _ in found):
+                    continue
                 by_path: dict[str, list[str]] = {}
                 for path, text in found:
                     by_path.setdefault(path, []).append(text)
+                whole = _hash("\n".join(f"{path}\n{text}" for path, text in found))
                 for path, parts in by_path.items():
-                    hashes, _ = words(["\n".join(parts).encode()])
-                    h = int(mix(hashes + np.arange(len(hashes), dtype=np.uint64)).sum(dtype=np.uint64) >> np.uint64(1))
-                    low, high, n = slots.get((host, path), (h, h, 0))
-                    slots[host, path] = (min(low, h), max(high, h), n + 1)
-            out = [(h, s, None, None, None, None) for h, s in streams] + [(h, None, p, *v) for (h, p), v in slots.items()]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            names = ["host", "wrapper", "slot", "low", "high", "n"]
+                    h = _hash("\n".join(parts))
+                    low, high, first, last = slots.get((host, path), (h, h, whole, whole))
+                    slots[host, path] = (min(low, h), max(high, h), min(first, whole), max(last, whole))
+            out = [(h, s, *[None] * 5) for h, s in streams] + [(h, None, p, *v) for (h, p), v in slots.items()]
+            kinds = (pa.string(), pa.string(), pa.string(), *[pa.int64()] * 4)
+            names = ["host", "wrapper", "slot", "low", "high", "first", "last"]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
@@ -203,11 +222,12 @@ def _host(url_column: str):
 
 
 def infer(pages: DataFrame, url_column: str = "url", html_column: str = "html", salts: int = 32) -> DataFrame:
-    """``host, wrapper, slots`` (path, whether its text differs between pages) per host."""
+    """``host, wrapper, slots`` per host: paths of pages without text in a region, and whether their text differs
+    between distinct pages."""
     space = Workspace(pages.sparkSession, "wrappers")
     read = pages.select(_host(url_column), F.col(html_column).cast("string").alias("html"))
     seen = read.mapInArrow(
-        _observe, "host string, wrapper string, slot string, low long, high long, n long"
+        _observe, "host string, wrapper string, slot string, low long, high long, first long, last long"
     )
     seen = space.save(seen, "seen")
     streams = seen.where("slot IS NULL").select("host", "wrapper").distinct()
@@ -215,24 +235,31 @@ def infer(pages: DataFrame, url_column: str = "url", html_column: str = "html",
     parts = salted.groupBy("host", "salt").applyInPandas(_fold, "host string, wrapper string")
     folded = parts.groupBy("host").applyInPandas(_fold, "host string, wrapper string")
     slots = seen.where("slot IS NOT NULL").groupBy("host", "slot").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last")
     )
-    varying = (F.col("low") < F.col("high")) | (F.col("n") == 1)
+    varying = (F.col("low") < F.col("high")) | (F.col("first") == F.col("last"))  # or one distinct page has it
     slots = slots.groupBy("host").agg(F.collect_list(F.struct("slot", varying.alias("varies"))).alias("slots"))
     return space.save(folded.join(slots, "host", "left"), "wrappers")
 
 
-def content_paths(wrapper: str, slots) -> frozenset[str]:
-    """Paths of the wrapper's content slots."""
-    paths = {p for key, _ in _parsed(wrapper) for p in re.findall(r"#([^\s()#]+)", key)}
-    paths = {p for p in paths if "!" not in p}
-    region = {p for p in paths if REGION & set(p.split("/"))}
-    varies = {s["slot"] for s in slots or () if s["varies"]}
-    return frozenset(region or paths & varies)
+Paths = tuple[frozenset[str], frozenset[str]]
+
+
+def content_paths(wrapper: str, slots) -> Paths:
+    """The wrapper's slots that may hold content, and those of them whose text differs between pages."""
+    paths = frozenset(p for key, _ in _parsed(wrapper) for p in re.findall(r"#([^\s()#]+)", key) if "!" not in p)
+    return paths, paths & {s["slot"] for s in slots or () if s["varies"]}
+
+
+def content(found: list[tuple[str, str]], paths: Paths) -> str:
+    """Main text of one page's blocks: those in a region, else those that differ, else all that may hold content."""
+    own = [(path, text) for path, text in found if path in paths[0]]
+    inside = [text for path, text in own if _in_region(path)]
+    return "\n".join(inside or [text for path, text in own if path in paths[1]] or [text for _, text in own])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept: dict[str, frozenset[str]] = {}
+    kept: dict[str, Paths] = {}
     for batch in batches:
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
@@ -245,7 +272,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         kept.clear()
                     kept[host] = content_paths(wrapper or "", slots.as_py())
                 _, found = blocks(html.decode("utf-8", "replace"))
-                out.append("\n".join(text for path, text in found if path in kept[host]))
+                out.append(content(found, kept[host]))
             yield pa.record_batch(
                 [part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
