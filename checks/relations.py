@@ -262,7 +262,7 @@ def connected_components(spark, root):
 def communities(spark, root):
     """Communities of the graph of nations and their customers and suppliers."""
     links = row_links(spark, root, [EDGES[0], EDGES[1], EDGES[2]])
-    return G.communities(links, G.neighbors(links).select("node"), rounds=3)
+    return G.communities(links, G.neighbors(links).select("node"))
 
 
 @check(

@@ -102,6 +102,23 @@ def test_communities_split_two_cliques(spark):
         assert len({got[n] for n in "abcd"}) == 1 and len({got[n] for n in "wxyz"}) == 1 and got["a"] != got["z"]
 
 
+def test_communities_run_until_no_move_gains(spark):
+    """Pairs whose ends share a half swap for ever in half steps; a path needs many moves."""
+    pairs = [(2 * i, 2 * i + 1) for i in range(20)] + [(100 + i, 101 + i) for i in range(60)]
+    nodes = sorted({n for p in pairs for n in p})
+    e = spark.createDataFrame(pairs, "source int, target int")
+    got = {r["node"]: r["community"] for r in G.communities(e, spark.createDataFrame([(n,) for n in [*nodes, 999]], "node int")).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(20)) and got.pop(999) == "999"
+    near = {n: [b if a == n else a for a, b in pairs if n in (a, b)] for n in nodes}
+    total = {c: sum(len(near[n]) for n in nodes if got[n] == c) for c in set(got.values())}
+
+    def gain(n, c):
+        rest = total[c] - (len(near[n]) if got[n] == c else 0)
+        return sum(got[o] == c for o in near[n]) - len(near[n]) * rest / (2 * len(pairs))
+
+    assert all(gain(n, got[o]) <= gain(n, got[n]) + 1e-8 for n in nodes for o in near[n])
+
+
 def test_domains_and_schema_graph(spark, rows):
     members = spark.createDataFrame([("CUST_MSTR", 1), ("INVC", 1), ("PYMT", 2), ("ZZ", 3)], "node string, community int")
     assert rows(G.name_communities(members, {"INVC": "special"})) == [

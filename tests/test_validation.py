@@ -108,6 +108,14 @@ def test_lineage_and_rules(spark):
     assert (summary.total_checks, summary.passed_checks, summary.pass_rate) == (2, 1, 50.0)
 
 
+def test_summary_names_every_failing_check(spark):
+    child = spark.createDataFrame([(-1.0,)], "AMT double")
+    results = V.validate_rules(child, "C", [f"amt must be positive {i:02d}" for i in range(11)])
+    every = [f"Business Rule: amt must be positive {i:02d}" for i in range(11)]
+    assert V.validation_summary(results).first().failing_checks == every
+    assert V.validation_summary(results, shown=10).first().failing_checks == every[:10]
+
+
 def test_fidelity_skips(spark):
     real = spark.range(60).select(F.col("id").alias("ROW_ID"), F.col("id").alias("ROW_KEY"), (F.col("id") % 7).alias("AMT"), F.when(F.col("id") < 3, "x").alias("FEW"), F.lit("z").alias("LOW"), F.concat(F.lit("c"), F.col("id") % 3).alias("CAT"))
     checks = V.validate_fidelity(real, real, "T", [ColumnPolicy("T", "LOW", business_importance="low")])

@@ -166,12 +166,28 @@ def components(edges: DataFrame, nodes: DataFrame, source: str = "source", targe
     )
 
 
-def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10, source: str = "source", target: str = "target") -> DataFrame:
+def _moves_apart(best: DataFrame) -> DataFrame:
+    """Moves that gain and are the best of both the community they leave and the one they join."""
+    gaining = best.where(F.col("_more") > 0)
+    rank = F.struct(-F.col("_more"), F.col("node"))
+    touched = gaining.select("node", "_more", F.explode(F.array("community", "_best")).alias("_touched"))
+    first = touched.groupBy("_touched").agg(F.min(rank)["node"].alias("node"))
+    both = first.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2").select("node")
+    return gaining.join(both, "node", "left_semi")
+
+
+def communities(
+    edges: DataFrame, nodes: DataFrame, rounds: int | None = None, source: str = "source", target: str = "target"
+) -> DataFrame:
     """(node, community) by moving nodes to the neighbouring community of best modularity gain.
 
     All nodes of one half (by keyed hash) move at the same time, then the other
     half, so two neighbours do not swap for ever.  Ties go to the smaller label.
-    Deterministic; stops early when no node moves in two half rounds.
+    Deterministic; ends when no node moves in two half rounds.  Neighbours within
+    a half can still move in a cycle.  Once a state comes back, only moves that
+    gain and share no community with a better one are made: their gains add up,
+    so modularity grows with every step and the run ends.  ``rounds`` ends it
+    sooner, with the labels reached by then.
     """
     weighted = (
         edges.select(F.least(source, target).alias("a"), F.greatest(source, target).alias("b"))
@@ -192,10 +208,11 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10, source: st
         .join(degree, "node", "left")
         .select("node", F.coalesce("k", F.lit(0.0)).alias("k"), F.col("node").cast("string").alias("community"))
     )
-    still = 0
-    for turn in range(2 * rounds):
+    still, turn, seen, apart = 0, 0, set(), False
+    while still < 2 and (rounds is None or turn < 2 * rounds):
         totals = state.groupBy("community").agg(F.sum("k").alias("_tot"))
-        mine = state.where(F.pmod(draws.order_key("half", F.col("node")), F.lit(2)) == turn % 2)
+        half = F.pmod(draws.order_key("half", F.col("node")), F.lit(2)) == turn % 2
+        mine = state if apart else state.where(half)
         toward = (
             links.join(state.select(F.col("node").alias("other"), F.col("community").alias("_to")), "other")
             .groupBy("node", "_to")
@@ -212,19 +229,25 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10, source: st
         )
         without_me = F.when(F.col("_to") == F.col("community"), F.col("_tot") - F.col("k")).otherwise(F.col("_tot"))
         gain = F.round(F.col("_in") - F.col("k") * without_me / two_m, 9)
-        best = options.groupBy("node").agg(
-            F.min_by("_to", F.struct(-gain, F.col("_to"))).alias("_best")
+        best = options.groupBy("node", "community").agg(
+            F.min_by("_to", F.struct(-gain, F.col("_to"))).alias("_best"),
+            (F.max(gain) - F.max(F.when(F.col("_to") == F.col("community"), gain))).alias("_more"),
         )
+        if apart:
+            best = _moves_apart(best)
         moved = cut_lineage(
-            state.join(best, "node", "left").select(
+            state.join(best.select("node", "_best"), "node", "left").select(
                 "node", "k", F.coalesce("_best", "community").alias("community"),
                 (F.coalesce("_best", "community") != F.col("community")).alias("_moved"),
             )
         )
-        still = still + 1 if moved.where("_moved").isEmpty() else 0
+        changed, mark = moved.agg(F.bool_or("_moved"), F.bit_xor(F.xxhash64("node", "community"))).first()
+        still = 0 if changed else 2 if apart else still + 1
         state = moved.drop("_moved")
-        if still == 2:
-            break
+        turn += 1
+        if changed and not apart:
+            apart = (turn % 2, mark) in seen
+            seen.add((turn % 2, mark))
     return state.select("node", "community")
 
 

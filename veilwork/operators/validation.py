@@ -380,12 +380,12 @@ def validate_table(real: DataFrame, synth: DataFrame, table: str, policies: Iter
     return union_all(p for p in parts if p is not None)
 
 
-def validation_summary(results: DataFrame, shown: int = 10) -> DataFrame:
-    """Per table: checks, passed checks, pass rate in percent, and the first failing names."""
+def validation_summary(results: DataFrame, shown: int | None = None) -> DataFrame:
+    """Per table: checks, passed checks, pass rate in percent, and the failing names, or the first ``shown`` of them."""
     failing = F.sort_array(F.collect_set(F.when(~F.col("passed"), F.col("check_name"))))
     return results.groupBy("table_name").agg(
         F.count(F.lit(1)).alias("total_checks"),
         F.count_if("passed").alias("passed_checks"),
         F.round(100.0 * F.count_if("passed") / F.count(F.lit(1)), 1).alias("pass_rate"),
-        F.slice(failing, 1, shown).alias("failing_checks"),
+        (failing if shown is None else F.slice(failing, 1, shown)).alias("failing_checks"),
     )
