@@ -8,11 +8,13 @@ from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilwork.llm import (
     chat_windows,
     decontamination,
     exact_dedup,
+    fill_middle,
     jaccard_join,
     language_id,
     lm_scoring,
@@ -196,3 +198,39 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
 @query("op2_wrappers")
 def op2(spark: SparkSession, root: str) -> DataFrame:
     return wrappers.extract(read(spark, root, "pages"))
+
+
+SHA = "sha256('42:' || doc_id)"
+
+
+@query(
+    "op12_fill_in_middle",
+    f"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS units,
+        ('0x' || substr({SHA}, 1, 8))::BIGINT AS h1, ('0x' || substr({SHA}, 9, 8))::BIGINT AS h2,
+        ('0x' || substr({SHA}, 17, 8))::BIGINT AS h3, ('0x' || substr({SHA}, 25, 8))::BIGINT AS h4
+      FROM documents
+    ), c AS (
+      SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+        greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50
+          THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+      FROM d
+    ), p AS (
+      SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a+1:b], '') AS mid,
+        array_to_string(units[b+1:n], '') AS suf
+      FROM c
+    )
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+    FROM p
+    """,
+)
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    back = fill_middle.restore_texts(fill_middle.fill_middle(read(spark, root, "documents")))
+    digests = [F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
