@@ -1,3 +1,4 @@
+import decimal
 import random
 
 import numpy as np
@@ -99,3 +100,30 @@ def test_candidate_id_columns():
 def test_traceable_tables(spark):
     df = spark.createDataFrame([], "A_ID int")
     assert [t for t, _ in names.traceable_tables({"ZED": df, "SVC_ORD": df, "_LOG": df, "CUST": df})] == ["SVC_ORD", "CUST", "ZED"]
+
+
+@pytest.mark.parametrize("kind", ["text", "long", "decimal", "two"])
+def test_typed_index_orders_by_the_keys_own_type(spark, kind):
+    """Keys with one prefix, keys above 2**53, decimals; nulls first; ranges follow the rows."""
+    made = {
+        "text": [f"CUSTOMER-{i:06d}" for i in range(1000)],
+        "long": [(1 << 60) + i for i in range(1000)],
+        "decimal": [decimal.Decimal(f"1234567890123456789.{i:04d}") for i in range(1000)],
+        "two": [f"k{i // 500}" for i in range(1000)],
+    }[kind]
+    kinds = {"text": "string", "long": "long", "decimal": "decimal(38,4)", "two": "string"}[kind]
+    data = [("g" if i % 3 else None, k, i) for i, k in enumerate([*made, None])]
+    df = spark.createDataFrame(data, f"g string, k {kinds}, i long").repartition(4)
+    got = ordering.typed_index(df, ["k", "i"], within=["g"], name="at", per_range=50)
+    want = {}
+    for g in ("g", None):
+        own = sorted((x for x in data if x[0] == g), key=lambda x: (x[1] is not None, x[1] or 0, x[2]) if x[1] is not None else (False, 0, x[2]))
+        want.update({x[2]: at for at, x in enumerate(own)})
+    assert {r.i: r.at for r in got.collect()} == want
+
+
+def test_ranges_are_many_and_even(spark):
+    df = spark.createDataFrame([(f"CUSTOMER-{i:06d}",) for i in range(20_000)], "k string")
+    cells = ordering.with_range(df, ["k"], ordering.range_splitters(df, ["k"], 20_000, per_range=200))
+    sizes = [r["count"] for r in cells.groupBy("_range").count().collect()]
+    assert len(sizes) == 100 and max(sizes) < 600

@@ -108,6 +108,71 @@ def ordered_index(
     )
 
 
+ROWS_PER_RANGE = 1 << 16
+MOST_RANGES = 1 << 14  # bounds the splitters, which every task gets
+SAMPLES_PER_RANGE = 20
+
+
+def range_splitters(df: DataFrame, keys: Sequence[str], rows: int, per_range: int = ROWS_PER_RANGE) -> Column | None:
+    """Sorted array of key structs that cuts ``df`` into ranges of about ``per_range`` rows; None for one range.
+
+    Splitters come from distinct sampled keys in the keys' own types, so text, decimals and longs beyond 2**53 are
+    told apart as Spark orders them.  Keys are sampled by hash: the same table gives the same splitters.
+    """
+    ranges = min(MOST_RANGES, -(-rows // per_range))
+    if ranges < 2:
+        return None
+    share = min(1.0, SAMPLES_PER_RANGE * ranges / rows)
+    chosen = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(1 << 30)) <= int(share * (1 << 30))
+    sampled = df.where(chosen).select(F.struct(*[F.col(k) for k in keys]).alias("_key")).distinct()
+    ordered = sampled.agg(F.array_sort(F.collect_list("_key")).alias("_keys"))
+    place = lambda i: (F.floor(i * F.size("_keys") / ranges) + 1).cast("int")
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.element_at("_keys", place(i)))
+    return ordered.select(F.when(F.size("_keys") > 0, F.array_distinct(cuts)).otherwise(F.slice("_keys", 1, 0))).scalar()
+
+
+def with_range(df: DataFrame, keys: Sequence[str], splitters: Column | None, name: str = "_range") -> DataFrame:
+    """Number of splitters below each row's key, by binary search; equal keys share a range."""
+    if splitters is None:
+        return df.withColumn(name, F.lit(0))
+    step = MOST_RANGES >> 1
+    found = df.withColumn("_splitters", splitters).withColumn("_key", F.struct(*[F.col(k) for k in keys])).withColumn(name, F.lit(0))
+    while step:
+        probe = F.get("_splitters", F.col(name) + (step - 1))
+        found = found.withColumn(name, F.col(name) + F.when(probe < F.col("_key"), step).otherwise(0))
+        step //= 2
+    return found.drop("_splitters", "_key")
+
+
+def typed_index(
+    df: DataFrame,
+    order: Sequence[str],
+    *,
+    within: Sequence[str] = (),
+    name: str = "_index",
+    start: int = 0,
+    per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """Dense position of each row in ``order`` per ``within`` group, for keys of any orderable type.
+
+    Ranges are cut over (within, order) together and follow the number of rows: a group with a third of all rows
+    is cut into as many ranges as it fills, many small groups share one.  Nulls come first.  Rows equal in all
+    keys are placed one behind the other.  ``df`` is read three times, so it should be a written table.
+    """
+    keys = [*within, *order]
+    rows = df.count()
+    ranged = with_range(df, keys, range_splitters(df, keys, rows, per_range))
+    sizes = ranged.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = cell_offsets(sizes, within, ["_range"], "_n", "_offset").drop("_n")
+    inside = Window.partitionBy(*within, "_range").orderBy(*order)
+    numbered = ranged.withColumn("_inside", F.row_number().over(inside))
+    return (
+        null_safe_join(numbered, offsets, [*within, "_range"])
+        .withColumn(name, F.col("_inside") + F.col("_offset") + F.lit(start - 1))
+        .drop("_range", "_inside", "_offset")
+    )
+
+
 def shuffled_index(
     df: DataFrame, key: Sequence[str], seed, name: str = "_index", cells_log2: int = 16
 ) -> DataFrame:
