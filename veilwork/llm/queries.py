@@ -18,6 +18,7 @@ from veilwork.llm import (
     jaccard_join,
     language_id,
     lm_scoring,
+    merkle,
     piece_sampling,
     secret_scan,
     token_records,
@@ -234,3 +235,60 @@ def op12(spark: SparkSession, root: str) -> DataFrame:
     back = fill_middle.restore_texts(fill_middle.fill_middle(read(spark, root, "documents")))
     digests = [F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
     return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def _sized(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(_sized(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {_sized(text)})"
+
+
+CRC_BIT = "(CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)"
+CRC = (
+    "xor(4294967295, list_reduce(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT),"
+    f" lambda a, c: list_reduce(range(0, 8), lambda b, k: {CRC_BIT}, xor(a, c)), 4294967295::BIGINT))"
+)
+UP = "list_transform(range(0, (len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[i*8+1:i*8+8], '')))"
+
+
+@query(
+    "op13_merkle_manifest",
+    f"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+        CASE WHEN {CRC} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+          ELSE {_leaf_sql("text")} END AS other
+      FROM documents
+    ), n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM d),
+    tree AS (
+      SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM n GROUP BY lang
+      UNION ALL SELECT lang, level + 1, {UP} FROM tree WHERE len(nodes) > 1
+    ), roots AS (
+      SELECT lang, nodes[1] AS subroot, max(level) OVER () AS deepest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place
+      FROM tree WHERE len(nodes) = 1
+    ), top AS (
+      SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM roots
+      UNION ALL SELECT level + 1, {UP} FROM top WHERE len(nodes) > 1
+    ), steps AS (
+      SELECT n.doc_id, level, pos // (8 ** level)::BIGINT AS pos, nodes FROM n JOIN tree ON tree.lang IS NOT DISTINCT FROM n.lang
+      WHERE len(nodes) > 1
+      UNION ALL SELECT n.doc_id, 100 + level, place // (8 ** level)::BIGINT, nodes
+      FROM n JOIN roots ON roots.lang IS NOT DISTINCT FROM n.lang JOIN top ON len(nodes) > 1
+    ), paths AS (
+      SELECT doc_id, list({{'l': array_to_string(nodes[pos//8*8+1:pos], ''), 'r': array_to_string(nodes[pos+2:pos//8*8+8], '')}} ORDER BY level) AS path
+      FROM steps GROUP BY doc_id
+    ), folded AS (
+      SELECT n.doc_id, leaf, subroot, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root,
+        sha256(coalesce(array_to_string(list_transform(path, lambda p: p.l || p.r), ''), '')) AS proof_sha256,
+        list_reduce(coalesce(path, []), lambda a, p: {{'l': sha256(p.l || a.l || p.r), 'r': ''}}, {{'l': other, 'r': ''}}).l AS folded_root
+      FROM n JOIN roots ON roots.lang IS NOT DISTINCT FROM n.lang LEFT JOIN paths ON paths.doc_id = n.doc_id
+    )
+    SELECT *, folded_root = root AS verified FROM folded
+    """,
+)
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    docs = read(spark, root, "documents")
+    tampered = merkle.lowered_where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0)
+    return merkle.manifest(docs, tampered).drop("position")
