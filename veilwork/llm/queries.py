@@ -21,6 +21,7 @@ from veilwork.llm import (
     merkle,
     piece_sampling,
     secret_scan,
+    substring_dedup,
     token_records,
     wrappers,
 )
@@ -292,3 +293,30 @@ def op13(spark: SparkSession, root: str) -> DataFrame:
     docs = read(spark, root, "documents")
     tampered = merkle.lowered_where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0)
     return merkle.manifest(docs, tampered).drop("position")
+
+
+@query(
+    "op11_substring_dedup",
+    """
+    WITH w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS words
+      FROM documents
+    ), s AS (
+      SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM w WHERE len(words) >= 50
+    ), g AS (SELECT doc_id, i, md5(array_to_string(words[i:i+49], ' ')) AS gram FROM s),
+    f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY gram),
+    gone AS (
+      SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS place FROM g JOIN f USING (gram) WHERE first < doc_id
+    ), p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w),
+    k AS (
+      SELECT p.doc_id, string_agg(word, ' ' ORDER BY place) FILTER (gone.place IS NULL) AS kept,
+        count(gone.place) AS n_removed
+      FROM p LEFT JOIN gone USING (doc_id, place) GROUP BY p.doc_id
+    )
+    SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN k USING (doc_id)
+    """,
+)
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    kept = substring_dedup.dedup_substrings(read(spark, root, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
