@@ -295,28 +295,42 @@ def op13(spark: SparkSession, root: str) -> DataFrame:
     return merkle.manifest(docs, tampered).drop("position")
 
 
+DOUBLED = "".join(
+    f"g{k} AS (SELECT a.doc_id, a.i, md5(a.gram || b.gram) AS gram FROM g{k - 1} a JOIN g{k - 1} b ON b.doc_id = a.doc_id AND b.i = a.i + {25 << k}),"
+    for k in range(1, 10)
+)
+LENGTHS = " UNION ALL ".join(
+    f"SELECT doc_id, {50 << k} AS length FROM g{k} JOIN (SELECT gram, min(doc_id) AS first FROM g{k} GROUP BY gram) USING (gram)"
+    " WHERE first < doc_id GROUP BY doc_id"
+    for k in range(10)
+)
+
+
 @query(
     "op11_substring_dedup",
-    """
+    f"""
     WITH w AS (
       SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS words
       FROM documents
     ), s AS (
       SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM w WHERE len(words) >= 50
-    ), g AS (SELECT doc_id, i, md5(array_to_string(words[i:i+49], ' ')) AS gram FROM s),
-    f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY gram),
+    ), g0 AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(words[i:i+49], ' ')) AS gram FROM s),
+    {DOUBLED.replace(" AS (", " AS MATERIALIZED (")}
+    l AS (SELECT doc_id, max(length) AS longest FROM ({LENGTHS}) GROUP BY doc_id),
+    f AS (SELECT gram, min(doc_id) AS first FROM g0 GROUP BY gram),
     gone AS (
-      SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS place FROM g JOIN f USING (gram) WHERE first < doc_id
+      SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS place FROM g0 JOIN f USING (gram) WHERE first < doc_id
     ), p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w),
     k AS (
       SELECT p.doc_id, string_agg(word, ' ' ORDER BY place) FILTER (gone.place IS NULL) AS kept,
         count(gone.place) AS n_removed
       FROM p LEFT JOIN gone USING (doc_id, place) GROUP BY p.doc_id
     )
-    SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-    FROM w LEFT JOIN k USING (doc_id)
+    SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+      sha256(coalesce(kept, '')) AS kept_sha256, coalesce(longest, 0)::BIGINT AS longest
+    FROM w LEFT JOIN k USING (doc_id) LEFT JOIN l USING (doc_id)
     """,
 )
 def op11(spark: SparkSession, root: str) -> DataFrame:
     kept = substring_dedup.dedup_substrings(read(spark, root, "documents"))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "longest")

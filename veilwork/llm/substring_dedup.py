@@ -1,12 +1,13 @@
 """Removal of word windows that also start in a document with a smaller id, by level-wise doubling.
 
 A window is ``window`` consecutive words of one document.  Windows repeated at one length alone are extended to twice
-that length, until no candidates survive or, by default, the asked length is reached:
+that length, until no candidates survive:
 
 * Level 0 has windows of half the length.  Of the seeds inside a longer window only the least by hash is asked for, so
   equal longer windows ask for equal seeds and about two in 27 places are sent.
 * Level 1 has the windows of the asked length whose seed occurs in two documents.  What a document loses is decided here.
-* Level k + 1 has the windows of twice the length of level k both of whose halves occur in two documents.
+* Level k + 1 has the windows of twice the length of level k both of whose halves occur in two documents.  These levels
+  tell how long a document's repeats are; their candidates become few fast.
 
 **Where the work is.**  The texts are written once, in parts of a few MB, as a table bucketed by part; no later step
 shuffles them.  A part asks, once per distinct window, which windows other documents have: its hashes go to buckets of the
@@ -36,7 +37,7 @@ from veilwork.llm.text import word_places
 PARTS = "part long, seq int, bytes long, doc_id long, text string"
 ASKED = "part long, level int, bucket int, n long, payload binary"
 ANSWER = "part long, level int, bucket int, n long, repeated long, both binary, smaller binary"
-KEPT = "doc_id long, n_words long, n_removed long, kept string"
+KEPT = "doc_id long, n_words long, n_removed long, longest long, kept string"
 LEAST = -(1 << 63)
 STATE = -1  # the bucket number of a part's own notes, which buckets hand back as they are
 _A, _B, _C, _D = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x9E3779B97F4A7C15, 0x94D049BB133111EB))
@@ -206,7 +207,7 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 ANSWER_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 ASKED_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-KEPT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+KEPT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
 
 def _record(rows: list[tuple], types: list[pa.DataType], names: str = ANSWER) -> pa.RecordBatch:
@@ -287,13 +288,17 @@ class Part:
         yield self.part, level, STATE, len(places), np.packbits(mask).tobytes() + np.packbits(kept).tobytes()
         yield from self.entries(level, words, places).asked(self.part, level, bits)
 
+    def earlier(self, level: int) -> tuple[np.ndarray, Words, np.ndarray]:
+        """Texts, words and places of the level's windows that start under a smaller id, too."""
+        live, words, places = self.candidates(level)
+        if not len(places):
+            return live, words, places
+        entries = self.entries(level, words, places)
+        return live, words, places[self.bits(level, "smaller")[entries.entry] | (entries.least[entries.entry] < words.ids[places])]
+
     def removed(self) -> dict[int, np.ndarray]:
         """By text, which of its words go."""
-        live, words, places = self.candidates(1)
-        if not len(places):
-            return {}
-        entries = self.entries(1, words, places)
-        gone = places[self.bits(1, "smaller")[entries.entry] | (entries.least[entries.entry] < words.ids[places])]
+        live, words, gone = self.earlier(1)
         ends = np.zeros(len(words.hashes) + 1, np.int64)
         np.add.at(ends, gone, 1)
         np.add.at(ends, gone + self.ladder.window, -1)
@@ -301,6 +306,14 @@ class Part:
         touched = np.unique(words.text[gone])
         return {int(live[t]): covered[words.first[t] : words.first[t + 1]] for t in touched.tolist()}
 
+    def longest(self) -> np.ndarray:
+        """By text, the length of the last level at which it has a window that starts under a smaller id, too."""
+        out = np.zeros(len(self.texts), np.int64)
+        for level in sorted({k for k, _ in self.answers if k}):
+            live, words, places = self.earlier(level)
+            out[live[np.unique(words.text[places])]] = self.ladder.length(level)
+        return out
+
 
 def _asker(level: int, window: int, bits: int):
     def ask(texts: pa.Table, answers: pa.Table | None) -> pa.Table:
@@ -321,12 +334,12 @@ def _keeper(window: int):
         if not len(texts):
             return pa.Table.from_batches([_record([], KEPT_TYPES, KEPT)])
         part = Part(texts, answers, Ladder(window))
-        removed, rows = part.removed(), []
+        removed, longest, rows = part.removed(), part.longest().tolist(), []
         for i, (doc, text) in enumerate(zip(part.doc_ids.to_pylist(), part.texts, strict=True)):
             words = text.split()
             gone = removed.get(i)
             left = words if gone is None else [w for w, out in zip(words, gone.tolist(), strict=True) if not out]
-            rows.append((doc, len(words), len(words) - len(left), b" ".join(left).decode()))
+            rows.append((doc, len(words), len(words) - len(left), longest[i], b" ".join(left).decode()))
         return pa.Table.from_batches([_record(rows, KEPT_TYPES, KEPT)])
 
     return run
@@ -350,16 +363,19 @@ def _parts(most: int):
     return run
 
 
-def _bits(rows: int, per_bucket: int) -> int:
-    return max(6, (max(1, rows) // per_bucket).bit_length())
+FINER = 2  # buckets are finer than the tasks that they are dealt to, so that tasks are even
+
+
+def _bits(rows: int, per_task: int) -> int:
+    return FINER + max(6, (max(1, rows) // per_task).bit_length())
 
 
 class Search:
     """The levels of one run: a table of parts, and a table of answers per level."""
 
-    def __init__(self, docs: DataFrame, window: int, part_bytes: int, bucket_rows: int, id_column: str, text_column: str):
+    def __init__(self, docs: DataFrame, window: int, part_bytes: int, task_rows: int, id_column: str, text_column: str):
         spark = self.spark = docs.sparkSession
-        self.space, self.window, self.bucket_rows = Workspace(spark, "substrings"), window, bucket_rows
+        self.space, self.window, self.task_rows = Workspace(spark, "substrings"), window, task_rows
         narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
         table = f"substrings_{uuid.uuid4().hex}"
         writer = narrow.mapInArrow(_parts(part_bytes), PARTS).write.option("path", self.space.path("parts")).option("compression", "zstd")
@@ -379,18 +395,29 @@ class Search:
         else:
             repeated = self.answers[-1].agg(F.sum("repeated")).first()[0] or 0
             expected = repeated * self.window // 4 if level == 1 else repeated
-        bits = _bits(expected, self.bucket_rows)
+        bits = _bits(expected, self.task_rows)
         ask, texts = _asker(level, self.window, bits), self.texts().groupBy("part")
         if level == 0:
             asked = texts.applyInArrow(ask, ASKED)
         else:
             asked = texts.cogroup(self.answers[-1].groupBy("part")).applyInArrow(ask, ASKED)
         key = F.when(F.col("bucket") == STATE, F.col("part")).otherwise(F.col("bucket"))
-        self.answers.append(self.space.save(asked.repartition(1 << bits, key).mapInArrow(answer, ANSWER), f"level{level}"))
+        dealt = asked.repartition(1 << (bits - FINER), key).mapInArrow(answer, ANSWER)
+        self.answers.append(self.space.save(dealt, f"level{level}"))
         return self.answers[-1].agg(F.sum("repeated")).first()[0] or 0
 
+    def climb(self) -> list[int]:
+        """Levels until no candidates survive; returns what each found."""
+        counts: list[int] = []
+        while len(counts) < 2 or counts[-1]:
+            counts.append(self.level())
+        return counts
+
     def kept(self) -> DataFrame:
-        found = self.answers[1].groupBy("part")
+        found = self.answers[1]
+        for more in self.answers[2:]:
+            found = found.unionByName(more)
+        found = found.groupBy("part")
         return self.texts().groupBy("part").cogroup(found).applyInArrow(_keeper(self.window), KEPT)
 
 
@@ -398,32 +425,29 @@ def dedup_substrings(
     docs: DataFrame,
     window: int = 50,
     part_bytes: int = 4 << 20,
-    bucket_rows: int = 1 << 20,
+    task_rows: int = 1 << 19,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """One row per input row: ``doc_id, n_words, n_removed, kept``, the text left with one space between words.
+    """One row per input row: ``doc_id, n_words, n_removed, longest, kept``, the text left with one space between words.
 
     A word goes when a window of ``window`` words that covers it also starts in a row with a smaller id; windows are
-    judged on the input.  Words are runs of other characters than space and 0x09-0x0D, taken unchanged.  Null and empty
+    judged on the input.  ``longest`` is the greatest of ``window``, twice that and so on at which the row has such a window
+    (0: none).  Words are runs of other characters than space and 0x09-0x0D, taken unchanged.  Null and empty
     texts have no words.  Rows with one id are one document to each other: none removes from another.  A null id is the
     smallest.  Equal rows get equal results; a text of any length is searched as a whole, and is a part of its own above
     ``part_bytes``; an empty table gives no rows; other columns are not read.
     """
-    search = Search(docs, window, part_bytes, bucket_rows, id_column, text_column)
-    for _ in range(2):
-        search.level()
+    search = Search(docs, window, part_bytes, task_rows, id_column, text_column)
+    search.climb()
     return search.kept()
 
 
 def longest_repeats(
-    docs: DataFrame, window: int = 50, part_bytes: int = 4 << 20, bucket_rows: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, window: int = 50, part_bytes: int = 4 << 20, task_rows: int = 1 << 19, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """``length, windows``: per level from ``window`` on, doubled until no candidates survive, the distinct windows of
     that many words that two documents have.  Counted by part: a window in several parts counts in each."""
-    search = Search(docs, window, part_bytes, bucket_rows, id_column, text_column)
-    counts: list[int] = []
-    while len(counts) < 2 or counts[-1]:
-        counts.append(search.level())
-    rows = [(window << k, n) for k, n in enumerate(counts[1:]) if n]
+    search = Search(docs, window, part_bytes, task_rows, id_column, text_column)
+    rows = [(window << k, n) for k, n in enumerate(search.climb()[1:]) if n]
     return docs.sparkSession.createDataFrame(rows, "length long, windows long")
