@@ -77,6 +77,35 @@ def defect_scan_first25(spark, root):
     return D.defect_report(D.detect(source(spark, root), RULES, cap=25), with_rows=False).select("defect_id", "pk_value")
 
 
+WIDE_RULES = [
+    D.non_negative("CUSTOMER", "code", "c_acctbal", "negative_balance"),
+    D.max_value("CUSTOMER", "code", "c_acctbal", "9000", "balance_high"),
+    D.max_value("ORDERS", "number", "o_totalprice", "300000.0", "total_overflow"),
+    D.length_is("ORDERS", "money", "o_orderpriority", 8, "priority_wrong_length"),
+]
+
+
+@check(
+    "defect_scan_wide_keys",
+    """WITH c AS (SELECT *, 'CUSTOMER-' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS code FROM customer),
+        o AS (SELECT *, 1152921504606846976 + o_orderkey AS number, 12345678901234567890.0::DECIMAL(38,2) + CAST(o_totalprice AS DECIMAL(38,2)) AS money FROM orders),
+        hits AS (SELECT 'CUSTOMER' AS t, 0 AS r, 'NEGATIVE_BALANCE' AS kind, code, NULL::BIGINT AS number, NULL::DECIMAL(38,2) AS money FROM c WHERE c_acctbal < 0
+          UNION ALL SELECT 'CUSTOMER', 1, 'BALANCE_HIGH', code, NULL, NULL FROM c WHERE c_acctbal > 9000
+          UNION ALL SELECT 'ORDERS', 2, 'TOTAL_OVERFLOW', NULL, number, NULL FROM o WHERE o_totalprice > 300000
+          UNION ALL SELECT 'ORDERS', 3, 'PRIORITY_WRONG_LENGTH', NULL, NULL, money FROM o WHERE length(o_orderpriority) <> 8),
+        named AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY r, code, number, money) AS n,
+          coalesce(code, CAST(number AS VARCHAR), CAST(money AS VARCHAR)) AS pk_value FROM hits)
+        SELECT t || '-' || kind || '-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS defect_id, pk_value FROM named""",
+)
+def defect_scan_wide_keys(spark, root):
+    """Keys of one text prefix, longs above 2**53 and long decimals are numbered in their own order."""
+    customer = read(spark, root, "customer").withColumn("code", F.format_string("CUSTOMER-%09d", "c_custkey"))
+    orders = read(spark, root, "orders").withColumn("number", F.col("o_orderkey") + (1 << 60))
+    wide = F.lit("12345678901234567890.00").cast("decimal(38,2)") + F.col("o_totalprice").cast("decimal(38,2)")
+    orders = orders.withColumn("money", wide.cast("decimal(38,2)"))
+    return D.defect_report(D.detect({"CUSTOMER": customer, "ORDERS": orders}, WIDE_RULES), with_rows=False).select("defect_id", "pk_value")
+
+
 SQL_IMPACT = (
     SQL_DEFECTS
     + """, children AS (
