@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilwork.functions.membership import prefiltered
 from veilwork.operators.masking import key_domains, mask
 from veilwork.operators.policies import ColumnPolicy
 from veilwork.operators.relations import Edge
@@ -131,21 +132,23 @@ class _Step:
 
 
 def _step(fresh: DataFrame, own: str, other: DataFrame, theirs: str, limit: int | None) -> _Step:
-    """Rows of ``other`` matching the frontier, and the number of matches per frontier row."""
-    rows = fresh.select(CASE, F.col(own).alias("_key")).where("_key is not null")
-    keys = rows.distinct()
-    columns = other.columns
-    related = keys.join(other.withColumn("_key", F.col(theirs)), "_key").select(CASE, "_key", *columns)
-    related = _limited(related, [CASE, "_key"], limit).select(CASE, *columns)
-    # one count per key, made with partial aggregation, meets the frontier rows
+    """Rows of ``other`` matching the frontier, and the number of matches per frontier row.
+
+    ``other`` is read once: the matches are written, and both the rows to follow
+    and their counts come from there.  Keys and counts are written, too, so that
+    both sides of each join are plain exchanges, which Spark splits where one key
+    has very many rows.
+    """
+    rows = fresh.select(CASE, F.col(f"`{own}`").alias("_key")).where("_key is not null")
+    keys = cut_lineage(rows.distinct())
+    columns = [F.col(f"`{c}`") for c in other.columns]
+    near = prefiltered(other, F.col(f"`{theirs}`"), keys, "_key").withColumn("_key", F.col(f"`{theirs}`"))
+    matched = cut_lineage(keys.join(near, "_key").select(CASE, "_key", *columns))
     size = F.count(F.lit(1))
-    counts = (
-        other.select(F.col(theirs).alias("_key"))
-        .join(keys.select("_key").distinct(), "_key", "left_semi")
-        .groupBy("_key")
-        .agg((size if limit is None else F.least(size, F.lit(limit))).alias("row_count"))
+    counts = cut_lineage(
+        matched.groupBy(CASE, "_key").agg((size if limit is None else F.least(size, F.lit(limit))).alias("row_count"))
     )
-    return _Step(related, rows.join(counts, "_key"))
+    return _Step(_limited(matched, [CASE, "_key"], limit).select(CASE, *columns), rows.join(counts, [CASE, "_key"]))
 
 
 def _links(step: _Step, own: str, theirs: str, from_table: str, to_table: str, direction: str, depth: int) -> DataFrame:
