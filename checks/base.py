@@ -49,7 +49,7 @@ def sql_uniform(*parts: str) -> str:
 
 
 def sql_pick(size, *parts: str) -> str:
-    return f"floor({sql_uniform(*parts)} * {size})::BIGINT"
+    return f"(('0x' || substr({sql_digest(*parts)}, 1, 15))::BIGINT % ({size})::BIGINT)"
 
 
 def sql_order_key(*parts: str) -> str:

@@ -40,8 +40,9 @@ def uniform(*parts, index: int = 0) -> Column:
 
 
 def pick(size, *parts, index: int = 0) -> Column:
-    """Uniform long in [0, size)."""
-    return F.floor(uniform(*parts, index=index) * size).cast("long")
+    """Uniform long in [0, size), from 60 bits; NULL for a size of 0.  ``index`` 0 or 1 takes either half of the digest."""
+    whole = size if isinstance(size, Column) else F.lit(size)
+    return F.pmod(hex_number(digest(*parts), 1 + 16 * index, 15), F.nullif(whole.cast("long"), F.lit(0).cast("long")))
 
 
 def order_key(*parts) -> Column:

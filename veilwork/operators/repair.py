@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,41 +12,53 @@ from pyspark.sql import types as T
 
 from veilwork.functions import draws, names
 from veilwork.functions.ordering import ordered_index
+from veilwork.operators.fetching import RID, Draw, fetch
 from veilwork.operators.policies import ColumnPolicy, Strategy, allowed_list
 from veilwork.operators.profile import is_numeric
 from veilwork.operators.relations import Edge
-from veilwork.operators.synthesis import RID, gather
 
 
-def stitch_key(child: DataFrame, column: str, parent: DataFrame, parent_column: str, seed: int | str = 42, parent_id: str | None = None) -> DataFrame:
-    """Replace each non-null key by a parent key drawn with replacement.
+def key_groups(table: str, child: DataFrame, edges: Iterable[Edge], generated: dict[str, DataFrame]) -> list[tuple[str, dict[str, str]]]:
+    """(parent, {child column: parent column}): keys of several columns stay together; the last edge of a column wins.
 
-    ``parent_id`` is a unique column of the parent; by default the key itself.
+    Two columns that point at one parent column are two keys.
     """
-    values = parent.where(F.col(parent_column).isNotNull())
-    size = values.agg(F.count(F.lit(1))).scalar()
-    position = F.when(F.col(column).isNotNull(), draws.pick(size, seed, column, F.col(RID)))
-    kind, order = child.schema[column].dataType, child.columns
-    source = values.select(
-        F.col(parent_column).alias(column), F.col(parent_id or parent_column).alias("_id")
-    )
-    stitched = gather(child.withColumn("_p", position), F.col("_p"), source, [column], ["_id"], seed)
-    return stitched.withColumn(column, F.col(column).cast(kind)).select(*order)
-
-
-def stitch_foreign_keys(table: str, child: DataFrame, edges: Iterable[Edge], generated: dict[str, DataFrame], seed: int | str = 42) -> DataFrame:
-    """Align every foreign key of a table with its generated parents; the last edge of a column wins."""
     last: dict[str, Edge] = {}
     for e in edges:
         parent = generated.get(e.target_table)
         if e.source_table.upper() == table.upper() and e.source_column in child.columns and parent is not None:
             if e.target_column in parent.columns:
                 last[e.source_column] = e
+    groups: list[tuple[str, dict[str, str]]] = []
     for column, e in last.items():
-        parent = generated[e.target_table]
-        unique = RID if RID in parent.columns else e.target_column
-        child = stitch_key(child, column, parent, e.target_column, seed, unique)
-    return child
+        open_group = next((g for t, g in groups if t == e.target_table and e.target_column not in g.values()), None)
+        if open_group is None:
+            groups.append((e.target_table, {column: e.target_column}))
+        else:
+            open_group[column] = e.target_column
+    return groups
+
+
+def stitch_foreign_keys(table: str, child: DataFrame, edges: Iterable[Edge], generated: dict[str, DataFrame], seed: int | str = 42) -> DataFrame:
+    """Replace every non-null foreign key by the key of a parent row drawn with replacement.
+
+    All columns of a key come from one parent row.  The child meets all drawn keys by row number, so it is
+    shuffled once however many parents it has.
+    """
+    order, kinds, fixed = child.columns, dict((f.name, f.dataType) for f in child.schema.fields), {}
+    narrow = child
+    for i, (name, group) in enumerate(key_groups(table, child, edges, generated)):
+        parent = generated[name]
+        values = parent.where(reduce(and_, [F.col(c).isNotNull() for c in group.values()]))
+        size = values.agg(F.count(F.lit(1))).scalar()
+        some = reduce(or_, [F.col(c).isNotNull() for c in group])
+        position = F.when(some, draws.pick(size, seed, next(iter(group)), F.col(RID)))
+        unique = [RID] if RID in parent.columns else list(group.values())
+        drawn = fetch(narrow.select(RID, *group), values, unique, seed, [Draw(position, tuple(group.values()))])
+        drawn = drawn.select(RID, *[F.col(theirs).alias(f"_k{i}_{own}") for own, theirs in group.items()])
+        child = child.join(drawn, RID, "left")
+        fixed |= {c: F.when(F.col(c).isNotNull(), F.col(f"_k{i}_{c}").cast(kinds[c])) for c in group}
+    return child.withColumns(fixed).select(*order) if fixed else child
 
 
 def enforce_allowed(df: DataFrame, policies: Iterable[ColumnPolicy], seed: int | str = 42) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from veilwork.functions import draws, names
 from veilwork.functions.ordering import shuffled_index
+from veilwork.operators.fetching import RID, Draw, fetch
 from veilwork.operators.policies import ColumnPolicy, allowed_list
 from veilwork.operators.profile import (
     STAMPS,
@@ -26,7 +27,6 @@ from veilwork.operators.profile import (
 )
 from veilwork.sources.tables import union_all
 
-RID = "_rid"
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 CATEGORY_LIMIT = 50
 
@@ -167,22 +167,6 @@ def numbered_text(exemplar: Column, number: Column) -> Column:
     ).otherwise(F.concat(exemplar, F.lit("_"), padded(F.lit(5))))
 
 
-def gather(out: DataFrame, position: Column, source: DataFrame, columns: Sequence[str], key: Sequence[str], seed) -> DataFrame:
-    """Add ``columns`` of the source row at ``position`` (0-based in a keyed order).
-
-    Positions are uniform, so the equi-join has no hot key.  A NULL position
-    gives NULLs; such rows get distinct negative positions so that they spread.
-    """
-    kept = [c for c in columns if c not in key]
-    indexed = shuffled_index(source.select(*key, *kept), key, seed, name="_pos").select("_pos", *[F.col(c).alias(f"_g_{c}") for c in columns])
-    placed = out.withColumn("_pos", F.coalesce(position, -1 - F.col(RID)))
-    return (
-        placed.join(indexed, "_pos", "left")
-        .drop("_pos", *columns)
-        .withColumnsRenamed({f"_g_{c}": c for c in columns})
-    )
-
-
 @dataclass(frozen=True)
 class Plan:
     """How each column of a table will be drawn."""
@@ -260,14 +244,13 @@ def synthesize(
 
     out = spark.range(n).withColumnRenamed("id", RID)
     rid = F.col(RID)
-    if plan.resampled:
-        out = gather(out, draws.pick(total, seed, "row", rid), source, plan.resampled, key, seed)
-    for c in plan.independent:
-        out = gather(out, draws.pick(total, seed, c, rid), source, [c], key, seed)
+    wanted = [Draw(draws.pick(total, seed, "row", rid), tuple(plan.resampled))] if plan.resampled else []
+    wanted += [Draw(draws.pick(total, seed, c, rid), (c,)) for c in plan.independent]
+    # NULLs come back at the source's rate, so exemplars are the rows with a value
+    wanted += [Draw(F.pmod(rid, F.lit(stats[c].present)), (c,), c) for c in plan.renumbered]
+    if wanted:
+        out = out.join(fetch(out, source, key, seed, wanted), RID, "left")
     for c in plan.renumbered:
-        # NULLs come back at the source's rate, so exemplars are the rows with a value
-        present = source.where(F.col(c).isNotNull())
-        out = gather(out, F.pmod(rid, F.lit(stats[c].present)), present, [c], key, seed)
         out = out.withColumn(c, with_nulls(numbered_text(F.col(c).cast("string"), rid + 1), stats[c].null_rate, seed, c, rid))
 
     drawn = {}
@@ -369,13 +352,10 @@ def junction(
     out = links.join(indexed, "_pos").select(primary_fk, F.col("_sk").alias(secondary_fk))
     if not others:
         return out
-    total = real.count()
-    for c in others:
-        placed = out.withColumn(RID, F.abs(F.xxhash64(F.col(primary_fk), F.col(secondary_fk))))
-        out = gather(
-            placed, draws.pick(total, seed, c, parent, F.col(secondary_fk)), real, [c], real_key, seed
-        ).drop(RID)
-    return out
+    total, pair = real.count(), F.struct(F.col(primary_fk), F.col(secondary_fk))
+    wanted = [Draw(draws.pick(total, seed, c, parent, F.col(secondary_fk)), (c,)) for c in others]
+    placed = out.withColumn(RID, pair)
+    return placed.join(fetch(placed, real, real_key, seed, wanted), RID, "left").drop(RID)
 
 
 def _coprime_stride(size: int) -> int:
