@@ -132,6 +132,35 @@ def reid_risk(spark, root):
     return found.groupBy("matches").agg(F.count(F.lit(1)).alias("records"), F.sum("copies").alias("copies"))
 
 
+WIDE = ["p_brand", "p_name", "p_type", "p_size", "p_retailprice", "words", "fifth", "hundreds"]
+SQL_WIDE = "SELECT p_partkey, p_brand, p_name, p_type, p_size, CAST(p_retailprice AS VARCHAR) AS p_retailprice, length(p_name) AS words, p_size % 5 AS fifth, CAST(floor(p_retailprice / 100) AS BIGINT) AS hundreds FROM part"
+
+
+@check(
+    "reid_risk_wide",
+    f"""WITH real AS ({SQL_WIDE}), synth AS (SELECT * REPLACE (CASE WHEN p_partkey % 3 = 0 THEN 'other' ELSE p_brand END AS p_brand,
+            CASE WHEN p_partkey % 4 = 0 THEN p_size + 1000 ELSE p_size END AS p_size, CASE WHEN p_partkey % 7 = 0 THEN -1 ELSE fifth END AS fifth) FROM real),
+        records AS (SELECT {', '.join(WIDE)}, count(*) AS copies, row_number() OVER () AS id FROM synth GROUP BY ALL),
+        nearest AS (SELECT s.id, any_value(s.copies) AS copies, max({' + '.join(f'(s.{c} = r.{c})::INT' for c in WIDE)}) AS matches FROM records s, real r GROUP BY s.id)
+        SELECT matches, count(*) AS records, sum(copies)::BIGINT AS copies FROM nearest WHERE matches / 8 > 0.7 GROUP BY matches""",
+)
+def reid_risk_wide(spark, root):
+    """Eight columns, two of which may differ; some columns have few values."""
+    part = read(spark, root, "part").withColumns(
+        {"words": F.length("p_name"), "fifth": F.col("p_size") % 5, "hundreds": F.floor(F.col("p_retailprice") / 100)}
+    )
+    key = F.col("p_partkey")
+    synth = part.withColumns(
+        {
+            "p_brand": F.when(key % 3 == 0, "other").otherwise(F.col("p_brand")),
+            "p_size": F.when(key % 4 == 0, F.col("p_size") + 1000).otherwise(F.col("p_size")),
+            "fifth": F.when(key % 7 == 0, -1).otherwise(F.col("fifth")),
+        }
+    )
+    found = V.reid_risk(part, synth, WIDE, 0.7, block=32)
+    return found.groupBy("matches").agg(F.count(F.lit(1)).alias("records"), F.sum("copies").alias("copies"))
+
+
 @check(
     "reid_sample",
     """WITH real AS (SELECT * FROM part ORDER BY p_partkey LIMIT 200),

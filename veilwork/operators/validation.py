@@ -6,8 +6,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from itertools import combinations
-from math import floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +14,8 @@ from pyspark.sql import types as T
 from veilwork.functions import names
 from veilwork.operators import fidelity
 from veilwork.operators.policies import ColumnPolicy, Strategy
-from veilwork.operators.profile import STAMPS, as_text, fields_of, is_numeric, long_form, sketched_distinct
+from veilwork.operators.profile import STAMPS, fields_of, is_numeric, long_form, sketched_distinct
+from veilwork.operators.reidentification import reid_risk, text_columns
 from veilwork.operators.relations import Edge
 from veilwork.operators.repair import as_moment
 from veilwork.session import cut_lineage
@@ -144,54 +143,6 @@ def reid_columns(real: DataFrame, synth: DataFrame, policies: Iterable[ColumnPol
     ]
 
 
-def _text_columns(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    by_name = {f.name: f for f in fields_of(df, columns)}
-    return [F.coalesce(as_text(by_name[c]), F.lit("None")) for c in columns]
-
-
-def reid_risk(real: DataFrame, synth: DataFrame, columns: Sequence[str], threshold: float = 0.85) -> DataFrame:
-    """(record, copies, matches, similarity): synthetic records closer than the threshold.
-
-    Exact over whole tables and without comparing pairs: a synthetic record agrees
-    with some real record on at least ``need`` columns exactly when its projection
-    on one of the subsets of that size also occurs in the real table.  Each record
-    yields one key per subset; equal keys meet in a semi join against the distinct
-    real keys, so common values cannot blow up.
-    """
-    k = len(columns)
-    need = floor(threshold * k + 1e-9) + 1
-    if need > k:
-        raise ValueError("no share of equal columns can exceed the threshold")
-    subsets = [s for size in range(need, k + 1) for s in combinations(range(k), size)]
-
-    def keyed(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        keys = F.array(
-            *[
-                F.struct(
-                    F.lit(len(s)).alias("matches"),
-                    F.md5(F.to_json(F.struct(F.lit(i).alias("s"), *[F.col(f"v{j}") for j in s]))).alias("key"),
-                )
-                for i, s in enumerate(subsets)
-            ]
-        )
-        return df.select(*keep, F.explode(keys).alias("_k")).select(*keep, "_k.*")
-
-    def distinct_records(df: DataFrame) -> DataFrame:
-        values = [v.alias(f"v{j}") for j, v in enumerate(_text_columns(df, columns))]
-        return df.select(*values).groupBy(*[f"v{j}" for j in range(k)]).agg(F.count(F.lit(1)).alias("copies"))
-
-    record = F.md5(F.to_json(F.struct(*[F.col(f"v{j}") for j in range(k)])))
-    ours = distinct_records(synth).withColumn("record", record)
-    theirs = keyed(distinct_records(real), []).select("key").distinct()
-    return (
-        keyed(ours, ["record", "copies"])
-        .join(theirs, "key", "left_semi")
-        .groupBy("record", "copies")
-        .agg(F.max("matches").alias("matches"))
-        .withColumn("similarity", F.col("matches") / F.lit(k))
-    )
-
-
 def reid_summary(risky: DataFrame) -> DataFrame:
     return risky.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("high_risk_count"), F.max("similarity").alias("max_similarity")
@@ -208,7 +159,7 @@ def reid_sample(real: DataFrame, synth: DataFrame, columns: Sequence[str], order
     def cells(df: DataFrame, name: str) -> DataFrame:
         first = df.orderBy(order).limit(rows)
         values = F.array(
-            *[F.struct(F.lit(j).alias("c"), v.alias("v")) for j, v in enumerate(_text_columns(df, columns))]
+            *[F.struct(F.lit(j).alias("c"), v.alias("v")) for j, v in enumerate(text_columns(df, columns))]
         )
         return first.select(F.col(order).alias(name), F.explode(values).alias("x")).select(name, "x.c", "x.v")
 
