@@ -104,6 +104,29 @@ def synth_identifiers(spark, root):
     return S.synthesize(base, ["CUST_ID", "CUST_CODE_ID"], [], ["CUST_ID"], seed=SEED)
 
 
+def _sql_many(column: str, expression: str) -> str:
+    total = f"(SELECT count({expression}) FROM lineitem)"
+    return f"""{column}_w AS (SELECT v, sum(n) OVER (ORDER BY v) AS upto, n FROM (SELECT CAST({expression} AS VARCHAR) AS v, count(*) AS n FROM lineitem WHERE {expression} IS NOT NULL GROUP BY 1)),
+        {column}_d AS (SELECT range AS rid, {sql_pick(total, S_, f"'{column}'", "range")} AS d,
+          {sql_uniform("'null'", S_, f"'{column}'", "range")} >= (SELECT 1 - count({expression}) / count(*) FROM lineitem) AS kept FROM range((SELECT count(*) FROM lineitem))),
+        {column}_v AS (SELECT rid, CASE WHEN kept THEN v END AS {column} FROM {column}_d ASOF JOIN (SELECT v, upto - n AS lower FROM {column}_w) w ON d >= w.lower)"""
+
+
+@check(
+    "synth_weighted_many",
+    f"""WITH {_sql_many("PART_STATUS", "l_partkey")}, {_sql_many("SHIP_STATUS", "CASE WHEN l_linenumber > 1 THEN CAST(l_shipdate AS VARCHAR) END")}
+        SELECT rid AS _rid, CAST(PART_STATUS AS BIGINT) AS PART_STATUS, SHIP_STATUS FROM PART_STATUS_v JOIN SHIP_STATUS_v USING (rid)""",
+)
+def synth_weighted_many(spark, root):
+    """Categories by the thousand, one column with NULLs; drawn by their running totals."""
+    lines = read(spark, root, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_partkey").alias("PART_STATUS"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_shipdate").cast("string")).alias("SHIP_STATUS"),
+    )
+    columns = ["PART_STATUS", "SHIP_STATUS"]
+    return S.synthesize(lines, columns, [], ["l_orderkey", "l_linenumber"], seed=SEED, columns=columns)
+
+
 def orders_with_rid(spark, root):
     return read(spark, root, "orders").withColumn(S.RID, F.col("o_orderkey"))
 

@@ -75,3 +75,24 @@ def test_junction_draws_other_columns(spark):
     out = S.junction(spark.range(30).toDF("pid"), "pid", spark.range(7).toDF("sid"), "sid", real, "p", "s", others=["note", "amt"], real_key=["id"])
     rows = out.collect()
     assert len(rows) >= 30 and all(r.note is not None and r.amt is not None for r in rows) and len({r.note for r in rows}) > 8
+
+
+def test_weighted_draws_of_any_number_of_categories(spark):
+    """Ten and ten thousand categories, one with a third of the weight, in cells of few rows: the running total decides."""
+    weights = {"few": {f"v{i}": i + 1 for i in range(10)}, "many": {f"k{i:05d}": 1 + i % 3 for i in range(10_000)} | {"heavy": 9_000}}
+    counts = [(c, v, n) for c, w in weights.items() for v, n in w.items()]
+    total = {c: sum(w.values()) for c, w in weights.items()}
+    rid = F.col("_rid")
+    wanted = {c: draws.pick(total[c], 7, c, rid) for c in weights}
+    rows = spark.range(3000).toDF("_rid")
+    got = G.fetch_weighted(rows, spark.createDataFrame(counts, "column_name string, value string, frequency long"), wanted, 3000, cell_rows=64)
+    drawn = {r._rid: r for r in rows.select("_rid", *[d.alias(c) for c, d in wanted.items()]).collect()}
+    found = got.collect()
+    assert len(found) == 3000
+    for c, w in weights.items():
+        ends, at = [], 0
+        for v in sorted(w):
+            at += w[v]
+            ends.append((at, v))
+        for r in found:
+            assert r[c] == next(v for upto, v in ends if drawn[r._rid][c] < upto)

@@ -144,16 +144,16 @@ def with_range(df: DataFrame, keys: Sequence[str], splitters: Column | None, nam
     return found.drop("_splitters", "_key")
 
 
-def typed_index(
+def typed_running(
     df: DataFrame,
     order: Sequence[str],
+    weight: str | None = None,
     *,
     within: Sequence[str] = (),
-    name: str = "_index",
-    start: int = 0,
+    name: str = "_before",
     per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Dense position of each row in ``order`` per ``within`` group, for keys of any orderable type.
+    """Sum of ``weight`` (None: number) of the rows before each row in ``order`` per ``within`` group, any orderable keys.
 
     Ranges are cut over (within, order) together and follow the number of rows: a group with a third of all rows
     is cut into as many ranges as it fills, many small groups share one.  Nulls come first.  Rows equal in all
@@ -161,18 +161,25 @@ def typed_index(
     """
     keys = [*within, *order]
     rows = df.count()
-    ranged = with_range(df, keys, range_splitters(df, keys, rows, per_range))
-    sizes = ranged.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.lit(1).cast("long") if weight is None else F.col(weight)
+    ranged = with_range(df, keys, range_splitters(df, keys, rows, per_range)).withColumn("_weight", own)
+    sizes = ranged.groupBy(*within, "_range").agg(F.sum("_weight").alias("_n"))
     offsets = cell_offsets(sizes, within, ["_range"], "_n", "_offset").drop("_n")
-    inside = Window.partitionBy(*within, "_range").orderBy(*order)
-    numbered = ranged.withColumn("_inside", F.row_number().over(inside))
+    inside = Window.partitionBy(*within, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.withColumn("_upto", F.sum("_weight").over(inside))
     return (
-        null_safe_join(numbered, offsets, [*within, "_range"])
-        .withColumn(name, F.col("_inside") + F.col("_offset") + F.lit(start - 1))
-        .drop("_range", "_inside", "_offset")
+        null_safe_join(summed, offsets, [*within, "_range"])
+        .withColumn(name, F.col("_upto") - F.col("_weight") + F.col("_offset"))
+        .drop("_range", "_upto", "_weight", "_offset")
     )
 
 
+def typed_index(df: DataFrame, order: Sequence[str], *, within: Sequence[str] = (), name: str = "_index", start: int = 0, per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Dense position of each row in ``order`` per ``within`` group, see ``typed_running``."""
+    placed = typed_running(df, order, within=within, name=name, per_range=per_range)
+    return placed.withColumn(name, F.col(name) + F.lit(start)) if start else placed
+
+
 def shuffled_index(
     df: DataFrame, key: Sequence[str], seed, name: str = "_index", cells_log2: int = 16
 ) -> DataFrame:

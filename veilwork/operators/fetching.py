@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.functions import draws
-from veilwork.functions.ordering import cell_offsets
+from veilwork.functions.ordering import cell_offsets, typed_running
+from veilwork.session import cut_lineage
 
 RID = "_rid"
 CELL_BITS = 16
@@ -82,3 +83,36 @@ def fetch(rows: DataFrame, source: DataFrame, key: Sequence[str], seed, wanted:
         for i, d in enumerate(wanted)
     ]
     return values.groupBy(RID).agg(*taken).select(RID, *[F.col(f"_s{i}.`{c}`").alias(c) for i, d in enumerate(wanted) for c in d.columns])
+
+
+CELL_ROWS = 1 << 16  # draws and categories that meet in one cell, about
+
+
+def fetch_weighted(rows: DataFrame, counts: DataFrame, wanted: dict[str, Column], count: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``_rid`` and, per column of ``wanted``, the category whose share of the running total holds the draw.
+
+    ``counts(column_name, value, frequency)`` may have any number of categories; ``wanted`` gives each column a draw from
+    [0, its total) for the ``count`` rows.  Draws and the categories' lower ends meet in cells of the running total, in
+    which the last category before a draw is found in one ordered pass.  A category that holds a third of the total
+    begins anew in every cell it spans, and no cell holds more than its width of categories.
+    """
+    running = cut_lineage(typed_running(cut_lineage(counts.select("column_name", "value", "frequency")), ["value"], "frequency", within=["column_name"], name="lower"))
+    facts = running.groupBy("column_name").agg(F.sum("frequency").alias("total"), F.count(F.lit(1)).alias("kinds")).collect()  # a row per column
+    width = {r["column_name"]: max(1, -(-r["total"] * cell_rows // (count + r["kinds"]))) for r in facts}
+    span = F.element_at(F.create_map(*[F.lit(x) for c in width.items() for x in c]), F.col("column_name"))
+    first, last = F.floor(F.col("lower") / F.col("span")), F.floor((F.col("lower") + F.col("frequency") - 1) / F.col("span"))
+    ends = (
+        running.withColumn("span", span.cast("long"))
+        .select("column_name", "value", "lower", "span", F.explode(F.sequence(first, last)).alias("cell"))
+        .select("column_name", "cell", F.greatest("lower", F.col("cell") * F.col("span")).alias("at"), F.lit(0).alias("kind"), "value", F.lit(None).cast("long").alias(RID))
+    )
+    drawn = F.array(*[F.struct(F.lit(c).alias("column_name"), d.cast("long").alias("at"), F.lit(width[c]).cast("long").alias("span")) for c, d in wanted.items() if c in width])
+    asked = (
+        rows.select(RID, F.explode(drawn).alias("_d"))
+        .select(RID, "_d.*")
+        .where("at is not null")
+        .select("column_name", F.floor(F.col("at") / F.col("span")).alias("cell"), "at", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("value"), RID)
+    )
+    before = Window.partitionBy("column_name", "cell").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = ends.unionByName(asked).withColumn("value", F.last("value", True).over(before)).where("kind = 1")
+    return met.groupBy(RID).agg(*[F.max(F.when(F.col("column_name") == c, F.col("value"))).alias(c) for c in wanted])

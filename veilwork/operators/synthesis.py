@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from veilwork.functions import draws, names
 from veilwork.functions.ordering import shuffled_index
-from veilwork.operators.fetching import RID, Draw, fetch
+from veilwork.operators.fetching import RID, Draw, fetch, fetch_weighted
 from veilwork.operators.policies import ColumnPolicy, allowed_list
 from veilwork.operators.profile import (
     STAMPS,
@@ -175,6 +175,7 @@ class Plan:
     renumbered: list[str]
     resampled: list[str]
     weighted: list[str]
+    weighted_many: list[str]
     gaussian: list[str]
     allowed: list[str]
     empty: list[str]
@@ -183,7 +184,7 @@ class Plan:
 
 def plan_columns(df: DataFrame, structural: Iterable[str], stats: dict[str, ColumnStats], policies: dict[str, ColumnPolicy]) -> Plan:
     structural = set(structural)
-    plan = Plan([], [], [], [], [], [], [], [])
+    plan = Plan([], [], [], [], [], [], [], [], [])
     for f in fields_of(df, list(stats)):
         s, upper, name = stats[f.name], f.name.upper(), f.name
         policy = policies.get(name)
@@ -197,11 +198,9 @@ def plan_columns(df: DataFrame, structural: Iterable[str], stats: dict[str, Colu
                 plan.sequence.append(name)
             elif not numeric and (upper.endswith("_ID") or "UUID" in upper or "KEY" in upper):
                 plan.renumbered.append(name)
-            elif not stamp and few and s.distinct <= CATEGORY_LIMIT:
-                plan.weighted.append(name)
             elif not stamp and few:
-                # too many values for a constant list; resampling rows has the same weights
-                plan.independent.append(name)
+                # the same draw for any number of values; only short lists become constants
+                (plan.weighted if s.distinct <= CATEGORY_LIMIT else plan.weighted_many).append(name)
             else:
                 plan.resampled.append(name)
         elif policy is not None and allowed_list(policy.allowed_values):
@@ -250,6 +249,11 @@ def synthesize(
     wanted += [Draw(F.pmod(rid, F.lit(stats[c].present)), (c,), c) for c in plan.renumbered]
     if wanted:
         out = out.join(fetch(out, source, key, seed, wanted), RID, "left")
+    if plan.weighted_many:
+        chosen_at = {c: draws.pick(stats[c].present, seed, c, rid) for c in plan.weighted_many}
+        out = out.join(fetch_weighted(spark.range(n).withColumnRenamed("id", RID), value_counts(source, plan.weighted_many), chosen_at, n), RID, "left")
+        for c in plan.weighted_many:
+            out = out.withColumn(c, with_nulls(F.col(c), stats[c].null_rate, seed, c, rid))
     for c in plan.renumbered:
         out = out.withColumn(c, with_nulls(numbered_text(F.col(c).cast("string"), rid + 1), stats[c].null_rate, seed, c, rid))
 
