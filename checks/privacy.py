@@ -276,6 +276,27 @@ def mask_consistency(spark, root):
     )
 
 
+@check(
+    "mask_keys_one_to_one",
+    """SELECT count(*) AS lines, count(DISTINCT (l_orderkey, l_linenumber)) AS line_keys, count(DISTINCT l_partkey) AS parts, sum(p_size)::BIGINT AS sizes,
+        count(*) FILTER (CAST(l_partkey AS VARCHAR) <> '') AS shaped FROM lineitem JOIN part ON p_partkey = l_partkey""",
+)
+def mask_keys_one_to_one(spark, root):
+    """Lines joined to parts by masked keys; masks keep the keys' shape and their number."""
+    line_key = F.concat(F.lit("L-"), "l_orderkey", F.lit("/"), "l_linenumber")
+    lines = read(spark, root, "lineitem").select(line_key.alias("LINE_CD"), F.col("l_partkey").cast("string").alias("PART_CD"), F.col("l_partkey").alias("was"))
+    parts = read(spark, root, "part").select(F.col("p_partkey").cast("string").alias("PART_NO"), "p_size")
+    edges = [type(EDGES[0])("LINES", "PART_CD", "PARTS", "PART_NO"), type(EDGES[0])("X", "LINE_CD", "LINES", "LINE_CD")]
+    kinds = {"LINE_CD": "format_preserving", "PART_CD": "substitute_realistic", "PART_NO": "format_preserving"}
+    policies = [P.ColumnPolicy("T", c, masking_strategy=s) for c, s in kinds.items()]
+    masked = M.mask(lines, policies, KEY, M.key_domains(edges, "LINES"))
+    shape = (F.length("PART_CD") == F.length(F.col("was").cast("string"))) & F.col("PART_CD").rlike("^[0-9]+$") & F.col("LINE_CD").rlike("^[A-Z]-[0-9]+/[0-9]$")
+    return masked.join(M.mask(parts, policies, KEY, M.key_domains(edges, "PARTS")), F.col("PART_CD") == F.col("PART_NO")).agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("LINE_CD").alias("line_keys"), F.count_distinct("PART_CD").alias("parts"),
+        F.sum("p_size").alias("sizes"), F.count_if(shape).alias("shaped"),
+    )
+
+
 @check(
     "format_check",
     "SELECT 0 AS bad_ssn, 0 AS bad_card, count(*) AS bad_name, count(*) AS n FROM customer WHERE c_name NOT LIKE '1%'",

@@ -151,6 +151,88 @@ def format_preserving(name: str, value: Column, key: str, domain: str, substring
     return F.when(F.length(value) == 0, F.lit("")).otherwise(F.array_join(F.transform(chars, swap), ""))
 
 
+MOST_SYMBOLS = 26  # a half of 13 letters or digits still fits a long
+ROUNDS = 8
+
+
+def _round_number(key: str, domain: str, shape: Column, half: Column, turn: Column) -> Column:
+    """60 bits that depend on the secret, the domain, the value's shape, one half and the round, each with its length."""
+    parts = [F.lit(f"{len(key)}:{key}{len(domain)}:{domain}"), F.length(shape).cast("string"), F.lit(":"), shape, turn.cast("string"), F.lit(":"), half.cast("string")]
+    return draws.hex_number(F.sha2(F.concat(*parts), 256), 1, 15)
+
+
+def permuted(value: Column, key: str, domain: str) -> Column:
+    """A keyed permutation of all values of one shape: digits for digits, letters for letters in the same case.
+
+    The letters and digits of a value are a number of mixed radix, its left and right half.  Each round adds a keyed
+    function of one half to the other, modulo the number of values that half can have, so the rounds can be undone
+    and no two values share a mask.  All other characters stay, so values of different shapes differ, too.
+    A value with letters or digits outside ASCII, or with more than ``MOST_SYMBOLS``, becomes its keyed hash.
+    """
+    is_digit = lambda c: (c >= "0") & (c <= "9")
+    is_lower = lambda c: (c >= "a") & (c <= "z")
+    is_upper = lambda c: (c >= "A") & (c <= "Z")
+    none = F.slice(F.array(F.lit(0).cast("long")), F.lit(1), F.lit(0))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+
+    def symbol(c: Column) -> Column:
+        """Radix, number and first character code of a letter or digit; NULL for others."""
+        code = F.ascii(c)
+        first = F.when(is_digit(c), 48).when(is_lower(c), 97).when(is_upper(c), 65)
+        return F.when(first.isNotNull(), F.struct(F.when(is_digit(c), 10).otherwise(26).cast("long").alias("r"), (code - first).cast("long").alias("v"), first.alias("first")))
+
+    def halves(x: Column) -> Column:
+        known = F.filter(x, lambda s: s["s"].isNotNull())
+        cut = F.ceil(F.size(known) / 2).cast("int")
+        return F.struct(F.slice(known, F.lit(1), cut).alias("left"), F.slice(known, cut + 1, F.size(known) - cut).alias("right"), x.alias("all"))
+
+    read = lambda half: F.aggregate(half, F.lit(0).cast("long"), lambda n, x: n * x["s"]["r"] + x["s"]["v"])
+    size = lambda half: F.aggregate(half, F.lit(1).cast("long"), lambda n, x: n * x["s"]["r"])
+
+    def one_round(now: Column, turn: Column) -> Column:
+        moved = F.pmod(now["a"] + F.pmod(_round_number(key, domain, now["shape"], now["b"], turn), now["ra"]), now["ra"])
+        return F.struct(now["b"].alias("a"), moved.alias("b"), now["rb"].alias("ra"), now["ra"].alias("rb"), now["shape"].alias("shape"))
+
+    def mixed(h: Column) -> Column:
+        start = F.struct(read(h["left"]).alias("a"), read(h["right"]).alias("b"), size(h["left"]).alias("ra"), size(h["right"]).alias("rb"), shape.alias("shape"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round)
+
+    def write(half: Column, whole: Column) -> Column:
+        def step(now: Column, x: Column) -> Column:
+            digit = F.pmod(now["n"], x["s"]["r"])
+            return F.struct(F.call_function("div", now["n"], x["s"]["r"]).alias("n"), F.concat(F.array(digit), now["out"]).alias("out"))
+
+        return F.aggregate(F.reverse(half), F.struct(whole.alias("n"), none.alias("out")), step)["out"]
+
+    def put(numbers: Column):
+        def one(now: Column, x: Column) -> Column:
+            swapped = F.char(x["s"]["first"] + F.get(numbers, now["k"]))
+            return F.struct(
+                F.when(x["s"].isNull(), now["k"]).otherwise(now["k"] + 1).alias("k"),
+                F.concat(now["text"], F.coalesce(swapped, x["c"])).alias("text"),
+            )
+
+        return one
+
+    symbols = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.struct(c.alias("c"), symbol(c).alias("s")))
+    masked = _let(
+        _let(symbols, halves),
+        lambda h: _let(
+            _let(mixed(h), lambda m: F.concat(write(h["left"], m["a"]), write(h["right"], m["b"]))),
+            lambda numbers: F.aggregate(h["all"], F.struct(F.lit(0).alias("k"), F.lit("").alias("text")), put(numbers))["text"],
+        ),
+    )
+    count = F.length(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
+    plain = (count <= MOST_SYMBOLS) & ~value.rlike(r"[\p{L}\p{N}&&[^0-9A-Za-z]]")
+    hashed = F.sha2(F.concat(F.lit(f"{len(key)}:{key}{len(domain)}:{domain}"), value), 256)
+    return F.when(plain, masked).otherwise(hashed)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def generalise(value: Column, numeric: bool) -> Column:
     """Range label of a number, or a constant for text."""
     if not numeric:
@@ -166,11 +248,14 @@ def generalise(value: Column, numeric: bool) -> Column:
     )
 
 
-def mask_column(field: T.StructField, policy: ColumnPolicy, key: str, domain: str, substring_tokens: bool = False) -> Column:
+def mask_column(field: T.StructField, policy: ColumnPolicy, key: str, domain: str, substring_tokens: bool = False, is_key: bool = False) -> Column:
+    """The masked column; a key (an end of an edge) is permuted, so that distinct keys stay distinct."""
     column = F.col(f"`{field.name}`")
     text = column.cast("string")
     strategy = policy.masking_strategy
-    if strategy == "substitute_realistic":
+    if is_key and strategy in ("substitute_realistic", "format_preserving"):
+        masked = permuted(text, key, domain)
+    elif strategy == "substitute_realistic":
         masked = substitute(field.name, mask_digest(key, domain, text), substring_tokens)
     elif strategy == "format_preserving":
         masked = format_preserving(field.name, text, key, domain, substring_tokens)
@@ -190,7 +275,8 @@ def mask(
 ) -> DataFrame:
     """Masked copy of a table, one projection over the scan.
 
-    ``domains`` names the value domain of a column; by default its own name.
+    ``domains`` names the value domain of the key columns, see ``key_domains``; their masks are one to one.
+    Other columns are a domain of their own name.
     """
     chosen = {p.column_name: p for p in policies}
     out = []
@@ -200,7 +286,8 @@ def mask(
             out.append(F.col(f"`{field.name}`"))
         elif policy.masking_strategy != "suppress":
             domain = (domains or {}).get(field.name, field.name)
-            out.append(mask_column(field, policy, key, domain, substring_tokens).alias(field.name))
+            is_key = field.name in (domains or {})
+            out.append(mask_column(field, policy, key, domain, substring_tokens, is_key).alias(field.name))
     return df.select(*out)
 
 
