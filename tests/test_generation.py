@@ -158,3 +158,23 @@ def test_boundary_keys(spark, rows):
     df = spark.createDataFrame([(1, 5, 9), (2, 5, 9)], "A_ID int, B_ID int, code int")
     got = S.boundary_keys(df, "T", [Edge("C", "x", "T", "code")], "dom", "r")
     assert rows(got, "pk_column", "key_value") == [("A_ID", "1"), ("A_ID", "2"), ("code", "9")]
+
+
+def test_unique_repair_numbers_all_duplicated_columns_at_once(spark):
+    df = spark.range(100).select(
+        F.col("id").alias("_rid"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("ACCT_ID"), F.col("id").cast("string").alias("DOC_ID"),
+        F.concat(F.lit("x"), F.col("id") % 2).alias("CODE_KEY"), F.lit("wide").alias("w"))
+    policies = [ColumnPolicy("T", c, dedup_mode="entity") for c in ("ACCT_ID", "DOC_ID", "CODE_KEY")]
+    assert R.duplicated_columns(df, ["ACCT_ID", "DOC_ID", "CODE_KEY"]) == ["ACCT_ID", "CODE_KEY"]
+    rows = R.enforce_unique(df.repartition(5), policies, []).orderBy("_rid").collect()
+    assert [r.ACCT_ID for r in rows if r.ACCT_ID] == list(range(1, 67)) and all((r.ACCT_ID is None) == (r._rid % 3 == 0) for r in rows)
+    assert [r.CODE_KEY for r in rows] == [f"CODE_KEY_{i:06d}" for i in range(1, 101)] and [r.DOC_ID for r in rows] == [str(i) for i in range(100)]
+
+
+def test_unique_repair_leaves_the_plan_alone_without_duplicates(spark):
+    df = spark.range(50).select(F.col("id").alias("_rid"), F.col("id").alias("ACCT_ID"))
+    same = R.enforce_unique(df, [ColumnPolicy("T", "ACCT_ID", dedup_mode="entity")], [])
+    plan = same._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Sort", "Join", "Window"))
+    one_null = df.withColumn("ACCT_ID", F.when(F.col("_rid") > 0, F.col("ACCT_ID")))
+    assert R.duplicated_columns(one_null, ["ACCT_ID"]) == [] and R.duplicated_columns(one_null.unionByName(one_null.limit(1)), ["ACCT_ID"]) == ["ACCT_ID"]

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilwork.functions import draws, names
-from veilwork.functions.ordering import ordered_index
+from veilwork.functions.ordering import cell_offsets, range_splitters, with_range
 from veilwork.operators.fetching import RID, Draw, fetch
 from veilwork.operators.policies import ColumnPolicy, Strategy, allowed_list
 from veilwork.operators.profile import is_numeric
@@ -97,42 +97,61 @@ def enforce_date_order(df: DataFrame, strategy: Strategy) -> DataFrame:
     return df
 
 
-def has_duplicates(df: DataFrame, column: str) -> Column:
-    """Whether any value occurs twice; two NULLs count as equal."""
-    counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    return F.coalesce(counted.agg(F.max("_n")).scalar() > 1, F.lit(False))
+def duplicated_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns in which any value occurs twice, NULL counting as a value; all are tested in one aggregate."""
+    if not columns:
+        return []
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(columns)])
+    counted = df.select(F.explode(pairs).alias("_p")).groupBy("_p.i", "_p.v").agg(F.count(F.lit(1)).alias("n"))
+    again = {r["i"] for r in counted.where("n > 1").select("i").distinct().collect()}  # a row per column
+    return [c for i, c in enumerate(columns) if i in again]
+
+
+def _present_numbers(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
+    """``order`` and, per column, how many rows up to this one have a value there; only these narrow columns are sorted."""
+    flags = {f"_n{i}": F.col(f"`{c}`").isNotNull().cast("long") for i, c in enumerate(columns)}
+    narrow = df.select(order, *[v.alias(n) for n, v in flags.items()])
+    if order == RID:
+        celled = narrow.withColumn("_cell", F.floor(F.col(RID) / ROWS_PER_CELL))
+    else:
+        celled = with_range(narrow, [order], range_splitters(narrow, [order], narrow.count()), "_cell")
+    sizes = celled.groupBy("_cell").agg(*[F.sum(n).alias(n) for n in flags])
+    for n in flags:
+        sizes = cell_offsets(sizes, [], ["_cell"], n, f"_o{n}")
+    upto = Window.partitionBy("_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = celled.select(order, "_cell", *[F.sum(n).over(upto).alias(n) for n in flags])
+    placed = summed.join(sizes.select("_cell", *[f"_o{n}" for n in flags]), "_cell")
+    return placed.select(order, *[(F.col(n) + F.col(f"_o{n}")).alias(n) for n in flags])
 
 
 def enforce_unique(df: DataFrame, policies: Iterable[ColumnPolicy], edges: Iterable[Edge], order: str = RID, counted: DataFrame | None = None) -> DataFrame:
-    """Renumber entity identifiers that hold a duplicate: 1..k, or ``COLUMN_000001`` for text.
+    """Renumber entity identifiers that hold a duplicate: 1..k, or ``COLUMN_000001`` for text; NULLs keep their place.
 
-    ``counted`` is a frame with the same identifiers in which looking for
-    duplicates is cheaper, such as a written table ``df`` was made from.
+    ``counted`` is a frame with the same identifiers in which looking for duplicates is cheaper, such as a written
+    table ``df`` was made from.  Nothing is sorted or joined where no identifier holds a duplicate; else the numbers of
+    all that do are made from ``order`` (unique) and meet the rows in one join.
     """
     foreign = {e.source_column for e in edges}
-    for p in policies:
-        c = p.column_name
-        if (
-            c not in df.columns
-            or c in foreign
-            or p.dedup_mode != "entity"
-            or not names.has_token(c, names.ENTITY_ID_TOKENS)
-            or names.has_token(c, names.DATE_TOKENS)
-        ):
-            continue
-        kind, columns = df.schema[c].dataType, df.columns
-        # NULLs keep their place: number the rows by (is null, order)
-        flagged = df.withColumn("_null", F.col(c).isNull().cast("int"))
-        indexed = ordered_index(flagged, order, within=["_null"], name="_k", start=1, chunk=ROWS_PER_CELL if order == RID else None)
-        number = F.col("_k")
-        if is_numeric(kind):
-            fresh = number.cast(kind)
-        else:
-            text = number.cast("string")
-            fresh = F.concat(F.lit(f"{c}_"), F.lpad(text, F.greatest(F.length(text), F.lit(6)), F.lit("0")))
-        value = F.when((F.col("_null") == 0) & has_duplicates(df if counted is None else counted, c), fresh).otherwise(F.col(c))
-        df = indexed.withColumn(c, value).select(*columns)
-    return df
+    chosen = [
+        p.column_name
+        for p in policies
+        if p.column_name in df.columns
+        and p.column_name not in foreign
+        and p.dedup_mode == "entity"
+        and names.has_token(p.column_name, names.ENTITY_ID_TOKENS)
+        and not names.has_token(p.column_name, names.DATE_TOKENS)
+    ]
+    seen = df if counted is None else counted
+    again = duplicated_columns(seen, list(dict.fromkeys(chosen)))
+    if not again:
+        return df
+    kinds, fresh = {f.name: f.dataType for f in df.schema.fields}, {}
+    for i, c in enumerate(again):
+        number = F.col(f"_n{i}")
+        text = number.cast("string")
+        padded = F.concat(F.lit(f"{c}_"), F.lpad(text, F.greatest(F.length(text), F.lit(6)), F.lit("0")))
+        fresh[c] = F.when(F.col(f"`{c}`").isNotNull(), number.cast(kinds[c]) if is_numeric(kinds[c]) else padded)
+    return df.join(_present_numbers(seen, again, order), order).withColumns(fresh).select(*df.columns)
 
 
 def restore_types(df: DataFrame, source: DataFrame) -> DataFrame:
