@@ -78,16 +78,15 @@ def reid_risk(real: DataFrame, synth: DataFrame, columns: Sequence[str], thresho
     if need > k:
         raise ValueError("no share of equal columns can exceed the threshold")
     spare = k - need
-    ours = cut_lineage(_records(synth, columns).withColumn("pattern", F.lit("")))
-    theirs = cut_lineage(_records(real, columns).select("v", F.lit("").alias("pattern")))
-    kinds = theirs.agg(*[F.approx_count_distinct(F.get("v", F.lit(j))).alias(f"c{j}") for j in range(k)]).first()
+    kinds = real.agg(*[F.approx_count_distinct(c).alias(f"c{j}") for j, c in enumerate(text_columns(real, columns))]).first()
     order = sorted(range(k), key=lambda j: -kinds[f"c{j}"])
+    ours, theirs = (_records(df, columns).withColumn("pattern", F.lit("")) for df in (synth, real))
     patterns: list[Pattern] = [()]
     found = []
     while patterns:
         steps = _refined(patterns, order, spare + 1)
         patterns = sorted({q for following in steps.values() for q in following})
-        ours = cut_lineage(_dealt(ours, steps, ["record", "v"]))
+        ours = cut_lineage(_dealt(ours, steps, ["record", "copies", "v"]))
         theirs = cut_lineage(_dealt(theirs, steps, ["v"]))
         sizes = theirs.groupBy("pattern", "key").agg(F.count(F.lit(1)).alias("n"))
         crowded = cut_lineage(sizes.where(F.col("n") > block).select("pattern", "key"))
@@ -96,17 +95,17 @@ def reid_risk(real: DataFrame, synth: DataFrame, columns: Sequence[str], thresho
         else:
             few = theirs.join(crowded, ["pattern", "key"], "left_anti")
         pairs = ours.join(few.withColumnRenamed("v", "w"), ["pattern", "key"])
-        close = pairs.select("record", _agreement(k).alias("matches")).where(F.col("matches") >= need)
-        found.append(cut_lineage(close.groupBy("record").agg(F.max("matches").alias("matches"))))
+        close = pairs.select("record", "copies", _agreement(k).alias("matches")).where(F.col("matches") >= need)
+        found.append(close.groupBy("record", "copies").agg(F.max("matches").alias("matches")))
         if patterns:
             ours, theirs = (x.join(crowded, ["pattern", "key"], "left_semi") for x in (ours, theirs))
             last = [p for p in patterns if k - len(p) <= spare]
             if last:
-                found.append(cut_lineage(_by_subsets(ours, theirs, last, k)))
+                found.append(_by_subsets(ours, theirs, last, k))
             patterns = [p for p in patterns if p not in last]
             ours, theirs = (x.where(F.col("pattern").isin([_name(p) for p in patterns])) for x in (ours, theirs))
-    best = union_all(found).groupBy("record").agg(F.max("matches").alias("matches"))
-    return _records(synth, columns).select("record", "copies").join(best, "record").withColumn("similarity", F.col("matches") / F.lit(k))
+    best = union_all(found).groupBy("record", "copies").agg(F.max("matches").alias("matches"))
+    return best.withColumn("similarity", F.col("matches") / F.lit(k))
 
 
 def _by_subsets(ours: DataFrame, theirs: DataFrame, patterns: Sequence[Pattern], columns: int) -> DataFrame:
@@ -122,4 +121,5 @@ def _by_subsets(ours: DataFrame, theirs: DataFrame, patterns: Sequence[Pattern],
         return union_all(parts)
 
     known = cut_lineage(keyed(theirs, []).select("set", "key").distinct())
-    return keyed(ours, ["record"]).join(known, ["set", "key"], "left_semi").groupBy("record").agg(F.max("matches").alias("matches"))
+    met = keyed(ours, ["record", "copies"]).join(known, ["set", "key"], "left_semi")
+    return met.groupBy("record", "copies").agg(F.max("matches").alias("matches"))
