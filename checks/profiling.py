@@ -29,13 +29,29 @@ def table_row_counts(spark, root):
         FROM ({sql_column_stats(PROFILED)})""",
 )
 def profile_columns(spark, root):
-    return P.profile_tables({t.upper(): read(spark, root, t) for t in PROFILED}).select(
+    return P.profile_tables({t.upper(): read(spark, root, t) for t in PROFILED}, distinct="exact").select(
         "table_name", "column_name", "data_type", "row_count", "null_count", "distinct_count", "min_value",
         "max_value", F.round("mean_value", 3).alias("mean_value"), F.round("std_value", 3).alias("std_value"),
         F.round("unique_ratio", 6).alias("unique_ratio"), "boolean_like",
     )
 
 
+@check(
+    "profile_columns_sketch",
+    f"""SELECT table_name, column_name, row_count, null_count, CASE WHEN distinct_count < 16384 THEN distinct_count END AS distinct_count,
+        min_value, max_value, boolean_like, true AS within FROM ({sql_column_stats(PROFILED)})""",
+)
+def profile_columns_sketch(spark, root):
+    """The default profile: exact up to 2**14 values; larger counts lie within 3% of the exact ones."""
+    tables = {t.upper(): read(spark, root, t) for t in PROFILED}
+    exact = P.profile_tables(tables, distinct="exact").select("table_name", "column_name", F.col("distinct_count").alias("_exact"))
+    found = P.profile_tables(tables).join(exact, ["table_name", "column_name"])
+    return found.select(
+        "table_name", "column_name", "row_count", "null_count", F.when(F.col("_exact") < 16384, F.col("distinct_count")).alias("distinct_count"),
+        "min_value", "max_value", "boolean_like", (F.abs(F.col("distinct_count") - F.col("_exact")) <= 0.03 * F.col("_exact")).alias("within"),
+    )
+
+
 def _sql_long(table: str) -> str:
     return " UNION ALL ".join(
         f"SELECT '{table.upper()}' AS table_name, '{c}' AS column_name, {sql_text(c, k)} AS value FROM {table}"

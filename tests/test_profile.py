@@ -77,3 +77,28 @@ def test_profile_similarity(spark):
 def test_multiplicity(spark, rows):
     df = spark.createDataFrame([(1,), (1,), (2,), (None,)], "p int")
     assert rows(P.multiplicity(df, ["p"]), "parents", "mean_count", "min_count", "max_count") == [(2, 1.5, 1, 2)]
+
+
+def test_default_profile_moves_one_row_per_task(spark, monkeypatch):
+    """No column's values are shuffled unless its estimate lies near a limit, and then only that column's."""
+    df = spark.range(60_000).select(
+        F.col("id").alias("KEY"), (F.col("id") % 30_000).alias("HALF"), (F.col("id") % 100).cast("string").alias("CODE"),
+        F.when(F.col("id") % 2 == 0, "Y").otherwise("n").alias("FLAG"), F.lit(None).cast("string").alias("NONE"))
+    asked = []
+    real = P._exact_counts
+    monkeypatch.setattr(P, "_exact_counts", lambda d, c: asked.append(list(c)) or real(d, c))
+    got = {r.column_name: r for r in P.profile(df).collect()}
+    assert asked == [["KEY"]]  # unique, so near the limits of 0.95 and 1
+    assert got["KEY"].distinct_count == 60_000 and got["KEY"].unique_ratio == 1.0 and got["KEY"].distinct_exact
+    assert abs(got["HALF"].distinct_count - 30_000) < 900 and not got["HALF"].distinct_exact
+    assert (got["CODE"].distinct_count, got["CODE"].distinct_exact) == (100, True)
+    assert got["FLAG"].boolean_like and not got["CODE"].boolean_like and (got["NONE"].distinct_count, got["NONE"].null_count) == (0, 60_000)
+
+
+def test_sketched_and_exact_roles_agree(spark):
+    df = spark.range(40_000).select(
+        F.col("id").alias("ROW_KEY"), (F.col("id") % 38_500).cast("string").alias("MOST_KEY"), (F.col("id") % 800).alias("LOW"),
+        (F.col("id") % 801).alias("NOT_LOW"), F.concat(F.lit("t"), F.col("id") % 14_000).alias("TXT"))
+    policies = spark.createDataFrame([], "table_name string, column_name string, masking_strategy string, business_importance string, dedup_mode string")
+    roles = [sorted(map(tuple, P.column_roles(P.profile_tables({"T": df}, distinct=d), policies).select("column_name", "role").collect())) for d in ("sketch", "exact")]
+    assert roles[0] == roles[1] and dict(roles[0])["LOW"] == "structural" and dict(roles[0])["NOT_LOW"] == "modeled"

@@ -122,16 +122,69 @@ def _moments(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
 MOMENTS = (("min_value", "lo"), ("max_value", "hi"), ("mean_value", "mean"), ("std_value", "std"))
 
 
+SKETCH_LOG = 14  # a theta sketch of 2**14 entries counts up to so many values exactly, more within about 1%
+NEAR = 0.05
+BOOLEANS = ["Y", "N", "TRUE", "FALSE", "0", "1"]  # fixed values
+
+
+def _near_a_limit(distinct: int, present: int, rows: int) -> bool:
+    """Whether an estimate may fall on the wrong side of a limit that column roles test."""
+    limits = (0.95 * present, 0.35 * present, 0.02 * rows, present)
+    return any(abs(distinct - limit) <= NEAR * limit for limit in limits)
+
+
+def _sketched(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """``column_name, distinct_count, boolean_like, distinct_exact``: one pass, one row per task is all that moves.
+
+    Only columns whose estimate lies near a limit are counted exactly, in a second pass over them alone.
+    """
+    text = [as_text(f) for f in fields]
+    aggregates = [F.count(F.lit(1)).alias("rows")]
+    for i, t in enumerate(text):
+        aggregates += [
+            F.count(t).alias(f"n{i}"),
+            F.coalesce(F.theta_sketch_estimate(F.theta_sketch_agg(t, SKETCH_LOG)), F.lit(0)).alias(f"d{i}"),
+            F.coalesce(F.bool_and(F.upper(t).isin(BOOLEANS)), F.lit(False)).alias(f"b{i}"),
+        ]
+    row = df.agg(*aggregates).first()
+    found = {f.name: (row[f"d{i}"], row[f"b{i}"], row[f"d{i}"] < 1 << SKETCH_LOG) for i, f in enumerate(fields)}
+    near = [f.name for i, f in enumerate(fields) if not found[f.name][2] and _near_a_limit(row[f"d{i}"], row[f"n{i}"], row["rows"])]
+    if near:
+        for r in _exact_counts(df, near).collect():  # a row per column
+            found[r["column_name"]] = (r["distinct_count"], found[r["column_name"]][1], True)
+    return df.sparkSession.createDataFrame(
+        [(c, *facts) for c, facts in found.items()], "column_name string, distinct_count long, boolean_like boolean, distinct_exact boolean"
+    )
+
+
+def _exact_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return (
+        long_form(df, columns)
+        .where(F.col("value").isNotNull())
+        # long values are compared by digest, which keeps the shuffle narrow
+        .withColumn("value", F.when(F.length("value") <= 40, F.col("value")).otherwise(F.concat(F.lit("md5:"), F.md5("value"))))
+        .groupBy("column_name", "value")
+        .agg(F.lit(1).alias("_one"))
+        .groupBy("column_name")
+        .agg(
+            F.count(F.lit(1)).alias("distinct_count"),
+            F.bool_and(F.upper("value").isin(BOOLEANS)).alias("boolean_like"),
+            F.lit(True).alias("distinct_exact"),
+        )
+    )
+
+
 def profile(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     sample_rows: int | None = None,
-    distinct: str = "exact",
+    distinct: str = "sketch",
 ) -> DataFrame:
     """One row per column: nulls, distinct values, range, mean, deviation.
 
-    ``distinct="approx"`` uses sketches instead of shuffling the distinct values,
-    which is the choice for a first look at a very large table.
+    Distinct values come from mergeable sketches in the one pass, so neither the table nor its values are shuffled:
+    exact up to 2**14 values and wherever a role depends on the count, else within about 1% (``distinct_exact`` tells).
+    ``distinct="exact"`` shuffles the distinct values of every column; ``"approx"`` never reads the table twice.
     """
     if sample_rows is not None:
         df = df.limit(sample_rows)
@@ -139,27 +192,16 @@ def profile(
     moments = _moments(df, fields)
     if distinct == "approx":
         rows = ", ".join(
-            f"named_struct('column_name', '{f.name}', 'distinct_count', _d{i}, 'boolean_like', CAST(NULL AS BOOLEAN))"
+            f"named_struct('column_name', '{f.name}', 'distinct_count', _d{i}, 'boolean_like', CAST(NULL AS BOOLEAN), 'distinct_exact', false)"
             for i, f in enumerate(fields)
         )
         counts = df.selectExpr(*[f"{sketched_distinct(f)} AS _d{i}" for i, f in enumerate(fields)]).selectExpr(
             f"inline(array({rows}))"
         )
+    elif distinct == "sketch" and fields:
+        counts = _sketched(df, fields)
     else:
-        booleans = ["Y", "N", "TRUE", "FALSE", "0", "1"]  # fixed values
-        counts = (
-            long_form(df, [f.name for f in fields])
-            .where(F.col("value").isNotNull())
-            # long values are compared by digest, which keeps the shuffle narrow
-            .withColumn("value", F.when(F.length("value") <= 40, F.col("value")).otherwise(F.concat(F.lit("md5:"), F.md5("value"))))
-            .groupBy("column_name", "value")
-            .agg(F.lit(1).alias("_one"))
-            .groupBy("column_name")
-            .agg(
-                F.count(F.lit(1)).alias("distinct_count"),
-                F.bool_and(F.upper("value").isin(booleans)).alias("boolean_like"),
-            )
-        )
+        counts = _exact_counts(df, [f.name for f in fields])
     return moments.join(counts, "column_name", "left").selectExpr(
         "column_name", "data_type", "ordinal", "row_count", "null_count",
         "CAST(coalesce(distinct_count, 0) AS BIGINT) AS distinct_count",
@@ -167,6 +209,7 @@ def profile(
         "coalesce(boolean_like, false) AS boolean_like",
         "coalesce(try_divide(null_count, row_count), 0D) AS null_rate",
         "coalesce(try_divide(distinct_count, row_count - null_count), 0D) AS unique_ratio",
+        "coalesce(distinct_exact, true) AS distinct_exact",
     )
 
 
