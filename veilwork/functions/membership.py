@@ -49,7 +49,7 @@ def may_hold(table: tuple[Column, int], column: Column) -> Column:
 
 
 def prefiltered(df: DataFrame, column: Column, keys: DataFrame, key: str) -> DataFrame:
-    """``df`` without most of the rows whose ``column`` is not in ``keys[key]``, a written table; NULLs go, too."""
+    """``df`` without most of the rows whose ``column`` is not in ``keys[key]``, which is cheap to read again; NULLs go, too."""
     df = df.where(column.isNotNull())
     count = keys.count()
     if count <= BROADCAST_KEYS:

@@ -35,10 +35,11 @@ class Draw:
     present: str | None = None
 
 
-def positional_index(source: DataFrame, key: Sequence[str], seed, present: Sequence[str] = ()) -> DataFrame:
+def positional_index(source: DataFrame, key: Sequence[str], seed, present: Sequence[str] = (), carried: Sequence[str] = ()) -> DataFrame:
     """``_which, _pos, _key``: each row's position in the keyed random order, and among rows with a value in a column.
 
     ``_which`` is 0 for the order of all rows and 1, 2, ... for those of ``present``.  ``key`` must be unique.
+    ``carried`` columns come along as ``_v_`` and their name.
     """
     flags = [f"_f{i}" for i in range(1, len(present) + 1)]
     drawn = draws.order_key(seed, *[F.col(k) for k in key])
@@ -46,6 +47,7 @@ def positional_index(source: DataFrame, key: Sequence[str], seed, present: Seque
         F.struct(*[F.col(k) for k in key]).alias("_key"),
         drawn.alias("_draw"),
         F.lit(1).alias("_f0"),
+        *[F.col(c).alias(f"_v_{c}") for c in carried],
         *[F.col(c).isNotNull().cast("int").alias(f) for c, f in zip(present, flags, strict=True)],
     ).withColumn("_cell", F.shiftright("_draw", draws.ORDER_KEY_BITS - CELL_BITS))
     orders = ["_f0", *flags]
@@ -58,11 +60,15 @@ def positional_index(source: DataFrame, key: Sequence[str], seed, present: Seque
         F.when(F.col(f) == 1, F.struct(F.lit(i).alias("_which"), (F.col(f"_i{f}") + F.col(f"_o{f}") - 1).alias("_pos")))
         for i, f in enumerate(orders)
     ]
-    return placed.select("_key", F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("_e")).select("_e.*", "_key")
+    kept = ["_key", *[f"_v_{c}" for c in carried]]
+    return placed.select(*kept, F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("_e")).select("_e.*", *kept)
 
 
 def fetch(rows: DataFrame, source: DataFrame, key: Sequence[str], seed, wanted: Sequence[Draw]) -> DataFrame:
-    """``_rid`` and the drawn columns, for the rows that any of ``wanted`` gives something."""
+    """``_rid`` and the drawn columns, for the rows that any of ``wanted`` gives something.
+
+    A single draw's columns travel in the index itself, which saves the join with the source.
+    """
     present = list(dict.fromkeys(d.present for d in wanted if d.present))
     which = {None: 0, **{c: i for i, c in enumerate(present, 1)}}
     asked = [
@@ -73,11 +79,13 @@ def fetch(rows: DataFrame, source: DataFrame, key: Sequence[str], seed, wanted:
         for i, d in enumerate(wanted)
     ]
     requests = rows.select(RID, F.explode(F.array(*asked)).alias("_a")).where("_a is not null").select(RID, "_a.*")
+    if len(wanted) == 1:
+        index = positional_index(source, key, seed, present, wanted[0].columns)
+        found = requests.join(index.where(F.col("_which") == max(which.values())), ["_which", "_pos"])
+        return found.select(RID, *[F.col(f"_v_{c}").alias(c) for c in wanted[0].columns])
     located = requests.join(positional_index(source, key, seed, present), ["_which", "_pos"]).select(RID, "_slot", "_key")
     needed = list(dict.fromkeys(c for d in wanted for c in d.columns))
     values = located.join(source.select(F.struct(*[F.col(k) for k in key]).alias("_key"), *[F.col(c).alias(f"_v_{c}") for c in needed]), "_key")
-    if len(wanted) == 1:
-        return values.select(RID, *[F.col(f"_v_{c}").alias(c) for c in wanted[0].columns])
     taken = [
         F.any_value(F.when(F.col("_slot") == i, F.struct(*[F.col(f"_v_{c}").alias(c) for c in d.columns])), True).alias(f"_s{i}")
         for i, d in enumerate(wanted)

@@ -134,26 +134,35 @@ def _near_a_limit(distinct: int, present: int, rows: int) -> bool:
 
 
 def _sketched(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """``column_name, distinct_count, boolean_like, distinct_exact``: one pass, one row per task is all that moves.
+    """Moments, and counts by sketches: one pass, one row per task is all that moves.
 
     Only columns whose estimate lies near a limit are counted exactly, in a second pass over them alone.
     """
-    text = [as_text(f) for f in fields]
     aggregates = [F.count(F.lit(1)).alias("rows")]
-    for i, t in enumerate(text):
+    for i, f in enumerate(fields):
+        text = as_text(f)
+        number = clean(f).cast("double") if is_numeric(f.dataType) else F.lit(None).cast("double")
         aggregates += [
-            F.count(t).alias(f"n{i}"),
-            F.coalesce(F.theta_sketch_estimate(F.theta_sketch_agg(t, SKETCH_LOG)), F.lit(0)).alias(f"d{i}"),
-            F.coalesce(F.bool_and(F.upper(t).isin(BOOLEANS)), F.lit(False)).alias(f"b{i}"),
+            F.count(text).alias(f"n{i}"),
+            F.coalesce(F.theta_sketch_estimate(F.theta_sketch_agg(text, SKETCH_LOG)), F.lit(0)).alias(f"d{i}"),
+            F.coalesce(F.bool_and(F.upper(text).isin(BOOLEANS)), F.lit(False)).alias(f"b{i}"),
+            *[how(number).alias(f"{name}{i}") for name, how in (("lo", F.min), ("hi", F.max), ("mean", F.avg), ("std", F.stddev_samp))],
         ]
-    row = df.agg(*aggregates).first()
-    found = {f.name: (row[f"d{i}"], row[f"b{i}"], row[f"d{i}"] < 1 << SKETCH_LOG) for i, f in enumerate(fields)}
-    near = [f.name for i, f in enumerate(fields) if not found[f.name][2] and _near_a_limit(row[f"d{i}"], row[f"n{i}"], row["rows"])]
-    if near:
-        for r in _exact_counts(df, near).collect():  # a row per column
-            found[r["column_name"]] = (r["distinct_count"], found[r["column_name"]][1], True)
+    row = spread(df.select(*[F.col(f"`{f.name}`") for f in fields])).agg(*aggregates).first()
+    sure = {f.name: row[f"d{i}"] < 1 << SKETCH_LOG for i, f in enumerate(fields)}
+    near = [f.name for i, f in enumerate(fields) if not sure[f.name] and _near_a_limit(row[f"d{i}"], row[f"n{i}"], row["rows"])]
+    exact = {r["column_name"]: r["distinct_count"] for r in _exact_counts(df, near).collect()} if near else {}  # a row per column
+    found = [
+        (
+            f.name, f.dataType.simpleString(), i + 1, row["rows"], row["rows"] - row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], row[f"mean{i}"],
+            row[f"std{i}"], exact.get(f.name, row[f"d{i}"]), row[f"b{i}"], sure[f.name] or f.name in exact,
+        )
+        for i, f in enumerate(fields)
+    ]
     return df.sparkSession.createDataFrame(
-        [(c, *facts) for c, facts in found.items()], "column_name string, distinct_count long, boolean_like boolean, distinct_exact boolean"
+        found,
+        "column_name string, data_type string, ordinal int, row_count long, null_count long, min_value double, max_value double,"
+        " mean_value double, std_value double, distinct_count long, boolean_like boolean, distinct_exact boolean",
     )
 
 
@@ -189,6 +198,8 @@ def profile(
     if sample_rows is not None:
         df = df.limit(sample_rows)
     fields = fields_of(df, columns)
+    if distinct == "sketch" and fields:
+        return _finished(_sketched(df, fields))
     moments = _moments(df, fields)
     if distinct == "approx":
         rows = ", ".join(
@@ -198,11 +209,13 @@ def profile(
         counts = df.selectExpr(*[f"{sketched_distinct(f)} AS _d{i}" for i, f in enumerate(fields)]).selectExpr(
             f"inline(array({rows}))"
         )
-    elif distinct == "sketch" and fields:
-        counts = _sketched(df, fields)
     else:
         counts = _exact_counts(df, [f.name for f in fields])
-    return moments.join(counts, "column_name", "left").selectExpr(
+    return _finished(moments.join(counts, "column_name", "left"))
+
+
+def _finished(stats: DataFrame) -> DataFrame:
+    return stats.selectExpr(
         "column_name", "data_type", "ordinal", "row_count", "null_count",
         "CAST(coalesce(distinct_count, 0) AS BIGINT) AS distinct_count",
         "min_value", "max_value", "mean_value", "std_value",

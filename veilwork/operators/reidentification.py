@@ -78,6 +78,11 @@ def reid_risk(real: DataFrame, synth: DataFrame, columns: Sequence[str], thresho
     if need > k:
         raise ValueError("no share of equal columns can exceed the threshold")
     spare = k - need
+    if spare < 2:
+        # the subsets are k + 1 at most: their keys need no comparison at all
+        ours, theirs = (_records(df, columns).withColumn("pattern", F.lit("")) for df in (synth, real))
+        best = _by_subsets(ours, theirs, [()], k, need)
+        return best.withColumn("similarity", F.col("matches") / F.lit(k))
     kinds = real.agg(*[F.approx_count_distinct(c).alias(f"c{j}") for j, c in enumerate(text_columns(real, columns))]).first()
     order = sorted(range(k), key=lambda j: -kinds[f"c{j}"])
     ours, theirs = (_records(df, columns).withColumn("pattern", F.lit("")) for df in (synth, real))
@@ -101,25 +106,26 @@ def reid_risk(real: DataFrame, synth: DataFrame, columns: Sequence[str], thresho
             ours, theirs = (x.join(crowded, ["pattern", "key"], "left_semi") for x in (ours, theirs))
             last = [p for p in patterns if k - len(p) <= spare]
             if last:
-                found.append(_by_subsets(ours, theirs, last, k))
+                found.append(_by_subsets(ours, theirs, last, k, need))
             patterns = [p for p in patterns if p not in last]
             ours, theirs = (x.where(F.col("pattern").isin([_name(p) for p in patterns])) for x in (ours, theirs))
     best = union_all(found).groupBy("record", "copies").agg(F.max("matches").alias("matches"))
     return best.withColumn("similarity", F.col("matches") / F.lit(k))
 
 
-def _by_subsets(ours: DataFrame, theirs: DataFrame, patterns: Sequence[Pattern], columns: int) -> DataFrame:
-    """The most that records of crowded blocks share, by keys of the subsets of the few columns left."""
+def _by_subsets(ours: DataFrame, theirs: DataFrame, patterns: Sequence[Pattern], columns: int, need: int) -> DataFrame:
+    """The most that records of crowded blocks share, ``need`` at least, by keys of subsets of the columns left."""
 
     def keyed(df: DataFrame, keep: Sequence[str]) -> DataFrame:
         parts = []
         for p in patterns:
             left = [j for j in range(columns) if j not in p]
-            sets = [tuple(sorted((*p, *s))) for size in range(len(left) + 1) for s in combinations(left, size)]
+            sizes = range(max(0, need - len(p)), len(left) + 1)
+            sets = [tuple(sorted((*p, *s))) for size in sizes for s in combinations(left, size)]
             keys = F.array(*[F.struct(F.lit(len(s)).alias("matches"), F.lit(_name(s)).alias("set"), _key(s).alias("key")) for s in sets])
             parts.append(df.where(F.col("pattern") == _name(p)).select(*keep, F.explode(keys).alias("_k")).select(*keep, "_k.*"))
         return union_all(parts)
 
-    known = cut_lineage(keyed(theirs, []).select("set", "key").distinct())
+    known = keyed(theirs, []).select("set", "key").distinct()
     met = keyed(ours, ["record", "copies"]).join(known, ["set", "key"], "left_semi")
     return met.groupBy("record", "copies").agg(F.max("matches").alias("matches"))

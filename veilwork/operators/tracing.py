@@ -135,12 +135,12 @@ def _step(fresh: DataFrame, own: str, other: DataFrame, theirs: str, limit: int
     """Rows of ``other`` matching the frontier, and the number of matches per frontier row.
 
     ``other`` is read once: the matches are written, and both the rows to follow
-    and their counts come from there.  The keys are written, too, so that both
-    sides of the join are plain exchanges, which Spark splits where one key has
-    very many rows.
+    and their counts come from there.  Keys are distinct by case and key but met
+    by key, so both sides of the join are plain exchanges, which Spark splits
+    where one key has very many rows.
     """
     rows = fresh.select(CASE, F.col(f"`{own}`").alias("_key")).where("_key is not null")
-    keys = cut_lineage(rows.distinct())
+    keys = rows.distinct()
     columns = [F.col(f"`{c}`") for c in other.columns]
     near = prefiltered(other, F.col(f"`{theirs}`"), keys, "_key").withColumn("_key", F.col(f"`{theirs}`"))
     matched = cut_lineage(keys.join(near, "_key").select(CASE, "_key", *columns))
