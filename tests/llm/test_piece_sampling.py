@@ -66,3 +66,31 @@ def test_frames(spark, rows):
 def test_query(spark):
     got = QUERIES["op7_piece_sampling"](spark, "/root/testdata/sf0.01")
     assert got.where("lossless").count() == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+
+
+def test_edges_are_all_pieces_that_end_at_a_place():
+    v, text = ps.vocabulary(PIECES), " internationalisation日本\u0000ab"
+    points = np.array([ord(c) for c in text], np.uint32)
+    pieces = {b.decode(): i for i, b in enumerate(v.bytes_of) if len(b) > 1 or (b and i in v.ids)}
+    edges = ps._edges(v, points, np.arange(len(text)))
+    for end in range(len(text)):
+        got = {m + 1: int(v.ids[e]) for m, e in enumerate(edges[end]) if e >= 0}
+        want = {m: pieces[text[end + 1 - m : end + 1]] for m in range(1, end + 2) if text[end + 1 - m : end + 1] in pieces}
+        assert got == want and (edges[end, 0] == -2) == (1 not in want)
+
+
+def test_spans_begin_where_no_edge_leads_across():
+    v, text = ps.vocabulary(PIECES), " the" + "\u0000" * 3 + "and" * 40 + "日\u0000本"
+    points, within = np.array([ord(c) for c in text], np.uint32), np.arange(len(text))
+    edges = ps._edges(v, points, within)
+    starts = set(np.flatnonzero(ps._spans(edges, within)).tolist())
+    for p in range(1, len(text)):
+        crossing = any(edges[e, m] != -1 and e - m < p <= e for e in range(len(text)) for m in range(v.longest) if m <= e)
+        assert (p in starts) == (not crossing)
+
+
+@pytest.mark.parametrize("theta", [0.0, 20.0])
+def test_extreme_weights_in_a_long_text_without_spaces(theta):
+    v, text = ps.vocabulary(PIECES, theta), "ab" * 2000 + "\u0000" * 200 + "the" * 1000
+    (ids,) = ps.encode_texts(v, [text], seeds(1))
+    assert ps.decode_ids(v, ids.tolist()) == text

@@ -7,6 +7,10 @@ the weights of all paths into a place; backward sampling draws the last piece of
 then the piece before it, and so on.  Both steps run for all units of a portion at once, forward filtering once
 per distinct unit.  Draws are a function of seed, row key and place: a text gets the same pieces in any partition.
 
+Edges are found by one walk per place, backward through a trie of the pieces' ends, which stops where no piece ends
+with the characters read.  Units fall apart further at places that every path passes (no edge leads across), so a long
+text without spaces is filtered and sampled in short spans side by side; the shares stay the same.
+
 Weights: exp(score) of unigram vocabularies; the scores of BPE vocabularies are merge ranks r and weigh
 1 / (r + 10).  ``theta`` is the exponent of all weights (large: close to the best path; 0: all paths alike).
 A text is encoded with a space before it, as the vocabulary expects; decoding takes that space off.  A literal
@@ -46,12 +50,9 @@ class Vocabulary:
         ranks = bool(len(scores)) and bool((scores == np.round(scores)).all())
         logs = -np.log(10.0 - scores) if ranks else scores
         self.longest = max((len(t) for t in texts.values()), default=1)
-        hashes = np.array([_hash(t) for t in texts.values()], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array(list(texts), np.int32)[order]
-        self.weights = np.exp(theta * logs)[order]
+        self._trie(texts, np.exp(theta * logs))
         low = np.exp(theta * logs.min()) if len(scores) else 1.0
-        self.byte_weight = low * 1e-3
+        self.byte_weight = self.weights[-2] = low * 1e-3
         self.bytes_of = [b""] * n
         for i, t in texts.items():
             self.bytes_of[i] = t.encode()
@@ -63,11 +64,58 @@ class Vocabulary:
         if (self.byte_ids < 0).any():
             raise ValueError("the vocabulary has no byte pieces; it can't hold every text")
 
+    def _trie(self, texts: dict[int, str], weights: np.ndarray) -> None:
+        """All ends of pieces in an open-addressing table by hash: the nodes of a trie read from the last character.
+
+        Slot numbers name the nodes; ``ids`` and ``weights`` have two more entries, for a character without a piece
+        (``-2``) and for no edge (``-1``).
+        """
+        nodes: dict[int, int] = {}
+        for k, (i, t) in enumerate(texts.items()):
+            h, power = 0, 1
+            for c in reversed(t):
+                h = (h + (ord(c) + 1) * power) % 2**64
+                power = power * int(BASE) % 2**64
+                nodes.setdefault(h, -1)
+            nodes[h] = k
+        bits = max(4, (4 * len(nodes)).bit_length())
+        self.shift, self.last_slot = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.used = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, bool)
+        keys, piece = np.array(list(nodes), np.uint64), np.array(list(nodes.values()), np.int64)
+        slots, at, left = np.empty(len(keys), np.int64), self._slot(keys), np.arange(len(keys))
+        while len(left):
+            _, first = np.unique(at, return_index=True)
+            first = first[~self.used[at[first]]]
+            self.keys[at[first]], self.used[at[first]], slots[left[first]] = keys[left[first]], True, at[first]
+            wait = np.ones(len(left), bool)
+            wait[first] = False
+            left, at = left[wait], (at[wait] + 1) & self.last_slot
+        self.ids = np.full((1 << bits) + 2, -1, np.int32)
+        self.weights = np.zeros((1 << bits) + 2)
+        whole = piece >= 0
+        self.ids[slots[whole]] = np.array(list(texts), np.int32)[piece[whole]]
+        self.weights[slots[whole]] = weights[piece[whole]]
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * BASE) >> self.shift).astype(np.int64)
+
+    def nodes(self, hashes: np.ndarray) -> np.ndarray:
+        """The node of each hash, -1 where no piece ends so."""
+        at = self._slot(hashes)
+        out = np.where(self.keys[at] == hashes, at, -1)
+        open_ones = np.flatnonzero((out < 0) & self.used[at])
+        while len(open_ones):
+            at = (at[open_ones] if len(at) != len(open_ones) else at) + 1 & self.last_slot
+            hit = self.keys[at] == hashes[open_ones]
+            out[open_ones[hit]] = at[hit]
+            more = ~hit & self.used[at]
+            open_ones, at = open_ones[more], at[more]
+        return out
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids (-1: none) and weights (0)."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes
-        return np.where(hit, self.ids[at], -1), np.where(hit, self.weights[at], 0.0)
+        at = self.nodes(hashes)
+        return self.ids[at], self.weights[at]
 
 
 def _hash(text: str) -> int:
@@ -83,35 +131,55 @@ def vocabulary(path: str, theta: float = 1.0) -> Vocabulary:
     return Vocabulary(path, theta)
 
 
-def _lattice(v: Vocabulary, points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Running sums of the shares, and ids, of all edges into each place of each unit; units are longest first.
-
-    Returns where each unit's places begin in the two tables, then the tables (place x piece length).
-    """
-    place = np.cumsum(size) - size
-    sums = np.zeros((int(size.sum()), v.longest), np.float32)
-    ids = np.full(sums.shape, -1, np.int32)
-    alpha = np.zeros((len(size), v.longest + 1))  # of the last places, the newest first
-    alpha[:, 0] = 1.0
-    for t in range(1, int(size[0]) + 1 if len(size) else 0):
-        k = int(np.searchsorted(-size, -t, "right"))  # units of at least t characters
-        at, most = begin[:k] + t, min(t, v.longest)
-        h, power, values = np.zeros(k, np.uint64), np.uint64(1), np.zeros((k, v.longest))
-        for m in range(1, most + 1):
-            h = h + (points[at - m].astype(np.uint64) + np.uint64(1)) * power
-            with np.errstate(over="ignore"):
-                power = power * BASE
-            found, weight = v.find(h)
-            if m == 1:
-                weight = np.where(found < 0, v.byte_weight, weight)
-            ids[place[:k] + t - 1, m - 1] = found
-            values[:, m - 1] = alpha[:k, m - 1] * weight
-        total = values.sum(1)
-        sums[place[:k] + t - 1] = np.cumsum(values, 1) / total[:, None]
-        alpha[:k, 1:] = alpha[:k, :-1]
-        alpha[:k, 0] = total
-        alpha[:k] /= alpha[:k].max(1, keepdims=True)  # only shares matter; no underflow in long units
-    return place, sums, ids
+def _edges(v: Vocabulary, points: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Node of the edge of each length into each character (-1: none); ``within`` counts a unit's characters from 0."""
+    out = np.full((len(points), v.longest), -1, np.int32)
+    place, h, power = np.arange(len(points)), np.zeros(len(points), np.uint64), np.uint64(1)
+    for m in range(v.longest):
+        h = h + (points[place - m].astype(np.uint64) + np.uint64(1)) * power
+        with np.errstate(over="ignore"):
+            power = power * BASE
+        node = v.nodes(h)
+        out[place, m] = np.where(v.ids[node] >= 0, node, -1)
+        if m == 0:
+            out[v.ids[node] < 0, 0] = -2
+        on = (node >= 0) & (within[place] > m)
+        place, h = place[on], h[on]
+        if not len(place):
+            break
+    return out
+
+
+def _spans(edges: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Characters behind places that every path passes: no edge leads across them."""
+    n, longest = edges.shape
+    reach = longest - 1 - np.argmax(edges[:, ::-1] != -1, axis=1)  # characters before its last one that an edge holds
+    crossed = np.zeros(n + 1, np.int64)
+    np.add.at(crossed, np.arange(n) - reach + 1, 1)
+    np.add.at(crossed, np.arange(n) + 1, -1)
+    return (np.cumsum(crossed)[:n] == 0) | (within == 0)
+
+
+def _lattice(v: Vocabulary, edges: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Running sums of the shares of all edges into each character; spans are longest first."""
+    sums = np.zeros(edges.shape, np.float32)
+    alpha = np.zeros((len(size), v.longest))  # of the last places, the newest first
+    if len(size):
+        alpha[:, 0] = 1.0
+    for t in range(int(size[0]) if len(size) else 0):
+        k = int(np.searchsorted(-size, -t))  # spans of more than t characters
+        c = min(t + 1, v.longest)
+        at, alpha = begin[:k] + t, alpha[:k]
+        values = np.cumsum(alpha[:, :c] * v.weights[edges[at, :c]], 1)
+        dead = np.flatnonzero(values[:, -1] == 0)  # extreme ``theta`` only: all shares too small to tell; one character
+        values[dead] = 1e-300
+        total = values[:, -1:]
+        sums[at, :c] = values / total
+        alpha[:, 1 : c + 1] = alpha[:, : min(c, v.longest - 1)].copy()
+        alpha[:, :1] = total
+        if total.min() < 1e-100 or total.max() > 1e100:  # only shares matter
+            alpha /= alpha.max(1, keepdims=True)
+    return sums
 
 
 def encode_texts(v: Vocabulary, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
@@ -129,30 +197,40 @@ def encode_texts(v: Vocabulary, texts: list[str], seeds: np.ndarray) -> list[np.
     size = np.diff(np.append(begin, len(points)))
     text_of = np.searchsorted(bounds, begin, "right") - 1
     ordinal = np.arange(len(begin)) - np.searchsorted(begin, bounds)[text_of]
-    # Distinct units, longest first.
+    # Distinct units, side by side.
     within = np.arange(len(points)) - np.repeat(begin, size)
     powers = np.multiply.accumulate(np.append(np.uint64(1), np.full(int(size.max()), BASE)))
     unit = mix(np.add.reduceat((points.astype(np.uint64) + np.uint64(1)) * powers[within], begin) ^ (size.astype(np.uint64) << np.uint64(40)))
     _, example, kind = np.unique(unit, return_index=True, return_inverse=True)
-    order = np.argsort(-size[example], kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    kind, example = rank[kind], example[order]
-    place, sums, ids = _lattice(v, points, begin[example], size[example])
-    # Backward sampling of all units.
-    left, now = size.copy(), np.arange(len(begin))
+    own = size[example]
+    place = np.cumsum(own) - own
+    own_within = np.arange(int(own.sum())) - np.repeat(place, own)
+    edges = _edges(v, points[own_within + np.repeat(begin[example], own)], own_within)
+    # Their spans, longest first, and the spans of all units.
+    cut = np.flatnonzero(_spans(edges, own_within))
+    span = np.diff(np.append(cut, len(edges)))
+    order = np.argsort(-span, kind="stable")
+    sums = _lattice(v, edges, cut[order], span[order])
+    ids = v.ids[edges]
+    first = np.searchsorted(cut, place)
+    spans = np.diff(np.append(first, len(cut)))[kind]
+    which = np.arange(int(spans.sum())) - np.repeat(np.cumsum(spans) - spans - first[kind], spans)
+    row = cut[which] - 1  # a span's place behind k characters is row + k
+    at = np.repeat(begin - place[kind], spans)  # from a distinct unit's characters to the text's
     noise = mix(seeds.astype(np.uint64)[text_of] ^ mix(ordinal.astype(np.uint64)))
-    steps, count = [], np.zeros(len(begin), np.int64)
+    noise = np.repeat(noise, spans) + own_within[cut[which]].astype(np.uint64) * BASE
+    text_of = np.repeat(text_of, spans)
+    # Backward sampling of all spans.
+    left, now = span[which], np.arange(len(which))
+    steps, count = [], np.zeros(len(which), np.int64)
     while len(now):
-        row = place[kind[now]] + left[now] - 1
+        here = row[now] + left[now]
         draw = (mix(noise[now] + left[now].astype(np.uint64) * BASE) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
-        share = sums[row]
-        length = 1 + (share <= draw[:, None]).sum(1)
-        last = 1 + (share < share[:, -1:]).sum(1)  # rounding never leads past the last edge
-        length = np.minimum(length, last)
-        steps.append((now, ids[row, length - 1], begin[now] + left[now] - 1))
+        share = sums[here]
+        length = np.argmax(share > draw[:, None], axis=1)  # the last share is 1, draws are less
+        steps.append((now, ids[here, length], here + at[now]))
         count[now] += 1
-        left[now] -= length
+        left[now] -= length + 1
         now = now[left[now] > 0]
     offset = np.cumsum(count)
     out, char = np.empty(int(count.sum()), np.int32), np.empty(int(count.sum()), np.int64)
