@@ -1,10 +1,13 @@
 import random
+import tracemalloc
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from veilwork.llm.jaccard_join import CELL_BITS, Classes, jaccard_components, join_sets, keep_one
+from veilwork.llm.jaccard_join import CELL_BITS, Classes, _cells, _describe, _elements, _sign, jaccard_components, join_sets, keep_one
 from veilwork.llm.text import LOWER, shingles, words
 
 
@@ -101,3 +104,18 @@ def test_trie_join_sides():
             assert 2 * len(x & y) >= len(x | y)
     hashes, at = words([b"A b  c\td", b"", b"a B"])
     assert list(at) == [0, 4, 4, 6] and hashes[0] == hashes[4] and len(shingles(hashes[4:6], 3)) == 1
+
+
+def test_tasks_hold_little_more_than_a_portion():
+    """Peaks of a task's own arrays over 12 MB of text: an executor's workers share what the JVM leaves."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=500)) for _ in range(4_000)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    common = SimpleNamespace(value=np.zeros(1 << 20, bool))
+    for task in (_describe(5), _cells(5), _sign(5, Fraction(8, 10), 4, common), _elements(5)):
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in task(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows and peak < 70e6

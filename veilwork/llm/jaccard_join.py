@@ -49,7 +49,7 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
 def _sets(batches: Iterator[pa.RecordBatch], size: int):
     """Id, set and fingerprint of every row."""
     for batch in batches:
-        for rows, texts in portions(batch, "text", 4 << 20):
+        for rows, texts in portions(batch, "text", 1 << 20):
             hashes, at = words(texts)
             for i, doc in enumerate(rows.column(0).to_pylist()):
                 s = shingles(hashes[at[i] : at[i + 1]], size)
@@ -183,7 +183,7 @@ def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sig[lead], node[lead], edges[:, 0], edges[:, 1]
 
 
-def _sign(size: int, threshold: Fraction, buckets: int, common, most: int = 1_500_000):
+def _sign(size: int, threshold: Fraction, buckets: int, common, most: int = 500_000):
     """Packed (signature, node) pairs per bucket, combined per map task; an edge is a signature of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +366,7 @@ def jaccard_components(
         return described.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
 
     # Families: sets that share a signature, directly or through others.
-    buckets = max(16, total // 4_000_000)
+    buckets = max(16, total // 1_000_000)  # about 9 MB of pairs each, five times that while they are sorted
     common = spark.sparkContext.broadcast(common_cells(narrow, size))  # one flag per cell
     signed_sets = narrow.mapInArrow(_sign(size, threshold, buckets, common), "bucket int, pairs binary")
     dealt = signed_sets.repartition(buckets, "bucket").sortWithinPartitions("bucket")
