@@ -1,7 +1,11 @@
 import itertools
+import random
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from veilwork.llm import language_id as li
@@ -61,3 +65,22 @@ def test_nothing_learned(spark):
     assert [(r.lang_pred, r.score) for r in li.identify(frame).collect()] == [("und", 0.0)]
     assert li.identify(frame.where("false")).count() == 0
     assert spark.range(3).select(li.remainder("id", 3).alias("r")).where(F.col("r").isNull()).count() == 0
+
+
+def test_tasks_hold_little_more_than_a_portion():
+    """Peaks of a task's own arrays over 2 MB of text: an executor's workers share what the JVM leaves."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghij ", k=3_000)) for _ in range(700)]
+    n = 4
+    logs = np.random.default_rng(3).normal(size=(li.FEATURES, n)).astype(np.float32)
+    barred = np.zeros((len(li.SCRIPT_NAMES), n), np.float32)
+    model = SimpleNamespace(value={"langs": list("abcd"), "logs": logs, "barred": barred})
+    labelled = pa.record_batch([pa.array(["ab"[i % 2] for i in range(700)]), pa.array(texts)], names=["lang", "text"])
+    rows = pa.record_batch([pa.array(range(700), pa.int64()), pa.array(texts)], names=["id", "text"])
+    li._letters(), li._lowered()
+    for task, batch in ((li._count, labelled), (li._predict(model, 12.0), rows)):
+        tracemalloc.start()
+        made = sum(out.num_rows for out in task(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert made and peak < 40e6

@@ -1,7 +1,11 @@
 import itertools
+import random
+import tracemalloc
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -94,3 +98,25 @@ def test_extreme_weights_in_a_long_text_without_spaces(theta):
     v, text = ps.vocabulary(PIECES, theta), "ab" * 2000 + "\u0000" * 200 + "the" * 1000
     (ids,) = ps.encode_texts(v, [text], seeds(1))
     assert ps.decode_ids(v, ids.tolist()) == text
+
+
+def test_round_trip_is_one_worker_a_task(spark):
+    """Every Python node of a task is a worker of its own, with a vocabulary and a portion of its own."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    trip = ps.round_trip(docs, PIECES, theta=0.5, seed=7)
+    assert trip._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    encoded = {row["id"]: row["pieces"] for row in ps.encode(docs, PIECES, theta=0.5, seed=7).collect()}
+    for row in trip.collect():
+        assert row["lossless"] and row["pieces_crc32"] == zlib.crc32(np.array(encoded[row["doc_id"]], "<u4").tobytes())
+
+
+def test_a_task_holds_little_more_than_a_portion():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghij ", k=3_000)) for _ in range(700)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    ps.vocabulary(PIECES)
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in ps._encode(PIECES, 1.0, 1)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 100e6

@@ -21,6 +21,7 @@ from veilwork.llm.text import mix, portions
 
 FEATURES = 1 << 18
 MOST_LANGUAGES = 64
+PORTION = 1 << 18  # bytes of text; a portion's arrays take some hundred times that
 PREDICTED = "id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
 
 # First code points of Unicode ranges, and the script from there on.
@@ -84,7 +85,7 @@ def _strings(texts: list[bytes]) -> list[str]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for rows, texts in portions(batch, "text", 1 << 20):
+        for rows, texts in portions(batch, "text", PORTION):
             features = Features(_strings(texts))
             per_text = np.array(rows.column(0).to_pylist(), object)
             per_word = np.repeat(np.arange(len(texts)), np.diff(features.at))
@@ -154,7 +155,7 @@ def _predict(model, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs, barred = (model.value[k] for k in ("langs", "logs", "barred"))
         for batch in batches:
-            for rows, texts in portions(batch, "text", 1 << 20):
+            for rows, texts in portions(batch, "text", PORTION):
                 found = Features(_strings(texts))
                 n_words = np.diff(found.at)
                 if langs and len(found.starts):

@@ -33,6 +33,7 @@ from veilwork.llm.text import mix, portions
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 ENCODED = "id long, text string, pieces array<int>"
+PORTION = 1 << 18  # bytes of text; a portion's arrays take some hundred times that
 
 
 class Vocabulary:
@@ -260,7 +261,7 @@ def _encode(path: str, theta: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, theta)
         for batch in batches:
-            for rows, texts in portions(batch, "text", 1 << 20):
+            for rows, texts in portions(batch, "text", PORTION):
                 strings = [t.decode("utf-8") for t in texts]
                 keys = np.array([hash_key(k) for k in rows.column(0).to_pylist()], np.uint64)
                 pieces = encode_texts(v, strings, mix(keys ^ np.uint64(seed)))
@@ -286,8 +287,11 @@ def encode(
 
     ``path`` is a SentencePiece model that all executors have.  Rows with equal id and text get equal pieces.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(_encode(path, theta, seed), ENCODED)
+    return _rows(docs, id_column, text_column).mapInArrow(_encode(path, theta, seed), ENCODED)
+
+
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
 
 
 def decode(encoded: DataFrame, path: str, id_column: str = "id", pieces_column: str = "pieces") -> DataFrame:
@@ -305,10 +309,15 @@ def decode(encoded: DataFrame, path: str, id_column: str = "id", pieces_column:
     return rows.mapInArrow(run, "id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
-    """``doc_id, n_pieces, pieces_crc32, text_sha256, lossless`` per row, the last two from the decoded text."""
+def round_trip(
+    docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", theta: float = 1.0, seed: int = 1
+) -> DataFrame:
+    """``doc_id, n_pieces, pieces_crc32, text_sha256, lossless`` per row, the last two from the decoded text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Encoding and decoding follow each other in one Python worker: two would each hold the vocabulary and a portion.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
         import zlib
 
@@ -326,5 +335,9 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_colum
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.record_batch(columns, names=["doc_id", "n_pieces", "pieces_crc32", "text_sha256", "lossless"])
 
-    encoded = encode(docs, path, id_column, text_column, **how)
-    return encoded.mapInArrow(run, "doc_id long, n_pieces long, pieces_crc32 long, text_sha256 string, lossless boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from check(sample(batches))
+
+    sample = _encode(path, theta, seed)
+    schema = "doc_id long, n_pieces long, pieces_crc32 long, text_sha256 string, lossless boolean"
+    return _rows(docs, id_column, text_column).mapInArrow(run, schema)
