@@ -84,3 +84,16 @@ def test_tasks_hold_little_more_than_a_portion():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert made and peak < 40e6
+
+
+def test_parts_of_a_portion_change_nothing(monkeypatch):
+    rng = random.Random(3)
+    texts = ["", "één 日本", *("".join(rng.choices("abcé日ж .", k=rng.randint(0, 90))) for _ in range(60)), " "]
+    rows = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    logs = np.random.default_rng(3).normal(size=(li.FEATURES, 4)).astype(np.float32)
+    model = SimpleNamespace(value={"langs": list("abcd"), "logs": logs, "barred": np.zeros((len(li.SCRIPT_NAMES), 4), np.float32)})
+    (whole,) = li._predict(model, 1.0)(iter([rows]))
+    for part in (1, 50, 300):
+        monkeypatch.setattr(li, "PORTION", part)
+        (got,) = li._predict(model, 1.0)(iter([rows]))
+        assert got.equals(whole)

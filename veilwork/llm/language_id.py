@@ -151,16 +151,36 @@ def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
     return labels
 
 
+class Words:
+    """Words of many texts with their scores; only the letters of ``PORTION`` bytes of text are at hand at a time."""
+
+    def __init__(self, texts: list[bytes], logs: np.ndarray, barred: np.ndarray):
+        starts, ends, counts, scores, begins, before = [], [], [], [], [], 0
+        cuts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // PORTION, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True):
+            found = Features(strings := _strings(texts[a:b]))
+            starts.append(found.starts + before)
+            ends.append(found.ends + before)
+            begins.append(found.begins + before)
+            counts.append(np.diff(found.at))
+            if len(found.starts):
+                scores.append(np.add.reduceat(logs[found.trigrams], found.first, axis=0) + barred[found.scripts])
+            before += sum(map(len, strings)) + len(strings)
+        self.starts, self.ends, self.begins = np.concatenate(starts), np.concatenate(ends), np.concatenate(begins)
+        self.at = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        self.sizes = self.ends - self.starts
+        self.scores = np.concatenate(scores) if scores else np.zeros((0, logs.shape[1]), np.float32)
+
+
 def _predict(model, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs, barred = (model.value[k] for k in ("langs", "logs", "barred"))
         for batch in batches:
-            for rows, texts in portions(batch, "text", PORTION):
-                found = Features(_strings(texts))
+            for rows, texts in portions(batch, "text", 1 << 20):
+                found = Words(texts, logs, barred)
                 n_words = np.diff(found.at)
                 if langs and len(found.starts):
-                    scores = np.add.reduceat(logs[found.trigrams], found.first, axis=0) + barred[found.scripts]
-                    labels = viterbi(scores, found.at, penalty)
+                    labels = viterbi(found.scores, found.at, penalty)
                 else:
                     labels = np.zeros(len(found.starts), np.int64)
                 text_of = np.repeat(np.arange(len(texts)), n_words)
