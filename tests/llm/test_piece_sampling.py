@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -120,3 +121,51 @@ def test_a_task_holds_little_more_than_a_portion():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == len(texts) and peak < 100e6
+
+
+def by_rows(v, edges, begin, size):
+    """The forward filter with the edges into a character as a row: running sums of their shares."""
+    sums, alpha = np.zeros(edges.shape, np.float32), np.zeros((len(size), v.longest))
+    alpha[:, 0] = 1.0
+    for t in range(int(size[0])):
+        k, c = int(np.searchsorted(-size, -t)), min(t + 1, v.longest)
+        at, alpha = begin[:k] + t, alpha[:k]
+        values = np.cumsum(alpha[:, :c] * v.weights[edges[at, :c]], 1)
+        sums[at, :c] = values / values[:, -1:]
+        alpha[:, 1 : c + 1] = alpha[:, : min(c, v.longest - 1)].copy()
+        alpha[:, :1] = values[:, -1:]
+        if values[:, -1].min() < 1e-100:
+            alpha /= alpha.max(1, keepdims=True)
+    return sums
+
+
+def test_shares_are_those_by_rows_and_cost_less():
+    """A portion of words: the whole encoding takes less CPU than 1.8 forward filters by rows (2.3 before, 1.3 now)."""
+    v, rng = ps.vocabulary(PIECES), random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 12))) for _ in range(30_000)] + ["th" * 40, "ab\u0000c"]
+    text = " ".join(words)
+    points = np.array([ord(c) for c in " " + text], np.uint32)
+    begin = np.flatnonzero(points == 32)
+    within = np.arange(len(points)) - np.repeat(begin, np.diff(np.append(begin, len(points))))
+    edges = ps._edges(v, points, within)
+    cut = np.flatnonzero(ps._spans(edges, within))
+    size = np.diff(np.append(cut, len(points)))
+    order = np.argsort(-size, kind="stable")
+    cut, size = cut[order], size[order]
+    nodes, sums, at = ps._lattice(v, edges, cut, size)
+    rows = np.ascontiguousarray(edges)
+    want = by_rows(v, rows, cut, size)
+    for t in range(int(size[0])):
+        k, c = int((size > t).sum()), min(t + 1, v.longest)
+        assert (sums[:c, at[t] : at[t] + k] == want[cut[:k] + t, :c].T).all()
+        assert (nodes[:c, at[t] : at[t] + k] == rows[cut[:k] + t, :c].T).all()
+
+    def cpu(work):
+        times = []
+        for _ in range(5):
+            begun = time.process_time()
+            work()
+            times.append(time.process_time() - begun)
+        return min(times)
+
+    assert cpu(lambda: ps.encode_texts(v, [text], seeds(1))) < 1.8 * cpu(lambda: by_rows(v, rows, cut, size))

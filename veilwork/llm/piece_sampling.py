@@ -64,6 +64,7 @@ class Vocabulary:
                 self.byte_ids[value], self.bytes_of[i] = i, bytes([value])
         if (self.byte_ids < 0).any():
             raise ValueError("the vocabulary has no byte pieces; it can't hold every text")
+        self.bytes_at = np.array(self.bytes_of, object)
 
     def _trie(self, texts: dict[int, str], weights: np.ndarray) -> None:
         """All ends of pieces in an open-addressing table by hash: the nodes of a trie read from the last character.
@@ -133,54 +134,74 @@ def vocabulary(path: str, theta: float = 1.0) -> Vocabulary:
 
 
 def _edges(v: Vocabulary, points: np.ndarray, within: np.ndarray) -> np.ndarray:
-    """Node of the edge of each length into each character (-1: none); ``within`` counts a unit's characters from 0."""
-    out = np.full((len(points), v.longest), -1, np.int32)
+    """Node of the edge of each length into each character (-1: none); ``within`` counts a unit's characters from 0.
+
+    In memory the edges of one length lie together.
+    """
+    out = np.full((v.longest, len(points)), -1, np.int32)
+    codes = points.astype(np.uint64) + np.uint64(1)
     place, h, power = np.arange(len(points)), np.zeros(len(points), np.uint64), np.uint64(1)
     for m in range(v.longest):
-        h = h + (points[place - m].astype(np.uint64) + np.uint64(1)) * power
+        h = h + codes[place - m] * power
         with np.errstate(over="ignore"):
             power = power * BASE
         node = v.nodes(h)
-        out[place, m] = np.where(v.ids[node] >= 0, node, -1)
-        if m == 0:
-            out[v.ids[node] < 0, 0] = -2
-        on = (node >= 0) & (within[place] > m)
+        out[m, place] = np.where(v.ids[node] >= 0, node, -2 if m == 0 else -1)
+        on = np.flatnonzero((node >= 0) & (within[place] > m))
         place, h = place[on], h[on]
         if not len(place):
             break
-    return out
+    return out.T
 
 
 def _spans(edges: np.ndarray, within: np.ndarray) -> np.ndarray:
     """Characters behind places that every path passes: no edge leads across them."""
     n, longest = edges.shape
-    reach = longest - 1 - np.argmax(edges[:, ::-1] != -1, axis=1)  # characters before its last one that an edge holds
-    crossed = np.zeros(n + 1, np.int64)
-    np.add.at(crossed, np.arange(n) - reach + 1, 1)
-    np.add.at(crossed, np.arange(n) + 1, -1)
+    reach = np.zeros(n, np.int32)  # characters before its last one that an edge holds
+    for m in range(1, longest):
+        np.maximum(reach, (edges[:, m] != -1) * np.int32(m), out=reach)
+    crossed = np.bincount(np.arange(n) - reach + 1, minlength=n + 1)
+    crossed[1:] -= 1
     return (np.cumsum(crossed)[:n] == 0) | (within == 0)
 
 
-def _lattice(v: Vocabulary, edges: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Running sums of the shares of all edges into each character; spans are longest first."""
-    sums = np.zeros(edges.shape, np.float32)
-    alpha = np.zeros((len(size), v.longest))  # of the last places, the newest first
-    if len(size):
-        alpha[:, 0] = 1.0
-    for t in range(int(size[0]) if len(size) else 0):
-        k = int(np.searchsorted(-size, -t))  # spans of more than t characters
+def _lattice(v: Vocabulary, edges: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and running sums of the shares of the edges of each length into each character; spans are longest first.
+
+    Characters are dealt by their place in the span, then by span, so a place of all spans is one slice; the last array
+    is where each place begins.
+    """
+    more = np.cumsum(np.bincount(size)[:0:-1])[::-1]  # spans of more than t characters
+    first = np.concatenate(([0], np.cumsum(more)))
+    place = begin[np.arange(first[-1]) - np.repeat(first[:-1], more)] + np.repeat(np.arange(len(more)), more)
+    nodes, sums = np.empty((v.longest, len(place)), np.int32), np.empty((v.longest, len(place)), np.float32)
+    for m, a in enumerate(first[: min(v.longest, len(more))].tolist()):  # no edge begins before its span
+        nodes[m, a:] = edges[:, m][place[a:]]
+    top = 2 * v.longest - 1
+    alpha = np.empty((top + 1, len(size)))  # of the last places, the newest in row ``top``
+    alpha[top] = 1.0
+    for t, (a, k) in enumerate(zip(first.tolist(), more.tolist(), strict=False)):
         c = min(t + 1, v.longest)
-        at, alpha = begin[:k] + t, alpha[:k]
-        values = np.cumsum(alpha[:, :c] * v.weights[edges[at, :c]], 1)
-        dead = np.flatnonzero(values[:, -1] == 0)  # extreme ``theta`` only: all shares too small to tell; one character
-        values[dead] = 1e-300
-        total = values[:, -1:]
-        sums[at, :c] = values / total
-        alpha[:, 1 : c + 1] = alpha[:, : min(c, v.longest - 1)].copy()
-        alpha[:, :1] = total
+        values = alpha[top : top + c, :k] * v.weights[nodes[:c, a : a + k]]
+        if k < 256:
+            values = np.cumsum(values, 0)
+        else:  # numpy's own sums go down column by column
+            for m in range(1, c):
+                values[m] += values[m - 1]
+        dead = np.flatnonzero(values[-1] == 0)  # extreme ``theta`` only: all shares too small to tell; one character
+        values[:, dead] = 1e-300
+        total = values[-1]
+        sums[:c, a : a + k] = values / total
+        if top == 0:
+            older, top = alpha, v.longest + 1
+            alpha = np.empty((2 * v.longest, k))
+            alpha[top:] = older[: v.longest - 1, :k]
+        top -= 1
+        alpha[top, :k] = total
         if total.min() < 1e-100 or total.max() > 1e100:  # only shares matter
-            alpha /= alpha.max(1, keepdims=True)
-    return sums
+            last = alpha[top : top + min(t + 2, v.longest), :k]
+            last /= last.max(0)
+    return nodes, sums, first
 
 
 def encode_texts(v: Vocabulary, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
@@ -211,28 +232,35 @@ def encode_texts(v: Vocabulary, texts: list[str], seeds: np.ndarray) -> list[np.
     cut = np.flatnonzero(_spans(edges, own_within))
     span = np.diff(np.append(cut, len(edges)))
     order = np.argsort(-span, kind="stable")
-    sums = _lattice(v, edges, cut[order], span[order])
-    ids = v.ids[edges]
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    nodes, sums, at = _lattice(v, edges, cut[order], span[order])
+    del edges
     first = np.searchsorted(cut, place)
     spans = np.diff(np.append(first, len(cut)))[kind]
     which = np.arange(int(spans.sum())) - np.repeat(np.cumsum(spans) - spans - first[kind], spans)
-    row = cut[which] - 1  # a span's place behind k characters is row + k
-    at = np.repeat(begin - place[kind], spans)  # from a distinct unit's characters to the text's
+    row = cut[which] - 1 + np.repeat(begin - place[kind], spans)  # a span's character k is the texts' row + k
     noise = mix(seeds.astype(np.uint64)[text_of] ^ mix(ordinal.astype(np.uint64)))
     noise = np.repeat(noise, spans) + own_within[cut[which]].astype(np.uint64) * BASE
     text_of = np.repeat(text_of, spans)
     # Backward sampling of all spans.
-    left, now = span[which], np.arange(len(which))
+    left, rank, now = span[which], rank[which], np.arange(len(which))
     steps, count = [], np.zeros(len(which), np.int64)
     while len(now):
-        here = row[now] + left[now]
-        draw = (mix(noise[now] + left[now].astype(np.uint64) * BASE) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
-        share = sums[here]
-        length = np.argmax(share > draw[:, None], axis=1)  # the last share is 1, draws are less
-        steps.append((now, ids[here, length], here + at[now]))
+        k = left[now]
+        here = at[k - 1] + rank[now]
+        draw = (mix(noise[now] + k.astype(np.uint64) * BASE) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
+        length, m = np.zeros(len(now), np.int64), 0
+        on = np.flatnonzero(sums[0][here] <= draw)
+        while len(on):  # the last share is 1, draws are less
+            m += 1
+            length[on] = m
+            on = on[sums[m][here[on]] <= draw[on]]
+        steps.append((now, v.ids[nodes[length, here]], row[now] + k))
         count[now] += 1
-        left[now] -= length + 1
-        now = now[left[now] > 0]
+        k -= length + 1
+        left[now] = k
+        now = now[k > 0]
     offset = np.cumsum(count)
     out, char = np.empty(int(count.sum()), np.int32), np.empty(int(count.sum()), np.int64)
     for s, (which, piece, where) in enumerate(steps):
@@ -241,7 +269,9 @@ def encode_texts(v: Vocabulary, texts: list[str], seeds: np.ndarray) -> list[np.
     per_text = np.bincount(text_of, count, len(texts)).astype(np.int64)
     unknown = np.flatnonzero(out < 0)
     if len(unknown):  # characters without a piece: their bytes
-        codes = [v.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in points[char[unknown]]]
+        missing = points[char[unknown]].tolist()
+        bytes_of = {c: v.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in set(missing)}
+        codes = [bytes_of[c] for c in missing]
         extra = np.array([len(c) - 1 for c in codes])
         piece_text = np.repeat(np.arange(len(texts)), per_text)[unknown]
         per_text += np.bincount(piece_text, extra, len(texts)).astype(np.int64)
@@ -254,7 +284,7 @@ def encode_texts(v: Vocabulary, texts: list[str], seeds: np.ndarray) -> list[np.
 
 
 def decode_ids(v: Vocabulary, ids) -> str:
-    return b"".join(map(v.bytes_of.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+    return b"".join(v.bytes_at[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "surrogatepass")[1:]
 
 
 def _encode(path: str, theta: float, seed: int):
@@ -328,7 +358,7 @@ def round_trip(
                 out = []
                 for doc, text, ids in zip(*(part.column(c).to_pylist() for c in range(2)), part.column(2), strict=True):
                     flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-                    back = decode_ids(v, flat.tolist())
+                    back = decode_ids(v, flat)
                     sha = hashlib.sha256(back.encode("utf-8")).hexdigest()
                     out.append((doc, len(flat), zlib.crc32(flat.tobytes()), sha, back == (text or "")))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
