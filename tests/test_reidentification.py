@@ -44,6 +44,20 @@ def test_a_common_value_makes_no_pairs(spark):
     assert RI.reid_risk(df, other, ["a", "b", "c", "d"], 0.7, 50).agg(F.count("*"), F.max("matches")).first()[:] == (3000, 3)
 
 
+def test_keys_of_many_records_are_not_broadcast(spark):
+    """Six keys a record: Spark's estimate of the table counts one, so it sent all of them to the driver and every executor."""
+    n, columns = 40_000, ["id", "c1", "c2", "c3", "c4"]
+    real = spark.range(n).select("id", *[(F.col("id") * k).alias(f"c{k}") for k in range(1, 5)])
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "256k")
+    try:
+        found = RI.reid_risk(real, real.withColumn("id", -1 - F.col("id")), columns, 0.6)
+        assert found.agg(F.count("*"), F.count_distinct("record"), F.min("matches"), F.max("matches")).first()[:] == (n, n, 4, 4)
+        assert found.where(~F.col("record").rlike("^[0-9a-f]{32}$")).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", before)
+
+
 def test_no_records(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     assert RI.reid_risk(df.limit(0), df, ["a", "b"], 0.4).count() == 0 and RI.reid_risk(df, df.limit(0), ["a", "b"], 0.4).count() == 0

@@ -39,6 +39,10 @@ def _key(pattern: Pattern) -> Column:
     return F.md5(F.to_json(F.array(*[F.get("v", F.lit(j)) for j in pattern])))
 
 
+def _subset_key(subset: Pattern) -> Column:
+    return F.unhex(F.md5(F.to_json(F.array(F.lit(_name(subset)), *[F.get("v", F.lit(j)) for j in subset]))))
+
+
 def _name(pattern: Pattern) -> str:
     return ",".join(map(str, pattern))
 
@@ -114,7 +118,11 @@ def reid_risk(real: DataFrame, synth: DataFrame, columns: Sequence[str], thresho
 
 
 def _by_subsets(ours: DataFrame, theirs: DataFrame, patterns: Sequence[Pattern], columns: int, need: int) -> DataFrame:
-    """The most that records of crowded blocks share, ``need`` at least, by keys of subsets of the columns left."""
+    """The most that records of crowded blocks share, ``need`` at least, by keys of subsets of the columns left.
+
+    A key is 16 bytes and holds its subset.  The join is a merge join by hint: Spark's estimate of a side takes no notice
+    of the keys per record, so it would broadcast many times the size that it allows.
+    """
 
     def keyed(df: DataFrame, keep: Sequence[str]) -> DataFrame:
         parts = []
@@ -122,10 +130,12 @@ def _by_subsets(ours: DataFrame, theirs: DataFrame, patterns: Sequence[Pattern],
             left = [j for j in range(columns) if j not in p]
             sizes = range(max(0, need - len(p)), len(left) + 1)
             sets = [tuple(sorted((*p, *s))) for size in sizes for s in combinations(left, size)]
-            keys = F.array(*[F.struct(F.lit(len(s)).alias("matches"), F.lit(_name(s)).alias("set"), _key(s).alias("key")) for s in sets])
+            keys = F.array(*[F.struct(F.lit(len(s)).alias("matches"), _subset_key(s).alias("key")) for s in sets])
             parts.append(df.where(F.col("pattern") == _name(p)).select(*keep, F.explode(keys).alias("_k")).select(*keep, "_k.*"))
         return union_all(parts)
 
-    known = keyed(theirs, []).select("set", "key").distinct()
-    met = keyed(ours, ["record", "copies"]).join(known, ["set", "key"], "left_semi")
-    return met.groupBy("record", "copies").agg(F.max("matches").alias("matches"))
+    known = keyed(theirs, []).select("key").distinct()
+    short = ours.withColumn("record", F.unhex("record"))
+    met = keyed(short, ["record", "copies"]).join(known.hint("merge"), "key", "left_semi")
+    best = met.groupBy("record", "copies").agg(F.max("matches").alias("matches"))
+    return best.withColumn("record", F.lower(F.hex("record")))
