@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 from fractions import Fraction
 from types import SimpleNamespace
@@ -7,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from veilwork.llm.exact_dedup import grace_dedup
 from veilwork.llm.jaccard_join import CELL_BITS, Classes, _cells, _describe, _elements, _sign, jaccard_components, join_sets, keep_one
+from veilwork.llm.store import Workspace
 from veilwork.llm.text import LOWER, shingles, words
 
 
@@ -67,6 +70,48 @@ def test_brute_force(spark, rows, size, t, limits):
     assert rows(got) == brute(docs, size, t)
 
 
+def test_pairs_of_a_large_family_are_joined_in_rounds(spark, rows, monkeypatch):
+    """Chunks of three sets: pairs of chunks repeat a set many times, a round holds little more than all sets once."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(w if rng.random() > 0.05 else "x" for w in base)) for i in range(40)] + [(90, "a b c"), (91, "A b C"), (92, None)]
+    made, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda space, df, name: made.append(name) or save(space, df, name))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = jaccard_components(frame, size=1, threshold=Fraction(4, 5), chunk_sets=3, round_elements=1)
+    assert rows(got) == brute(docs, 1, Fraction(4, 5)) and sum(name.startswith("links") for name in made) > 3
+
+
+def test_no_spent_tables_and_shuffle_files_stay(spark):
+    """What a stage leaves on disk is what its rows are read from, not its texts, elements and signatures."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefgh", k=8)) + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(1500)]
+    docs = spark.createDataFrame([(i, texts[i // 2] + " x" * (i % 2)) for i in range(3000)], "doc_id long, text string").repartition(6)
+    size = sum(len(t) for t in texts) * 2
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        sizes = 0
+        while files.hasNext():
+            f = files.next()
+            sizes += f.length() if f.getName().startswith("shuffle_") else 0
+        return sizes
+
+    for run in (jaccard_components, grace_dedup):
+        before, known = shuffled(), len(Workspace.opened)
+        found = run(docs)
+        until = time.time() + 20
+        while shuffled() - before > size / 10 and time.time() < until:
+            time.sleep(0.2)
+        assert shuffled() - before <= size / 10
+        left = 0
+        for space in Workspace.opened[known:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(space.root)
+            left += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+        assert left <= size / 4, run
+        assert found.count() == 3000
+
+
 def test_empty_and_wordless(spark, rows):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert rows(jaccard_components(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))) == [(1, 0, 1), (2, 0, 2)]

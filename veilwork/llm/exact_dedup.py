@@ -192,7 +192,10 @@ def grace_dedup(
         F.max("top").alias("keep_id"), F.sum("n").alias("group_size"), F.max_by("rec", F.struct("top", "rec")).alias("best")
     )
     marked = space.save(found.join(whole, "class"), "marked")
-    rows = records.select("rec", "digest", "ids").join(marked, "rec")
+    narrow = space.save(records.select("rec", "digest", "ids"), "narrow")
+    for spent in ("records", *[f"level{k}" for k in range(level)]):  # the texts
+        space.drop(spent)
+    rows = narrow.join(marked, "rec")
     return rows.select("*", F.posexplode("ids").alias("at", "id")).select(
         F.col("id").alias("doc_id"),
         "keep_id",

@@ -26,21 +26,29 @@ def _star(space: Workspace, edges: DataFrame, name: str, large: bool) -> DataFra
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return space.save(out.where("u <> v").distinct(), name)
+    done = space.save(out.where("u <> v").distinct(), name)
+    space.drop(f"{name}-least")
+    return done
 
 
 def components(edges: DataFrame, space: Workspace, name: str = "components") -> DataFrame:
-    """``node, component`` (its least node) for all nodes of ``edges(u, v)``; loops until nothing changes."""
-    now = space.save(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0"
-    )
+    """``node, component`` (its least node) for all nodes of ``edges(u, v)``; loops until nothing changes.
+
+    The tables of a step go when the next one is written; only the last is left in ``space``.
+    """
+    last = f"{name}-0"
+    now = space.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), last)
     before, step = None, 0
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before, step = state, step + 1
-        now = _star(space, _star(space, now, f"{name}-{step}-large", True), f"{name}-{step}-small", False)
+        large, small = f"{name}-{step}-large", f"{name}-{step}-small"
+        now = _star(space, _star(space, now, large, True), small, False)
+        space.drop(last)
+        space.drop(large)
+        last = small
     leaves = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)

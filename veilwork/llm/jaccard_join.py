@@ -14,12 +14,17 @@ equal in both.  Every set gives a signature per part; sets with an equal signatu
   elements (frequent first, so near copies share long paths).  A probing set walks the trie with the overlap of the
   path so far, shared by all sets below, and leaves a subtree when its remaining lengths cannot reach the threshold.
 * A pair already connected inside the task is not counted again; no link between components is lost.
+* Elements are dealt to the pairs of chunks once; where pairs of a large family repeat them more than twice, the pairs
+  are joined in rounds that hold about as much as all sets together, so disk does not grow with a family's square.
+* Tables and shuffle files go as soon as they are read for the last time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.llm.graph import components
-from veilwork.llm.store import Workspace
+from veilwork.llm.store import Workspace, freed_shuffles
 from veilwork.llm.text import mix, portions, shingles, signed, words
 
 CELL_BITS = 20
@@ -165,7 +170,8 @@ def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def common_cells(narrow: DataFrame, size: int) -> np.ndarray:
     """Cells far above the median: they hold shingles of passages that many texts share."""
     slices = narrow.mapInArrow(_cells(size), "slice int, counts binary").repartition(SLICES, "slice").sortWithinPartitions("slice")
-    flags = sorted(slices.mapInArrow(_flags, "slice int, flags binary").collect())  # a bit per cell
+    with freed_shuffles(narrow.sparkSession):
+        flags = sorted(slices.mapInArrow(_flags, "slice int, flags binary").collect())  # a bit per cell
     return np.concatenate([np.unpackbits(np.frombuffer(row["flags"], np.uint8)) for row in flags]).astype(bool)
 
 
@@ -349,6 +355,7 @@ def jaccard_components(
     chunk_elements: int = 1 << 20,
     chunk_sets: int = 1024,
     broadcast_rows: int = 2_000_000,
+    round_elements: int = 1 << 25,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id`` (least id reachable by links, itself included).
 
@@ -371,19 +378,19 @@ def jaccard_components(
     signed_sets = narrow.mapInArrow(_sign(size, threshold, buckets, common), "bucket int, pairs binary")
     dealt = signed_sets.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     edges = space.save(dealt.mapInArrow(_match, "u long, v long"), "edges")
-    families = space.save(components(edges, space, "families"), "families")
+    families = components(edges, space, "families")
 
     # One representative per set and family, its elements, and chunks of bounded size within a family.
     nodes = described.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("doc_id"))
     members = nodes.join(families, "node").withColumn("set_id", F.xxhash64("node", "check"))
     members = space.save(members.select("node", "check", "n", "doc_id", "set_id", F.col("component").alias("family")), "members")
+    space.drop("edges")
     wanted = members.select(F.col("doc_id").alias("id")).distinct()
-    small = members.count() <= broadcast_rows
-    own = F.broadcast(wanted) if small else wanted
+    held, all_elements = members.agg(F.count(F.lit(1)), F.sum("n")).first()
+    own = F.broadcast(wanted) if held <= broadcast_rows else wanted
     texts = narrow.join(own, narrow["id"].eqNullSafe(own["id"]), "left_semi")
     elements = texts.mapInArrow(_elements(size), "node long, check long, elements binary")
     elements = elements.groupBy("node", "check").agg(F.first("elements").alias("elements"))
-    sets = space.save(members.join(elements, ["node", "check"]), "sets")
 
     # Chunks by running size inside the family; the offsets come from a histogram of sizes, so no family is one task.
     histogram = members.groupBy("family", "n").agg(F.count(F.lit(1)).alias("sets"))
@@ -397,9 +404,11 @@ def jaccard_components(
         f"greatest(1, ceil(sets / {chunk_sets}), ceil(sets * n / {chunk_elements})) AS split",
     )
     chunk = F.struct(F.col("chunk_base"), F.when(F.col("split") > 1, F.struct("n", F.pmod("set_id", F.col("split")).alias("k"))).alias("part"))
-    placed = members.join(cells, ["family", "n"]).select("node", "check", "family", "n", chunk.alias("chunk"))
+    placed = members.join(cells, ["family", "n"]).select("node", "check", "set_id", "family", "n", chunk.alias("chunk"))
     placed = space.save(placed.withColumn("chunk", F.xxhash64("chunk")), "placed")
-    chunks = placed.groupBy("family", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("sets"))
+    chunks = placed.groupBy("family", "chunk").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("sets"), F.sum("n").alias("elements")
+    )
     chunks = space.save(chunks, "chunks")
     one, two = chunks.alias("a"), chunks.alias("b")
     a, b = threshold.numerator, threshold.denominator
@@ -409,16 +418,31 @@ def jaccard_components(
         & (F.struct("a.low", "a.chunk") <= F.struct("b.low", "b.chunk"))
         & (F.col("a.high") * b >= F.col("b.low") * a)
         & ((F.col("a.chunk") != F.col("b.chunk")) | (F.col("a.sets") > 1)),
-    ).select(F.col("a.family").alias("family"), F.col("a.chunk").alias("one"), F.col("b.chunk").alias("two"))
-    sides = tasks.select("family", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("chunk"))
-    full = sets.select("node", "check", "set_id", "elements").join(placed, ["node", "check"])
-    pairs = sides.join(full, ["family", "chunk"]).select(
-        "family", "one", "two", (F.col("chunk") == F.col("one")).alias("left"), "node", "check", "set_id", "elements"
+    ).select(
+        F.col("a.family").alias("family"),
+        F.col("a.chunk").alias("one"),
+        F.col("b.chunk").alias("two"),
+        (F.col("a.elements") + F.when(F.col("a.chunk") == F.col("b.chunk"), 0).otherwise(F.col("b.elements"))).alias("elements"),
     )
-    links = space.save(pairs.groupBy("family", "one", "two").applyInPandas(_verify(threshold), "u long, v long"), "links")
+    tasks = space.save(tasks, "tasks")
+    repeated, least = tasks.agg(F.sum("elements")).first()[0] or 0, max(all_elements or 0, round_elements)
+    rounds = 1 if repeated <= 2 * least else math.ceil(repeated / least)
+    if rounds > 1:
+        elements = space.save(elements, "sets")
+    sides = tasks.select("family", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("chunk"))
+    links = []
+    for k in range(rounds):
+        now = sides.where(F.pmod(F.xxhash64("family", "one", "two"), F.lit(rounds)) == k)
+        now = now.join(placed, ["family", "chunk"]).select(
+            "family", "one", "two", (F.col("chunk") == F.col("one")).alias("left"), "node", "check", "set_id"
+        )
+        pairs = now.join(elements, ["node", "check"]).groupBy("family", "one", "two")
+        links.append(space.save(pairs.applyInPandas(_verify(threshold), "u long, v long"), f"links{k}"))
+    for spent in ("members", "placed", "chunks", "tasks", "sets")[: 5 if rounds > 1 else 4]:
+        space.drop(spent)
 
     # Components of sets, then the least id of all rows of a component.
-    linked = components(links, space, "linked")
+    linked = components(reduce(DataFrame.unionByName, links), space, "linked")
     named = nodes.withColumn("set_id", F.xxhash64("node", "check")).join(
         linked.withColumnRenamed("node", "set_id"), "set_id", "left"
     )
@@ -426,6 +450,7 @@ def jaccard_components(
     named = space.save(named, "named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     final = space.save(named.join(least, "component").select("node", "check", "n", "component_id"), "final")
+    space.drop("named")
     full_rows = described.where("n > 0").join(final, ["node", "check", "n"])
     empty = described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full_rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
