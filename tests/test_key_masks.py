@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from veilwork.functions import permutation
 from veilwork.operators import masking as M
 
 
@@ -75,3 +77,30 @@ def test_equals_whole_number_arithmetic(spark):
     values = ["".join(rng.choice("zyxZYX987-/ ") for _ in range(rng.randrange(1, 30))) for _ in range(500)] + ["z" * 26, "Z" * 25, "9" * 26]
     values = [v for v in values if sum(c.isalnum() for c in v) <= M.MOST_SYMBOLS]
     assert masks(spark, values, "key", "dom") == [plain_permutation(v, "key", "dom") for v in values]
+
+
+def test_batches_and_the_expression_mask_alike(spark, monkeypatch):
+    """Shapes that many values have and shapes of one value, in a batch and as an expression."""
+    rng = random.Random(10)
+    values = [f"L-{rng.randrange(10**6, 10**7)}/{i % 7}" for i in range(300)] + [f"{i}" for i in range(300)] + ["zZ9" * 8 + "aB"] * 5 + ["--"] * 5 + [""] * 5 + [None] * 5
+    values += ["".join(rng.choice("zyX98-/ \u00a7") for _ in range(rng.randrange(1, 9))) for _ in range(200)] + ["\u00e9t\u00e9 1"] * 5 + ["7" * 30] * 5
+    assert [v for v, m in zip(values[:600], masks(spark, values, "key", "dom"), strict=False) if m != plain_permutation(v, "key", "dom")] == []
+    batch = masks(spark, values, "key", "dom")
+    monkeypatch.setattr(permutation, "permute", None)
+    monkeypatch.setattr(M.F, "arrow_udf", lambda kind: lambda f: lambda value: M.F.lit(None).cast("string"))
+    assert masks(spark, values, "key", "dom") == batch
+
+
+def test_hashes_of_halves_are_kept(monkeypatch):
+    """20,000 keys of one shape take few hashes: a half has a hundred values."""
+    made, hashes = [], permutation._hashes
+    monkeypatch.setattr(permutation, "_tables", {})
+    monkeypatch.setattr(permutation, "_hashes", lambda prefix, halves: made.append(len(halves)) or hashes(prefix, halves))
+    keys = [f"{i % 10**4:04d}" for i in range(20_000)]
+    out = permutation.permute(pa.array(keys), b"1:k1:d", M.ROUNDS, M.MOST_SYMBOLS).to_pylist()
+    assert len(set(out)) == 10**4 and sum(made) <= 8 * 100 and out[:100] == [plain_permutation(k, "k", "d") for k in keys[:100]]
+    monkeypatch.setattr(permutation, "_tables", {})
+    monkeypatch.setattr(permutation, "MOST_KEPT", 150)
+    sliced = pa.array([None, "x", *keys[:300]]).slice(1)
+    assert permutation.permute(sliced, b"1:k1:d", M.ROUNDS, M.MOST_SYMBOLS).to_pylist() == [None, *out[:300]]
+    assert sum(map(len, permutation._tables.values())) <= 150

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilwork.functions import draws, names
+from veilwork.functions import draws, names, permutation
 from veilwork.operators.policies import ColumnPolicy
 from veilwork.operators.profile import STAMPS, is_numeric
 
@@ -168,6 +169,7 @@ def permuted(value: Column, key: str, domain: str) -> Column:
     function of one half to the other, modulo the number of values that half can have, so the rounds can be undone
     and no two values share a mask.  All other characters stay, so values of different shapes differ, too.
     A value with letters or digits outside ASCII, or with more than ``MOST_SYMBOLS``, becomes its keyed hash.
+    ASCII values are masked in batches, see ``functions/permutation.py``; the expression here masks the others alike.
     """
     is_digit = lambda c: (c >= "0") & (c <= "9")
     is_lower = lambda c: (c >= "a") & (c <= "z")
@@ -224,8 +226,14 @@ def permuted(value: Column, key: str, domain: str) -> Column:
     )
     count = F.length(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
     plain = (count <= MOST_SYMBOLS) & ~value.rlike(r"[\p{L}\p{N}&&[^0-9A-Za-z]]")
-    hashed = F.sha2(F.concat(F.lit(f"{len(key)}:{key}{len(domain)}:{domain}"), value), 256)
-    return F.when(plain, masked).otherwise(hashed)
+    secret = f"{len(key)}:{key}{len(domain)}:{domain}"
+    hashed = F.sha2(F.concat(F.lit(secret), value), 256)
+
+    @F.arrow_udf("string")
+    def batch(values: pa.Array) -> pa.Array:
+        return permutation.permute(values, secret.encode(), ROUNDS, MOST_SYMBOLS)
+
+    return F.coalesce(batch(value), F.when(plain, masked).otherwise(hashed))
 
 
 def _let(value: Column, use) -> Column:
